@@ -18,7 +18,7 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, cond, how).drop(*["_r_" + k for k in keys])
 
 
-def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str = "seq") -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str = "seq", descending: bool = False) -> DataFrame:
     """``row_number() over (partition by <by> order by <bucket>, <order>)`` in two levels.
 
     ``bucket`` is a coarse, order-preserving cut of the sort key (a day, a block of numbers). Rows are
@@ -30,7 +30,9 @@ def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Col
     inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
     numbered = b.withColumn("_n", F.row_number().over(inner))
     counts = b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     joined = join_groups(numbered, offsets, by + ["_bucket"])
     return joined.withColumn(out, F.col("_n") + F.col("_before")).drop("_bucket", "_n", "_before")

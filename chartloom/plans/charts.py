@@ -320,7 +320,7 @@ def _doc(df: DataFrame, kind: str, **parts: Column) -> DataFrame:
     body = F.struct(
         F.lit(kind).alias("resourceType"), F.col("id"), F.struct(*meta).alias("meta"), *[c.alias(n) for n, c in parts.items()]
     )
-    return df.select(F.to_json(body).alias("doc"))
+    return df.select(F.lit(kind).alias("resource_type"), F.to_json(body).alias("doc"))
 
 
 def documents_of(spark, sf, kind: str) -> DataFrame:

@@ -74,12 +74,12 @@ def with_core_columns(parsed: DataFrame) -> DataFrame:
     v = F.col("v")
     return parsed.select(
         D.ref(D.text(v, "resourceType"), D.text(v, "id")).alias("ref"),
-        D.text(v, "resourceType").alias("resource_type"),
+        (F.col("resource_type") if "resource_type" in parsed.columns else D.text(v, "resourceType").alias("resource_type")),
         D.text(v, "id").alias("id"),
         D.get(v, "meta.versionId", "int").alias("version"),
         D.patient_ref(v).alias("patient_ref"),
         D.resource_date(v).alias("resource_date"),
-        *[c for c in parsed.columns if c not in ("doc", "v")],
+        *[c for c in parsed.columns if c not in ("doc", "v", "resource_type")],
         "doc",
         "v",
     )
@@ -99,7 +99,11 @@ def read_resources(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Resources from a ``doc`` column; stored order is the order of refs."""
+    """Resources from a ``doc`` column; stored order is the order of refs.
+
+    A ``resource_type`` column beside it (as in a table partitioned by type) is taken over, so that type
+    filters prune before any document is parsed.
+    """
     parsed = docs.withColumn("v", F.parse_json("doc"))
     pos = F.struct(
         D.ref(D.text(F.col("v"), "resourceType"), D.text(F.col("v"), "id")).alias("file"),
