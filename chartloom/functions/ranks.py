@@ -38,7 +38,9 @@ def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Col
     return joined.withColumn(out, F.col("_n") + F.col("_before")).drop("_bucket", "_n", "_before")
 
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def order_statistics(
+    df: DataFrame, by: Sequence[str], value: str, positions: dict[str, Callable[[Column], Column]], weight: str | None = None
+) -> DataFrame:
     """Exact elements of the sorted values of each group at 0-based positions computed from the count.
 
     Values are counted first, so a value held by a third of the rows is one row. The counts are cut
@@ -47,7 +49,8 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, positions: di
     """
     keys = list(by) or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
-    counts = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    counts = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(one).alias("_c"))
     spans = counts.groupBy(*keys).agg(
         F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_total")
     )
@@ -92,8 +95,8 @@ def at_floor(p: float) -> Callable[[Column], Column]:
     return lambda n: F.floor((n - 1) * F.lit(p))
 
 
-def median_of(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def median_of(df: DataFrame, by: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
     """Exact median: mean of the lower and upper middle elements."""
     middle = {"_lo_mid": at_floor(0.5), "_hi_mid": lambda n: F.ceil((n - 1) * F.lit(0.5))}
-    found = order_statistics(df, by, value, middle)
+    found = order_statistics(df, by, value, middle, weight)
     return found.select(*by, ((F.col("_lo_mid") + F.col("_hi_mid")) / 2).alias(out))
