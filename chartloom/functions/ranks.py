@@ -26,16 +26,16 @@ def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Col
     a group, never its rows, meet in one task.
     """
     by = list(by)
-    b = df.withColumn("_bucket", bucket)
-    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    numbered = b.withColumn("_n", F.row_number().over(inner))
-    counts = b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(
+    b = df.withColumn("__bucket", bucket)
+    inner = Window.partitionBy(*by, "__bucket").orderBy(*order)
+    numbered = b.withColumn("__n", F.row_number().over(inner))
+    counts = b.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(*by).orderBy(F.desc("__bucket") if descending else F.asc("__bucket")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    joined = join_groups(numbered, offsets, by + ["_bucket"])
-    return joined.withColumn(out, F.col("_n") + F.col("_before")).drop("_bucket", "_n", "_before")
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    joined = join_groups(numbered, offsets, by + ["__bucket"])
+    return joined.withColumn(out, F.col("__n") + F.col("__before")).drop("__bucket", "__n", "__before")
 
 
 def order_statistics(
@@ -100,3 +100,16 @@ def median_of(df: DataFrame, by: Sequence[str], value: str, out: str = "median",
     middle = {"_lo_mid": at_floor(0.5), "_hi_mid": lambda n: F.ceil((n - 1) * F.lit(0.5))}
     found = order_statistics(df, by, value, middle, weight)
     return found.select(*by, ((F.col("_lo_mid") + F.col("_hi_mid")) / 2).alias(out))
+
+
+def running_total(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """Sum of a value up to and including each row in (bucket, order), in the same two levels as ``ranked``."""
+    by = list(by)
+    b = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    inner = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = b.withColumn("__n", F.sum("__value").over(inner))
+    totals = b.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__c"))
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    joined = join_groups(summed, offsets, by + ["__bucket"])
+    return joined.withColumn(out, F.col("__n") + F.col("__before")).drop("__bucket", "__value", "__n", "__before")
