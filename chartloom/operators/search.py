@@ -206,8 +206,8 @@ def hide(resources: DataFrame, omit: DataFrame) -> DataFrame:
 
 # -- many queries at once ----------------------------------------------------------------
 
-def search_index(resources: DataFrame) -> DataFrame:
-    """One row per resource with everything a predicate can look at."""
+def search_index(resources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per resource with everything a predicate can look at; ``keep`` carries further columns along."""
     v, kind = F.col("v"), F.col("resource_type")
     entries = F.map_entries(D.fields(v))
     concept = F.when(kind == "DeviceRequest", "codeCodeableConcept").when(kind.isin(*C.MEDICATION_CODED), "medicationCodeableConcept").otherwise("code")
@@ -241,6 +241,7 @@ def search_index(resources: DataFrame) -> DataFrame:
         F.filter(entries, lambda e: ~F.to_json(e.value).isin("null", '""', "[]", "{}", "false", "0", "0.0")), lambda e: e.key
     )
     flat = resources.select(
+        *keep,
         "ref",
         "resource_type",
         "id",
@@ -255,17 +256,18 @@ def search_index(resources: DataFrame) -> DataFrame:
         present.alias("present"),
         F.when(kind.isin(*C.MEDICATION_CODED), D.text(v, "medicationReference.reference")).alias("_target"),
     )
-    return _medication_codes(flat)
+    return _medication_codes(flat, keep)
 
 
-def _medication_codes(flat: DataFrame) -> DataFrame:
+def _medication_codes(flat: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Where the medication a row refers to is present, its code tokens replace the inline concept."""
     of_code = lambda t: t.field == "code"
     meds = flat.where("resource_type = 'Medication'").select(
-        F.col("ref").alias("_med"), F.filter("tokens", of_code).alias("_codes")
+        *[F.col(k).alias("_m_" + k) for k in keep], F.col("ref").alias("_med"), F.filter("tokens", of_code).alias("_codes")
     )
     others = F.filter("tokens", lambda t: ~of_code(t))
-    joined = flat.join(meds, F.col("_target") == F.col("_med"), "left")
+    same = [F.col(k) == F.col("_m_" + k) for k in keep]
+    joined = flat.join(meds, [F.col("_target") == F.col("_med"), *same], "left").drop(*["_m_" + k for k in keep])
     tokens = F.when(F.col("_med").isNotNull(), F.concat(others, "_codes")).otherwise(F.col("tokens"))
     return joined.withColumn("tokens", tokens).drop("_target", "_med", "_codes")
 
@@ -327,6 +329,13 @@ def read_queries(queries: DataFrame) -> DataFrame:
 SALTS = 16
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def _row_matches(p: Column) -> Column:
     """Does the index row satisfy one predicate (any of its comma-separated choices)?"""
     base, field = p.base, p.field
@@ -362,29 +371,33 @@ def _row_matches(p: Column) -> Column:
     return F.exists(choices, one)
 
 
-def resolve_chains(good: DataFrame, index: DataFrame) -> DataFrame:
+def resolve_chains(good: DataFrame, index: DataFrame, world: list[str]) -> DataFrame:
     """Patients behind every ``patient.identifier`` predicate: adds ``chained``, one set per query.
 
     Two chained predicates in one query must both hold, so their sets are intersected by counting.
     """
     chained = good.select(
         "query_id",
+        *world,
         F.posexplode(F.filter("predicates", lambda p: p.key == "patient.identifier")).alias("n", "p"),
         F.size(F.filter("predicates", lambda p: p.key == "patient.identifier")).alias("wanted"),
     ).withColumn("code", X.after_bar(F.col("p.value")))
     people = index.where("resource_type = 'Patient'").select(
-        "ref", F.filter("tokens", lambda t: t.field == "identifier").alias("ids")
+        *[F.col(w).alias("_i_" + w) for w in world], "ref", F.filter("tokens", lambda t: t.field == "identifier").alias("ids")
     ).withColumn("id_", F.explode("ids"))
-    hit = chained.join(people, F.col("code") == F.col("id_.code")).where(D.token_match(F.array("id_"), F.col("p.value")))
+    same = [F.col(w) == F.col("_i_" + w) for w in world]
+    hit = chained.join(people, [F.col("code") == F.col("id_.code"), *same]).where(D.token_match(F.array("id_"), F.col("p.value")))
     return (
         hit.groupBy("query_id", "ref").agg(F.countDistinct("n").alias("got"), F.first("wanted").alias("wanted"))
         .where("got = wanted").select("query_id", F.col("ref").alias("chain_ref"))
     )
 
 
-def batch_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None) -> DataFrame:
     """(query_id, ref) of every match of every valid query.
 
+    ``world`` names a column of both sides that keeps separate charts apart.
+
     Each query is joined on its most selective equality predicate (its anchor); the other predicates
     are then read off the joined row. Anchors are salted, so a token held by a third of the rows is
     spread over several tasks.
@@ -403,16 +416,17 @@ def batch_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
         )), 1,
     )
     q = good.withColumn("_best", best)
-    chains = resolve_chains(q, index)
+    worlds = [world] if world else []
+    chains = resolve_chains(q, index, worlds)
     tail = lambda c: F.when(F.col("_best.r").isin(3, 4), _bare(c)).when(F.col("_best.r") == 1, c).otherwise(X.after_bar(c))
     anchored = q.where("_best.r > 0").select(
-        "query_id", "resource_type", "predicates",
+        "query_id", *worlds, "resource_type", "predicates",
         F.when(F.col("_best.r") < 9, F.col("_best.field")).otherwise("").alias("_field"),
         F.explode(F.array_distinct(F.when(F.col("_best.r") < 9, F.transform(F.split("_best.value", ","), tail)).otherwise(F.array(F.lit(""))))).alias("_code"),
         F.lit(None).cast("string").alias("_owner"),
     )
     by_chain = q.where("_best.r = 0").join(chains, "query_id").select(
-        "query_id", "resource_type", "predicates", F.lit("patient").alias("_field"), _bare(F.col("chain_ref")).alias("_code"),
+        "query_id", *worlds, "resource_type", "predicates", F.lit("patient").alias("_field"), _bare(F.col("chain_ref")).alias("_code"),
         F.col("chain_ref").alias("_owner"),
     )
     wanted = anchored.unionByName(by_chain).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -429,8 +443,9 @@ def batch_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
     placed = index.withColumn("_a", F.explode(anchors)).withColumn("_salt", F.pmod(F.xxhash64("ref"), F.lit(SALTS)).cast("int"))
     joined = placed.join(
-        wanted.withColumnRenamed("resource_type", "_kind"),
-        (F.col("resource_type") == F.col("_kind")) & (F.col("_a.field") == F.col("_field"))
+        wanted.withColumnsRenamed({"resource_type": "_kind"} | {w: "_q_" + w for w in worlds}),
+        _all([placed[w] == F.col("_q_" + w) for w in worlds])
+        & (F.col("resource_type") == F.col("_kind")) & (F.col("_a.field") == F.col("_field"))
         & (F.col("_a.code") == F.col("_code")) & (placed["_salt"] == wanted["_salt"]),
     )
     kept = joined.where(F.forall("predicates", _row_matches) & (F.col("_owner").isNull() | (F.col("_owner") == F.col("patient_ref"))))
