@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TERM_PATTERN = r"[\p{L}\p{N}_]+(?:[-./][\p{L}\p{N}_]+)*"
+TERM_PATTERN = r"[\p{L}\p{N}_]++(?:[-./][\p{L}\p{N}_]++)*+"
 DATE_PREFIX = r"^(?:eq|ne|gt|lt|ge|le|sa|eb|ap)(?=\d{4}-)"
 HEX_ID = r"(?<![a-f0-9])[a-f0-9]{24}(?![a-f0-9])"
 
@@ -98,7 +98,7 @@ def answer_text(s: Column, allow_fence: bool = False) -> Column:
     one_object = F.regexp_like(body, F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.schema_of_variant(parsed).startswith("OBJECT")
     # The parser stops after the first value: text left over shows as a second object when
     # the braces outside strings close before the end.
-    outside = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', "")
+    outside = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*+"', "")
     tail = F.regexp_replace(outside, r"[^{}]", "")
     depth = F.aggregate(
         F.filter(F.split(tail, ""), lambda c: c != ""),
@@ -124,7 +124,7 @@ def register_functions(spark) -> None:
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION lexical_terms(s STRING) RETURNS ARRAY<STRING> RETURN "
-        r"array_distinct(regexp_extract_all(lower(s), r'[\p{L}\p{N}_]+(?:[-./][\p{L}\p{N}_]+)*', 0))"
+        r"array_distinct(regexp_extract_all(lower(s), r'[\p{L}\p{N}_]++(?:[-./][\p{L}\p{N}_]++)*+', 0))"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION token_match(system STRING, code STRING, needle STRING) RETURNS BOOLEAN "

@@ -13,18 +13,18 @@ READ_METHODS = ("GET", "SELECT")
 
 def _outside_strings(sql: Column) -> Column:
     """SQL text in lower case with string literals emptied."""
-    return F.lower(F.regexp_replace(sql, r"'(?:[^']|'')*'", "''"))
+    return F.lower(F.regexp_replace(sql, r"'(?:[^']|'')*+'", "''"))
 
 
 def where_literals(sql: Column) -> Column:
     """Literals of the WHERE clause, JSON paths left out."""
     clause = F.regexp_extract(sql, r"(?is)\bwhere\b(.*)$", 1)
     # Cut at the next clause, stepping over literals.
-    body = F.regexp_extract(clause, r"(?is)^((?:'(?:[^']|'')*'|(?!\b(?:group\s+by|having|order\s+by|limit)\b)[^'])*)", 1)
+    body = F.regexp_extract(clause, r"(?is)^((?:'(?:[^']|'')*+'|(?!\b(?:group\s+by|having|order\s+by|limit)\b)[^'])*+)", 1)
     strings = F.transform(
-        F.regexp_extract_all(body, F.lit(r"'((?:[^']|'')*)'"), F.lit(1)), lambda s: F.replace(s, F.lit("''"), F.lit("'"))
+        F.regexp_extract_all(body, F.lit(r"'((?:[^']|'')*+)'"), F.lit(1)), lambda s: F.replace(s, F.lit("''"), F.lit("'"))
     )
-    numbers = F.regexp_extract_all(F.regexp_replace(body, r"'(?:[^']|'')*'", ""), F.lit(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])"), F.lit(0))
+    numbers = F.regexp_extract_all(F.regexp_replace(body, r"'(?:[^']|'')*+'", ""), F.lit(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])"), F.lit(0))
     return F.filter(F.concat(strings, numbers), lambda s: ~s.startswith("$"))
 
 
