@@ -14,7 +14,6 @@ _SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, val
 
 def _stream(spark, sf):
     """The call log as a stream; the place in the log is the event number."""
-    Z.use_rocksdb(spark)
     e = spark.readStream.schema(_SCHEMA).parquet(f"{sf}/events*.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     s = lambda c: c.cast("string")
@@ -32,7 +31,7 @@ def _stream(spark, sf):
 
 @query("z01_stream_budget", "select 'ep'||user_id as episode_id, event_id as seq, call, call>40 as refused from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as call from events) z")
 def budget(spark, sf):
-    return Z.run_to_table(Z.stream_budget(_stream(spark, sf)))
+    return Z.stream_budget(spark).run_available(_stream(spark, sf))
 
 
 @query(
@@ -41,7 +40,7 @@ def budget(spark, sf):
         and not exists (select 1 from ev0 s where s.user_id=u.user_id and s.k=u.k and s.event_type='click' and s.event_id<u.event_id)""", "ev0"),
 )
 def novelty(spark, sf):
-    return Z.run_to_table(Z.stream_novelty(_stream(spark, sf), charts.episode_tasks(spark, sf)))
+    return Z.stream_novelty(spark, charts.episode_tasks(spark, sf)).run_available(_stream(spark, sf))
 
 
 @query(
@@ -51,7 +50,7 @@ def novelty(spark, sf):
         select 'ep'||user_id as episode_id, o as first_evidence_call, case when p is not null and o is not null then greatest(p,o) end as all_evidence_call from a where p is not null or o is not null""", "ev0"),
 )
 def exposure(spark, sf):
-    rows = Z.run_to_table(Z.stream_exposure(_stream(spark, sf), charts.episode_tasks(spark, sf)), "update")
+    rows = Z.stream_exposure(spark, charts.episode_tasks(spark, sf)).run_available(_stream(spark, sf))
     return rows.select("episode_id", "first_evidence_call", "all_evidence_call")
 
 
@@ -61,13 +60,7 @@ def exposure(spark, sf):
        case o_orderkey%4 when 0 then 204 when 1 then 403 when 2 then 409 else 412 end as status from orders""",
 )
 def changes(spark, sf):
-    import uuid
-
-    from chartloom.session import ensure_checkpoint_dir
-
-    Z.use_rocksdb(spark)
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/changes-{uuid.uuid4()}"
+    folder = Z.shared_folder(spark, "changes")
     _, _, _, _, current, policy = writes._world(spark, sf)
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     o = spark.readStream.schema(schema).parquet(f"{sf}/orders*.parquet")
@@ -91,4 +84,4 @@ def changes(spark, sf):
         select episode_id, round, count(*) as calls, count(*) filter (bad) as errors from s group by episode_id, round, n""", "ev0"),
 )
 def rounds(spark, sf):
-    return Z.run_to_table(Z.stream_rounds(_stream(spark, sf)), "complete").select("episode_id", "round", "calls", "errors")
+    return Z.run_complete(Z.stream_rounds(_stream(spark, sf))).select("episode_id", "round", "calls", "errors")
