@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from chartloom.functions import documents as D
 from chartloom.operators import edges as G
 
-V = F.col("v")
 
 
 def _rows(df: DataFrame, rule: str, detail: Column | None = None, ref: str = "ref") -> DataFrame:
@@ -24,7 +23,7 @@ def duplicate_identity(resources: DataFrame) -> DataFrame:
 
 
 def multi_patient(resources: DataFrame) -> DataFrame:
-    owned = resources.select("ref", D.owners(V).alias("owners")).where(F.size("owners") > 1)
+    owned = resources.select("ref", D.owners(F.col("v")).alias("owners")).where(F.size("owners") > 1)
     return _rows(owned, "multi_patient", F.array_join(F.array_sort("owners"), ","))
 
 
@@ -39,7 +38,7 @@ def cross_patient_references(resources: DataFrame, edge_rows: DataFrame) -> Data
 def team_on_behalf(resources: DataFrame) -> DataFrame:
     """``onBehalfOf`` needs a Practitioner member."""
     bad = F.exists(
-        D.values_at(V, "participant"),
+        D.values_at(F.col("v"), "participant"),
         lambda p: ~D.falsy(p, "onBehalfOf") & ~F.coalesce(D.text(p, "member.reference").startswith("Practitioner/"), F.lit(False)),
     )
     return _rows(resources.where("resource_type = 'CareTeam'").where(bad), "team_on_behalf")
@@ -47,8 +46,8 @@ def team_on_behalf(resources: DataFrame) -> DataFrame:
 
 def list_dates(resources: DataFrame) -> DataFrame:
     """Entry dates are for working lists only."""
-    dated = F.exists(D.values_at(V, "entry"), lambda e: ~D.falsy(e, "date"))
-    mode = F.coalesce(D.text(V, "mode"), F.lit(""))
+    dated = F.exists(D.values_at(F.col("v"), "entry"), lambda e: ~D.falsy(e, "date"))
+    mode = F.coalesce(D.text(F.col("v"), "mode"), F.lit(""))
     return _rows(resources.where("resource_type = 'List'").where(dated & (mode != "working")), "list_dates")
 
 
@@ -87,12 +86,12 @@ def double_booking(appointments: DataFrame, slots: DataFrame) -> DataFrame:
 
 def value_and_absent(resources: DataFrame) -> DataFrame:
     """An Observation has a value or the reason it has none, not both."""
-    valued = F.exists(F.map_keys(D.fields(V)), lambda k: k.startswith("value"))
-    return _rows(resources.where("resource_type = 'Observation'").where(~D.falsy(V, "dataAbsentReason") & valued), "value_and_absent")
+    valued = F.exists(F.map_keys(D.fields(F.col("v"))), lambda k: k.startswith("value"))
+    return _rows(resources.where("resource_type = 'Observation'").where(~D.falsy(F.col("v"), "dataAbsentReason") & valued), "value_and_absent")
 
 
 def occurrence_choice(resources: DataFrame) -> DataFrame:
-    both = D.falsy(V, "occurrenceDateTime") == D.falsy(V, "occurrenceString")
+    both = D.falsy(F.col("v"), "occurrenceDateTime") == D.falsy(F.col("v"), "occurrenceString")
     return _rows(resources.where("resource_type = 'Immunization'").where(both), "occurrence_choice")
 
 
@@ -160,7 +159,7 @@ def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int =
     """
     c = contracts.withColumnRenamed("type", "resource_type")
     rows = resources.select("ref", "resource_type", "v").join(c, "resource_type")
-    parents = F.array(V)
+    parents = F.array(F.col("v"))
 
     def step(values: Column, part: Column) -> Column:
         def children(x: Column) -> Column:
@@ -224,7 +223,7 @@ def shape_violations(resources: DataFrame, shapes: DataFrame) -> DataFrame:
     ``shapes`` has (resource_type, fields map<name, kind>, required array<string>) where kind is a prefix of
     the field's schema: STRING, BIGINT, BOOLEAN, OBJECT, ARRAY, ...
     """
-    j = resources.select("ref", "resource_type", V).join(shapes, "resource_type").withColumn("m", D.fields(V))
+    j = resources.select("ref", "resource_type", F.col("v")).join(shapes, "resource_type").withColumn("m", D.fields(F.col("v")))
     entries = F.map_entries("m")
     unknown = F.filter(F.map_keys("m"), lambda k: ~F.map_contains_key("fields", k) & ~k.startswith("_"))
     numeric = lambda s: s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT", "BIGINT")
@@ -249,14 +248,14 @@ def graph_violations(resources: DataFrame) -> DataFrame:
     """All whole-graph rules at once; a chart is valid when this is empty."""
     e = G.edges(resources)
     typed = lambda kind: resources.where(F.col("resource_type") == kind)
-    at = lambda p: D.text(V, p)
+    at = lambda p: D.text(F.col("v"), p)
     appts = typed("Appointment").select(
         F.col("ref").alias("resource_ref"), at("status").alias("status"), at("start").alias("start"), at("end").alias("end"),
-        F.explode_outer(D.references_in(V, "slot")).alias("slot_ref"),
+        F.explode_outer(D.references_in(F.col("v"), "slot")).alias("slot_ref"),
     )
     slots = typed("Slot").select(
         F.col("ref").alias("resource_ref"), at("status").alias("status"), at("start").alias("start"), at("end").alias("end"),
-        F.coalesce(D.get(V, "overbooked", "boolean"), F.lit(False)).alias("overbooked"),
+        F.coalesce(D.get(F.col("v"), "overbooked", "boolean"), F.lit(False)).alias("overbooked"),
     )
     dispenses = typed("MedicationDispense").select(
         F.col("ref").alias("resource_ref"), F.coalesce(at("whenPrepared"), F.lit("")).alias("prepared"),

@@ -13,7 +13,6 @@ from chartloom.plans.sqltext import sql
 from chartloom.sources import contracts, files, relational, sinks
 
 C = F.col
-v = F.col("v")
 
 
 @query(
@@ -262,7 +261,7 @@ def import_patients(spark, sf):
         k.cast("string").alias("source_id"), C("c_name").alias("name"), F.when(k % 3 == 0, "F").when(k % 3 == 1, "M").alias("sex"), (k % 80).alias("age"), F.lit("1995-01-01").alias("first_date")
     )
     d = etl.import_patients(p).withColumn("v", F.parse_json("doc"))
-    return d.select(C("source_id").cast("bigint").alias("source_id"), D.text(v, "identifier[0].value").alias("mrn"), D.text(v, "gender").alias("gender"), D.text(v, "birthDate").alias("birth"))
+    return d.select(C("source_id").cast("bigint").alias("source_id"), D.text(F.col("v"), "identifier[0].value").alias("mrn"), D.text(F.col("v"), "gender").alias("gender"), D.text(F.col("v"), "birthDate").alias("birth"))
 
 
 @query(
@@ -276,8 +275,8 @@ def import_encounters(spark, sf):
         F.when(k % 4 == 0, "icu").when(k % 4 == 1, "ed").otherwise("clinic").alias("encounter_type"), C("text").alias("note_text"),
     )
     d = etl.import_encounters(e).withColumn("v", F.parse_json("doc"))
-    body = F.md5(F.encode(D.document_text(v), "UTF-8"))
-    return d.select(C("source_id").cast("bigint").alias("doc_id"), D.text(v, "resourceType").alias("kind"), F.coalesce(D.text(v, "class.code"), body).alias("detail"))
+    body = F.md5(F.encode(D.document_text(F.col("v")), "UTF-8"))
+    return d.select(C("source_id").cast("bigint").alias("doc_id"), D.text(F.col("v"), "resourceType").alias("kind"), F.coalesce(D.text(F.col("v"), "class.code"), body).alias("detail"))
 
 
 @query(
@@ -291,8 +290,8 @@ def import_profile(spark, sf):
     profile = F.concat(F.lit('{"chronic_conditions":["'), "c_mktsegment", F.lit('"],"allergies":["'), allergy, F.lit('"],"home_medications":[{"name":"aspirin","dose":"1"},"ibuprofen"]}'))
     p = table(spark, sf, "customer").select(C("c_custkey").cast("string").alias("source_id"), profile.alias("profile"))
     d = etl.import_profile(p).withColumn("v", F.parse_json("doc"))
-    said = F.coalesce(D.text(v, "code.text"), D.text(v, "medicationCodeableConcept.text"))
-    return d.select(C("source_id").cast("bigint").alias("c_custkey"), D.text(v, "resourceType").alias("kind"), said.alias("text"), "source_key")
+    said = F.coalesce(D.text(F.col("v"), "code.text"), D.text(F.col("v"), "medicationCodeableConcept.text"))
+    return d.select(C("source_id").cast("bigint").alias("c_custkey"), D.text(F.col("v"), "resourceType").alias("kind"), said.alias("text"), "source_key")
 
 
 @query(
@@ -302,7 +301,7 @@ def import_profile(spark, sf):
 def provenance(spark, sf):
     deletable = charts.servicerequest(spark, sf).where(F.substring("id", 2, 20).cast("bigint") % 7 == 0).select(C("resource_ref").alias("ref"))
     p = etl.emit_provenance(_ledger(spark, sf), deletable, "2026-01-01", "Organization/n1").withColumn("v", F.parse_json("doc"))
-    return p.select(D.text(v, "target[0].reference").alias("target_ref"), D.text(v, "activity.text").alias("activity"))
+    return p.select(D.text(F.col("v"), "target[0].reference").alias("target_ref"), D.text(F.col("v"), "activity.text").alias("activity"))
 
 
 @query("e06_repair_allergy_status", "select 'AllergyIntolerance/'||o_orderkey as ref, 'active' as clinical, 'unconfirmed' as verification, case when o_orderkey%4=1 then 2 else 1 end as notes from orders where o_orderkey%2=1")
@@ -315,7 +314,7 @@ def repair_allergy(spark, sf):
     doc = F.to_json(F.struct(F.lit("AllergyIntolerance").alias("resourceType"), k.cast("string").alias("id"), status.alias("clinicalStatus"), note.alias("note")))
     fixed, _ = etl.repair_allergy_status(from_documents(table(spark, sf, "orders").select(doc.alias("doc"))))
     f = fixed.withColumn("v", F.parse_json("doc"))
-    return f.select("ref", D.text(v, "clinicalStatus.coding[0].code").alias("clinical"), D.text(v, "verificationStatus.coding[0].code").alias("verification"), F.size(D.values_at(v, "note")).alias("notes"))
+    return f.select("ref", D.text(F.col("v"), "clinicalStatus.coding[0].code").alias("clinical"), D.text(F.col("v"), "verificationStatus.coding[0].code").alias("verification"), F.size(D.values_at(F.col("v"), "note")).alias("notes"))
 
 
 @query(
@@ -333,7 +332,7 @@ def repair_device(spark, sf):
     prov = o.where(k % 5 != 0).select(F.to_json(F.struct(F.lit("Provenance").alias("resourceType"), F.concat(F.lit("p"), k.cast("string")).alias("id"), F.array(r("DeviceUseStatement/")).alias("target"))).alias("doc"))
     docs, _ = etl.repair_device_links(from_documents(use.unionByName(prov)))
     d = docs.withColumn("v", F.parse_json("doc"))
-    return d.select("ref", F.size(D.values_at(v, "basedOn")).alias("based_on"), F.size(D.values_at(v, "entity")).alias("entities"))
+    return d.select("ref", F.size(D.values_at(F.col("v"), "basedOn")).alias("based_on"), F.size(D.values_at(F.col("v"), "entity")).alias("entities"))
 
 
 @query(

@@ -10,13 +10,12 @@ from chartloom.plans.charts import table
 from chartloom.plans.registry import query
 from chartloom.plans.sqltext import sql
 
-v = F.col("v")
 
 
 @query("p01_ref", sql("select resource_ref as ref, id from sr union all select resource_ref, id from cov", "sr", "cov"))
 def ref(spark, sf):
     r = charts.resources(spark, sf, "ServiceRequest", "Coverage")
-    return r.select(D.ref(D.text(v, "resourceType"), D.text(v, "id")).alias("ref"), D.text(v, "id").alias("id"))
+    return r.select(D.ref(D.text(F.col("v"), "resourceType"), D.text(F.col("v"), "id")).alias("ref"), D.text(F.col("v"), "id").alias("id"))
 
 
 @query(
@@ -44,18 +43,18 @@ def owner_and_date(spark, sf):
 )
 def values_at(spark, sf):
     r = charts.resources(spark, sf, "Observation", "MedicationRequest")
-    return r.select("ref", *[F.size(D.values_at(v, f)).alias(f) for f in ("focus", "subject", "issued")])
+    return r.select("ref", *[F.size(D.values_at(F.col("v"), f)).alias(f) for f in ("focus", "subject", "issued")])
 
 
 @query("p06_first_code", sql("select resource_ref as ref, code from docref union all select resource_ref, code from proc union all select resource_ref, null from task", "docref", "proc", "task"))
 def first_code(spark, sf):
-    return charts.resources(spark, sf, "DocumentReference", "Procedure", "Task").select("ref", D.first_code(v).alias("code"))
+    return charts.resources(spark, sf, "DocumentReference", "Procedure", "Task").select("ref", D.first_code(F.col("v")).alias("code"))
 
 
 @query("p07_first_ref", sql("select resource_ref as ref, slot_ref as slot, null as subject from appt union all select resource_ref, null, patient_ref from sr", "appt", "sr"))
 def first_ref(spark, sf):
     r = charts.resources(spark, sf, "Appointment", "ServiceRequest")
-    return r.select("ref", D.first_ref(v, "slot").alias("slot"), D.first_ref(v, "subject").alias("subject"))
+    return r.select("ref", D.first_ref(F.col("v"), "slot").alias("slot"), D.first_ref(F.col("v"), "subject").alias("subject"))
 
 
 @query(
@@ -64,7 +63,7 @@ def first_ref(spark, sf):
 )
 def origin(spark, sf):
     r = charts.resources(spark, sf, "DocumentReference")
-    return r.select("ref", F.array_join(D.tag_codes(v), ",").alias("origin"), D.is_generated(v).alias("generated"), D.is_source_preserved(v).alias("preserved"))
+    return r.select("ref", F.array_join(D.tag_codes(F.col("v")), ",").alias("origin"), D.is_generated(F.col("v")).alias("generated"), D.is_source_preserved(F.col("v")).alias("preserved"))
 
 
 @query(
@@ -77,7 +76,7 @@ def strip_version(spark, sf):
     newer = F.replace("doc", F.lit('"versionId":"1"'), F.lit('"versionId":"2"'))
     changed = F.when(odd, F.regexp_replace(newer, '"status":"[a-z]+"', '"status":"revoked"')).otherwise(newer)
     after = r.withColumn("v2", F.parse_json(changed))
-    return after.select("ref", (D.fingerprint(D.strip_version(v)) == D.fingerprint(D.strip_version(F.col("v2")))).alias("same"))
+    return after.select("ref", (D.fingerprint(D.strip_version(F.col("v"))) == D.fingerprint(D.strip_version(F.col("v2")))).alias("same"))
 
 
 @query(
@@ -85,7 +84,7 @@ def strip_version(spark, sf):
     sql("""select resource_ref as ref, 'resourceType,sent,status,subject' as kept, '"'||date||'"' as sent from comm""", "comm"),
 )
 def drop_fields(spark, sf):
-    kept = charts.resources(spark, sf, "Communication").select("ref", D.drop_fields(v).alias("m"))
+    kept = charts.resources(spark, sf, "Communication").select("ref", D.drop_fields(F.col("v")).alias("m"))
     return kept.select("ref", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("kept"), F.col("m")["sent"].alias("sent"))
 
 
@@ -96,7 +95,7 @@ def drop_fields(spark, sf):
 )
 def document_text(spark, sf):
     page = D.document_page(F.col("body"), 100, 400)
-    r = charts.resources(spark, sf, "DocumentReference").select("ref", D.document_text(v).alias("body")).withColumn("p", page)
+    r = charts.resources(spark, sf, "DocumentReference").select("ref", D.document_text(F.col("v")).alias("body")).withColumn("p", page)
     return r.select("ref", F.md5(F.encode("p.text", "UTF-8")).alias("page_md5"), F.col("p.total_characters").alias("total_characters"), F.col("p.next_start").alias("next_start"))
 
 
@@ -139,7 +138,7 @@ def crud_and_bin(spark, sf):
         select resource_ref, '<div xmlns="http://www.w3.org/1999/xhtml"><p>Medication. Synthetic record. '||text||'</p></div>' from medication""", "task", "medication"),
 )
 def narrative(spark, sf):
-    return charts.resources(spark, sf, "Task", "Medication").select("ref", D.narrative(v).alias("div"))
+    return charts.resources(spark, sf, "Task", "Medication").select("ref", D.narrative(F.col("v")).alias("div"))
 
 
 @query("p28_stable_id", sql("select resource_ref as ref, substr(sha256('Patient|'||identifier||'|17'),1,24) as stable_id from patient", "patient"))
@@ -166,7 +165,7 @@ def shape_paths(spark, sf):
 )
 def feature_flags(spark, sf):
     r = charts.resources(spark, sf, "Observation", "MedicationRequest", "DiagnosticReport")
-    return r.select("ref", F.array_join(D.feature_flags(v), ",").alias("flags"))
+    return r.select("ref", F.array_join(D.feature_flags(F.col("v")), ",").alias("flags"))
 
 
 @query(
@@ -177,7 +176,7 @@ def remap_refs(spark, sf):
     r = charts.resources(spark, sf, "ServiceRequest")
     mapping = F.create_map(F.col("patient_ref"), F.concat(F.lit("Patient/new-"), F.substring("patient_ref", 10, 30)))
     out = r.select("ref", F.parse_json(D.remap(F.col("doc"), mapping)).alias("v"))
-    return out.select("ref", D.first_ref(v, "subject").alias("subject"), D.first_code(v).alias("code"))
+    return out.select("ref", D.first_ref(F.col("v"), "subject").alias("subject"), D.first_code(F.col("v")).alias("code"))
 
 
 @query(
@@ -334,6 +333,6 @@ def registered_functions(spark, sf):
     X.register_functions(spark)
     charts.resources(spark, sf, "ServiceRequest").createOrReplaceTempView("sr_resources")
     return spark.sql(
-        """SELECT ref, stable_id(array(id, variant_get(v, '$.code.coding[0].code', 'string'))) AS sid,
-        token_match('urn:chart:codes', variant_get(v, '$.code.coding[0].code', 'string'), '|1-URGENT') AS urgent, resource_date(v) AS d FROM sr_resources"""
+        """SELECT ref, stable_id(array(id, variant_get(F.col("v"), '$.code.coding[0].code', 'string'))) AS sid,
+        token_match('urn:chart:codes', variant_get(F.col("v"), '$.code.coding[0].code', 'string'), '|1-URGENT') AS urgent, resource_date(F.col("v")) AS d FROM sr_resources"""
     )
