@@ -143,73 +143,76 @@ def dispense_links(dispenses: DataFrame, prescriptions: DataFrame) -> DataFrame:
 
 # -- contracts ---------------------------------------------------------------------------
 
-def _present_values(parent: Column, names: Column) -> Column:
-    """Top-level entries of an object whose key is one of the names (or the underscored twin)."""
-    return F.filter(
-        F.map_entries(D.fields(parent)),
-        lambda e: F.array_contains(names, F.regexp_replace(e.key, "^_", "")),
-    )
+def _child_step(children, part: Column):
+    return lambda x: children(x, part)
 
 
 def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int = 4) -> DataFrame:
     """Cardinality, scalar-or-list, choice exclusivity and legal reference targets at nested paths.
 
-    ``contracts`` has (type, path, min, max, types, targets) and joins by type; it is a catalogue, so
-    Spark broadcasts it when its size allows. Parents of a nested path are unfolded level by level.
+    ``contracts`` has (type, path, min, max, types, targets). Rules on the same parent are gathered first (a
+    catalogue has a few per parent), so a document is joined once per parent path and not once per rule; all
+    its rules are then evaluated inside the row.
     """
-    c = contracts.withColumnRenamed("type", "resource_type")
+    parent_path = F.slice("path", F.lit(1), F.size("path") - 1)
+    rule = F.struct("path", "min", "max", "types", "targets")
+    c = contracts.where(F.size("path") <= depth + 1).groupBy(F.col("type").alias("resource_type"), parent_path.alias("parent")).agg(
+        F.collect_list(rule).alias("rules")
+    )
     rows = resources.select("ref", "resource_type", "v").join(c, "resource_type")
-    parents = F.array(F.col("v"))
-
-    def step(values: Column, part: Column) -> Column:
-        def children(x: Column) -> Column:
-            choice = part.endswith("[x]")
-            stem = F.regexp_replace(part, r"\[x\]$", "")
-            entries = F.filter(
-                F.coalesce(F.map_entries(D.fields(x)), F.array().cast("array<struct<key:string,value:variant>>")),
-                lambda e: F.when(choice, e.key.startswith(stem)).otherwise(e.key == part),
-            )
-            lists = F.transform(entries, lambda e: F.coalesce(D.items(e.value), F.array(e.value)))
-            return F.flatten(lists)
-
-        return F.when(part.isNull(), values).otherwise(F.flatten(F.transform(values, children)))
-
-    for level in range(depth):
-        rows = rows.withColumn(
-            f"_p{level}",
-            step(parents if level == 0 else F.col(f"_p{level - 1}"), F.when(F.size("path") > level + 1, F.try_element_at("path", F.lit(level + 1)))),
+
+    def children(x: Column, part: Column) -> Column:
+        stem = F.regexp_replace(part, r"\[x\]$", "")
+        entries = F.filter(
+            F.coalesce(F.map_entries(D.fields(x)), F.array().cast("array<struct<key:string,value:variant>>")),
+            lambda e: F.when(part.endswith("[x]"), e.key.startswith(stem)).otherwise(e.key == part),
         )
-    objects = F.filter(f"_p{depth - 1}", lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
-    rows = rows.where(F.size("path") <= depth + 1).select(
-        "ref", "path", "min", "max", "types", "targets", F.explode(objects).alias("parent")
-    )
-    field = F.element_at("path", -1)
-    names = F.when(
-        field.endswith("[x]"),
-        F.transform("types", lambda t: F.concat(F.regexp_replace(field, r"\[x\]$", ""), F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100))),
-    ).otherwise(F.array(field))
-    rows = rows.withColumn("_entries", _present_values(F.col("parent"), names))
-    plain = F.filter("_entries", lambda e: ~e.key.startswith("_"))
-    keys = F.array_distinct(F.transform("_entries", lambda e: F.regexp_replace(e.key, "^_", "")))
-    listed = F.exists(plain, lambda e: F.coalesce(F.schema_of_variant(e.value).startswith("ARRAY"), F.lit(False)))
-    values = F.flatten(F.transform(plain, lambda e: F.coalesce(D.items(e.value), F.array(e.value))))
-    # A key present only through its underscored twin counts as one value.
-    n = F.when((F.size(values) == 0) & (F.size(keys) > 0), 1).otherwise(F.size(values))
-    top = F.when(F.col("max") != "*", F.col("max").cast("int"))
-    refs = F.filter(
-        F.flatten(F.transform(values, lambda x: D.references(F.to_json(x)))), lambda r: ~r.rlike(G.EXTERNAL)
-    )
-    wrong = F.filter(refs, lambda r: ~F.array_contains("targets", F.substring_index(r, "/", 1)))
-    checked_targets = (F.coalesce(F.size("targets"), F.lit(0)) > 0) & ~F.array_contains("targets", "Resource")
-    found = F.array_compact(
-        F.array(
-            F.when((F.col("max") == "1") & listed, F.lit("list_for_scalar")),
-            F.when(F.size(keys) > 1, F.lit("multiple_choices")),
-            F.when((n < F.col("min")) | (n > top), F.concat(F.lit("cardinality="), n.cast("string"))),
-            F.when(checked_targets & (F.size(wrong) > 0), F.concat(F.lit("target="), F.element_at(wrong, 1))),
+        return F.flatten(F.transform(entries, lambda e: F.coalesce(D.items(e.value), F.array(e.value))))
+
+    rows = rows.withColumn("_p", F.array("v"))
+    for level in range(1, depth + 1):
+        part = F.try_element_at("parent", F.lit(level))
+        rows = rows.withColumn(
+            "_p", F.when(F.size("parent") >= level, F.flatten(F.transform("_p", _child_step(children, part)))).otherwise(F.col("_p"))
         )
-    )
-    return rows.select("ref", F.array_join("path", ".").alias("path"), F.explode(found).alias("violation"))
+    is_object = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    rows = rows.select("ref", "rules", F.explode(F.filter("_p", is_object)).alias("_o")).withColumn("_all", F.map_entries(D.fields(F.col("_o"))))
+
+    def names(r: Column) -> Column:
+        field = F.element_at(r.path, -1)
+        stem = F.regexp_replace(field, r"\[x\]$", "")
+        choices = F.transform(r.types, lambda t: F.concat(stem, F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100)))
+        return F.when(field.endswith("[x]"), choices).otherwise(F.array(field))
+
+    bare = lambda e: F.regexp_replace(e.key, "^_", "")
+    rows = rows.withColumn("_named", F.transform("rules", lambda r: F.struct(r.alias("r"), names(r).alias("names"))))
+    rows = rows.withColumn("_found", F.transform("_named", lambda n: F.struct(
+        n.r.alias("r"), F.filter("_all", lambda e: F.array_contains(n["names"], bare(e))).alias("entries"))))
+    plain = lambda f: F.filter(f.entries, lambda e: ~e.key.startswith("_"))
+    rows = rows.withColumn("_facts", F.transform("_found", lambda f: F.struct(
+        f.r.alias("r"),
+        F.size(F.array_distinct(F.transform(f.entries, bare))).alias("keys"),
+        F.exists(plain(f), lambda e: F.coalesce(F.schema_of_variant(e.value).startswith("ARRAY"), F.lit(False))).alias("listed"),
+        F.flatten(F.transform(plain(f), lambda e: F.coalesce(D.items(e.value), F.array(e.value)))).alias("values"),
+    )))
+
+    def broken(f: Column) -> Column:
+        r = f.r
+        # A key present only through its underscored twin counts as one value.
+        n = F.when((F.size(f["values"]) == 0) & (f["keys"] > 0), 1).otherwise(F.size(f["values"]))
+        bounded = (F.coalesce(F.size(r.targets), F.lit(0)) > 0) & ~F.array_contains(r.targets, "Resource")
+        refs = F.flatten(F.transform(f["values"], lambda x: D.references(F.to_json(x))))
+        wrong = F.filter(refs, lambda x: ~x.rlike(G.EXTERNAL) & ~F.array_contains(r.targets, F.substring_index(x, "/", 1)))
+        first_wrong = F.when(bounded, F.try_element_at(wrong, F.lit(1)))
+        found = F.array_compact(F.array(
+            F.when((r["max"] == "1") & f.listed, F.lit("list_for_scalar")),
+            F.when(f["keys"] > 1, F.lit("multiple_choices")),
+            F.when((n < r["min"]) | ((r["max"] != "*") & (n > r["max"].try_cast("int"))), F.concat(F.lit("cardinality="), n.cast("string"))),
+            F.concat(F.lit("target="), first_wrong),
+        ))
+        return F.transform(found, lambda x: F.struct(F.array_join(r.path, ".").alias("path"), x.alias("violation")))
+
+    return rows.select("ref", F.explode(F.flatten(F.transform("_facts", broken))).alias("b")).select("ref", "b.*")
 
 
 def root_contract_violations(resources: DataFrame, contracts: DataFrame) -> DataFrame:
