@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.functions.ranks import at_fraction, join_groups, median_of, order_statistics
+from chartloom.functions.ranks import at_fraction, join_groups, median_of, order_statistics, running_total
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -25,19 +25,18 @@ def generated_text(resources: DataFrame) -> DataFrame:
     return resources.select("ref", F.explode(tagged).alias("t")).select("ref", "t.*").where("text is not null")
 
 
-def patient_context(resources: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """All documents of each patient as one text, sorted, with its size.
+def patient_context(resources: DataFrame, part_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """All documents of each patient as sorted text with its size: (patient_ref, part, documents, bytes, context).
 
-    The text of one patient is one value by definition; charts over ``limit_bytes`` are reported with
-    their size and a NULL text instead of being put together.
+    A chart is one part unless it outgrows ``part_bytes``; joined by line breaks the parts are the whole text.
     """
-    owned = resources.where("patient_ref is not null")
-    sizes = owned.groupBy("patient_ref").agg(
-        F.count(F.lit(1)).alias("documents"), (F.sum(F.octet_length("doc")) + F.count(F.lit(1)) - 1).alias("bytes")
+    owned = resources.where("patient_ref is not null").select("patient_ref", "doc")
+    size = F.octet_length("doc") + 1
+    placed = running_total(owned, ["patient_ref"], F.substring("doc", 1, 48), [F.col("doc")], size, "_upto")
+    part = F.floor((F.col("_upto") - 1) / part_bytes).cast("int")
+    return placed.groupBy("patient_ref", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("documents"), (F.sum(size) - 1).alias("bytes"), F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context")
     )
-    fits = owned.join(sizes.where(F.col("bytes") <= limit_bytes).select("patient_ref"), "patient_ref", "left_semi")
-    texts = fits.groupBy("patient_ref").agg(F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context"))
-    return sizes.join(texts, "patient_ref", "left")
 
 
 # -- counts and distributions ------------------------------------------------------------
