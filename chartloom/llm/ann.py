@@ -138,7 +138,7 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple
     nodes = nodes.groupBy("dim", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     shards = max(1, math.ceil(vectors.count() / shard_rows))
 
-    def of_shard(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def of_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         raw = np.stack(rows["embedding"].to_list()).astype("<f4")
         ids = np.full((len(rows), k + 1), -1, "<i8")

@@ -7,10 +7,12 @@ earliest dart of each coordinate is the signature, so two documents agree in a c
 weighted Jaccard similarity. Darts are thrown up to rank (ln k + 2) k / weight first, then further until no coordinate
 is empty, so the cost follows k log k and the length, not their product.
 
-Equal texts are one class before any of this. Signatures are cut into bands; texts with an equal band are a bucket. Each
-member of a bucket is held against the bucket's centre (a hash picks it, another one in each band): a signature far off is
-told apart at once, otherwise the shingles themselves decide at `SIMILARITY`. Members that fail go on among themselves
-with a new centre, until each has met a partner or stands alone. Links make components by small-star and large-star.
+Equal texts are one class before any of this. Signatures are cut into bands; texts with an equal band are a bucket. First
+each member of a bucket is held against the bucket's centre (a hash picks it, another one in each band): where the
+signatures do not tell two apart, the shingles decide at `SIMILARITY`. Links make components by large-star and small-star.
+Then only buckets are looked at again whose members lie in several components: the members outside the bucket's largest
+component meet all of its members, in blocks, the likeliest pairs first, and a pair whose components have been joined
+meanwhile is skipped. So every component is found as if all pairs of a bucket had been compared, and no list of pairs is made.
 
 Cases: null and empty texts, and texts without a word, belong to no group: each is its own class; ties go to the smallest
 doc_id, and null ids come last; repeated rows are copies; an empty table gives no rows; other columns are kept by
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -33,8 +36,10 @@ from chartloom.llm.tables import staged
 SHINGLE, SIMILARITY = 5, 0.8
 #: Similar texts of 0.8 share a band with probability 0.9999.
 BANDS, BAND_ROWS = 25, 5
-#: Agreement of signatures below which the shingles are not asked: over six standard deviations under SIMILARITY.
-FAR = 0.55
+#: Agreement of signatures below which the shingles are not asked: four standard deviations under SIMILARITY.
+FAR = 0.66
+#: Members of a bucket that meet at a time.
+BLOCK = 1024
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -54,76 +59,81 @@ class _WordHashes(dict):
         return h
 
 
-def shingle_hashes(text: str | None, words: dict[str, int], size: int = SHINGLE) -> np.ndarray:
-    """One hash for each shingle occurrence, in the order of the text."""
-    cut = (text or "").split()
-    if not cut:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
-    size = min(size, len(w))
-    out = np.zeros(len(w) - size + 1, np.uint64)
+def units_of(texts: list[str | None], words: dict[str, int], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text one hash for each unit of weight: the n-th occurrence of a shingle is its n-th unit."""
+    cut = [(t or "").split() for t in texts]
+    lengths = np.array([len(c) for c in cut], np.int64)
+    w = np.fromiter((words[x] for c in cut for x in c), np.uint64, lengths.sum())
+    # Shingles start at every word whose text goes on for `size` words; a shorter text is hashed as one shingle of its words.
+    shingles = np.zeros(len(w), np.uint64)
+    short = np.repeat(lengths < size, lengths)
+    begin = np.cumsum(lengths) - lengths
+    left = np.repeat(begin + lengths, lengths) - np.arange(len(w))
     for k in range(size):
-        out = _mix(out + w[k : k + len(out)] + _STEP)
-    return out
-
-
-def units(shingles: np.ndarray) -> np.ndarray:
-    """One hash for each unit of weight: the n-th occurrence of a shingle is its n-th unit."""
-    order = np.sort(shingles)
-    new = np.concatenate([[True], order[1:] != order[:-1]])
+        next_ = np.zeros(len(w), np.uint64)
+        next_[: len(w) - k] = w[k:]
+        shingles = np.where(left > k, _mix(shingles + next_ + _STEP), shingles)
+    first = np.zeros(len(w), bool)
+    first[begin[lengths > 0]] = True
+    real = np.where(short, first, left >= size)
+    doc = np.repeat(np.arange(len(texts)), lengths)[real]
+    shingles = shingles[real]
+    order = np.lexsort((shingles, doc))
+    shingles = shingles[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(new)
-    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return _mix(order + _mix(nth.astype(np.uint64)))
-
-
-def signature(unit: np.ndarray, k: int) -> np.ndarray:
-    """The earliest dart of each of k coordinates, as 64-bit hashes."""
-    out, rank = np.zeros(k, np.uint64), np.full(k, np.inf)
-    limit = (math.log(k) + 2) * k / len(unit)
-    who, at, dart = unit, np.zeros(len(unit)), 0
-    while True:
-        darts, ranks = [], []
-        open_, open_at, n = who, at, dart
-        while len(open_):
+    nth = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
+    return np.split(_mix(shingles + _mix(nth.astype(np.uint64))), np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
+
+
+def signatures_of(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """The earliest dart of each of k coordinates, as 64-bit hashes, for each set; no set is empty."""
+    out, todo, factor = np.zeros((len(sets), k), np.uint64), np.arange(len(sets)), 1.0
+    while len(todo):
+        n = np.array([len(sets[i]) for i in todo])
+        region, doc = np.concatenate([sets[i] for i in todo]), np.repeat(np.arange(len(todo)), n)
+        limit, at, dart = np.repeat(factor * (math.log(k) + 2) * k / n, n), np.zeros(len(region)), 0
+        rank, thrown = np.full(len(todo) * k, np.inf), []
+        while len(region):
             # The next dart of each region: an exponential gap after the one before.
-            hashed = _mix(open_ + _U(0x9E3779B97F4A7C15 * (2 * n + 1) % (1 << 64)))
-            open_at = open_at - np.log((hashed >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
-            near = open_at <= limit
-            open_, open_at = open_[near], open_at[near]
-            darts.append(_mix(hashed[near] ^ _U(0xD1B54A32D192ED03)))
-            ranks.append(open_at)
-            n += 1
-        d, r = np.concatenate(darts), np.concatenate(ranks)
-        c = (d >> _U(32)) % _U(k)
-        order = np.argsort(-r, kind="stable")
-        # Later assignments win: the earliest dart is assigned last.
-        rank[c[order]], out[c[order]] = r[order], d[order]
-        if np.isfinite(rank).all():
-            return out
-        limit, rank, out = limit * 2, np.full(k, np.inf), np.zeros(k, np.uint64)
+            hashed = _mix(region + _U(0x9E3779B97F4A7C15 * (2 * dart + 1) % (1 << 64)))
+            at = at - np.log((hashed >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+            near = at <= limit
+            region, doc, limit, at = region[near], doc[near], limit[near], at[near]
+            value = _mix(hashed[near] ^ _U(0xD1B54A32D192ED03))
+            place = doc * k + ((value >> _U(32)) % _U(k)).astype(np.int64)
+            np.minimum.at(rank, place, at)
+            thrown.append((place, at, value))
+            dart += 1
+        earliest = np.zeros(len(rank), np.uint64)
+        for place, at, value in thrown:
+            won = rank[place] == at
+            earliest[place[won]] = value[won]
+        full = np.isfinite(rank).reshape(-1, k).all(1)
+        out[todo[full]] = earliest.reshape(-1, k)[full]
+        todo, factor = todo[~full], factor * 2
+    return out
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE) -> DataFrame:
     """id (hash of the text), bands (a hash for each) and bits (the low 16 bits of each coordinate), for each text with a word."""
-    k = bands * rows
+    k, rows_of = bands * rows, rows
 
     def run(batches):
         words = _WordHashes()
         for b in slices(batches):
-            ids, keys, bits, seen = [], [], [], set()
-            for at, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                s = shingle_hashes(text, words, size) if i not in seen else ()
-                if not len(s):
-                    continue
-                seen.add(i)
-                sig = signature(units(s), k)
-                key = np.full(bands, 7, np.uint64)
-                for r in range(rows):
-                    key = _mix(key + sig[r::rows])
-                ids.append(at)
-                keys.append(key.view(np.int64).tolist())
-                bits.append(sig.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "bands", "bits"])
+            ids = b.column(0).to_pylist()
+            # Copies inside a slice are thrown for once.
+            rows = list({i: at for at, i in enumerate(ids)}.values())
+            sets = units_of(b.column(1).take(pa.array(rows, pa.int64())).to_pylist(), words, size)
+            rows, sets = [r for r, s in zip(rows, sets) if len(s)], [s for s in sets if len(s)]
+            sig = signatures_of(sets, k)
+            keys = np.full((len(rows), bands), 7, np.uint64)
+            for r in range(rows_of):
+                keys = _mix(keys + sig[:, r::rows_of])
+            bits = pa.array([x.tobytes() for x in sig.astype("<u2")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], pa.int64()), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64())), bits], names=["id", "bands", "bits"])
 
     made = docs.select(F.xxhash64("text").alias("id"), "text").mapInArrow(run, "id long, bands array<long>, bits binary")
     return made.dropDuplicates(["id"])
@@ -135,31 +145,69 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def agreement(pairs: DataFrame) -> DataFrame:
-    """a, b and whether the signatures of the two leave it open that they are similar."""
+def similar(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of at least the similarity; columns a, b, units_a, units_b."""
+
+    def run(batches):
+        for b in slices(batches, 512):
+            keep = [weighted_jaccard(_unpacked(x), _unpacked(y)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return pairs.select("a", "b", "units_a", "units_b").mapInArrow(run, "a long, b long")
+
+
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures leave it open that they are similar; columns a, b, bits_a, bits_b."""
 
     def run(batches):
         for b in slices(batches, 4096):
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(b.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(1) >= FAR)], names=["a", "b", "close"])
+            yield b.filter(pa.array((x == y).mean(1) >= FAR)).select(["a", "b"])
 
-    return pairs.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, close boolean")
+    return pairs.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of texts (a, b, text_a, text_b) of at least the similarity."""
+def unit_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """id and units (sorted 64-bit hashes, packed) of texts."""
 
     def run(batches):
-        words, last = _WordHashes(), (None, None)
-        for b in slices(batches, 256):
-            keep = []
-            for p, x, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                if last[0] != p:
-                    last = (p, units(shingle_hashes(y, words, size)))
-                keep.append(weighted_jaccard(units(shingle_hashes(x, words, size)), last[1]) >= similarity)
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        words = _WordHashes()
+        for b in slices(batches):
+            packed = [np.sort(u).astype("<u8").tobytes() for u in units_of(b.column(1).to_pylist(), words, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "units"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, units binary")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def joining_links(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of `few` with those of `many` (id, root, bits, units), as many as it takes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    x, y = (np.frombuffer(b"".join(t["bits"]), "<u2").reshape(len(t), -1) for t in (few, many))
+    roots_x, roots_y, ids_x, ids_y = few["root"].to_numpy(), many["root"].to_numpy(), few["id"].to_numpy(), many["id"].to_numpy()
+    found = [(a, b, s) for a in range(len(few)) for s in [(y == x[a]).mean(1)] for b in [np.flatnonzero((s >= FAR) & (roots_y != roots_x[a]))] if len(b)]
+    if not found:
+        return []
+    a = np.concatenate([np.full(len(b), a) for a, b, _ in found])
+    b = np.concatenate([b for _, b, _ in found])
+    order = np.argsort(-np.concatenate([s[b] for _, b, s in found]), kind="stable")
+    out = []
+    sets_x, sets_y = few["units"].to_list(), many["units"].to_list()
+    for m, n in zip(a[order].tolist(), b[order].tolist()):
+        p, q = root(roots_x[m]), root(roots_y[n])
+        if p != q and weighted_jaccard(_unpacked(sets_x[m]), _unpacked(sets_y[n])) >= similarity:
+            parent[p] = q
+            out.append((int(ids_x[m]), int(ids_y[n])))
+    return out
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -172,52 +220,63 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between the ids of different texts that share a band and are similar enough."""
+    """Links (a, b) between the ids of different, similar texts: enough of them for the components of all."""
     sig = staged(signatures(_with_words(docs), bands, rows, size))
     keyed = sig.select("id", F.posexplode("bands").alias("band", "key"))
     crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = staged(keyed.join(crowded, ["band", "key"]).select("band", "key", "id"))
-    # Text and signature of what shares a bucket with something, once: the row of the smallest doc_id speaks for a text.
-    some = classes.join(left.select("id").distinct(), "id").select("id", "doc_id")
+    bucket = staged(keyed.join(crowded, ["band", "key"]).select("band", "key", "id"))
+    # Shingles and signature of what shares a bucket with something, once: the row of the smallest doc_id speaks for a text.
+    some = classes.join(bucket.select("id").distinct(), "id").select("id", "doc_id")
     texts = docs.select("doc_id", F.xxhash64("text").alias("id"), "text")
-    same = texts["doc_id"].eqNullSafe(some["doc_id"]) & (texts["id"] == some["id"])
-    texts = staged(texts.join(some, same).select(some["id"], "text").dropDuplicates(["id"]).join(sig.select("id", "bits"), "id"))
-    tested = found = None
-    while not left.isEmpty():
-        # A hash that differs by band picks the centre; the rest meet it.
-        centres = left.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", "band"), "id")).alias("c")).select("band", "key", F.col("c.id").alias("b"))
-        met = left.join(centres, ["band", "key"]).where("id <> b").select("band", "key", F.col("id").alias("a"), "b")
-        new = met.select("a", "b").distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        bits = texts.select("id", "bits")
-        now = staged(agreement(new.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")))
-        close, some = now.where("close").select("a", "b"), texts.select("id", "text")
-        good = staged(verified(close.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b"), size, similarity))
-        tested = now.select("a", "b") if tested is None else tested.unionByName(now.select("a", "b"))
-        found = good if found is None else found.unionByName(good)
-        # Who has met a partner in this bucket is done with it; the others go on among themselves.
-        open_ = met.join(found, ["a", "b"], "left_anti").select("band", "key", F.col("a").alias("id"))
-        crowd = open_.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        left = staged(open_.join(crowd, ["band", "key"]))
-    return found if found is not None else left.selectExpr("id as a", "id as b")
+    mine = texts["doc_id"].eqNullSafe(some["doc_id"]) & (texts["id"] == some["id"])
+    sets = unit_sets(texts.join(some, mine).select(some["id"], "text"), size).dropDuplicates(["id"])
+    sets = staged(sets.join(sig.select("id", "bits"), "id"))
+
+    # Each member of a bucket and its centre, which a hash picks anew in each band.
+    centres = bucket.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", "band"), "id")).alias("c")).select("band", "key", F.col("c.id").alias("b"))
+    pairs = bucket.join(centres, ["band", "key"]).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    bits, units_ = sets.select("id", "bits"), sets.select("id", "units")
+    close = staged(agreeing(pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")))
+    found = staged(similar(close.join(units_.toDF("a", "units_a"), "a").join(units_.toDF("b", "units_b"), "b"), similarity))
+
+    # Buckets that still hold several components: those outside the largest meet all members.
+    rooted = bucket.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
+    blocks = mixed.select("band", "key", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).alias("many_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("few_blocks"))
+    members = staged(rooted.join(blocks, ["band", "key"]))
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n))
+    few = members.where("root <> top").select("band", "key", "id", "root", place("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many_blocks") - 1)).alias("j"), F.lit(True).alias("few"))
+    many = members.select("band", "key", "id", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few_blocks") - 1)).alias("i"), place("many_blocks").alias("j"), F.lit(False).alias("few"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(joining_links(rows[rows["few"]], rows[~rows["few"]], similarity), columns=["a", "b"])
+
+    later = few.unionByName(many).join(sets, "id").groupBy("band", "key", "i", "j").applyInPandas(meet, "a long, b long")
+    return found.unionByName(later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node of its component, for nodes with a link."""
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = state(edges)
     while True:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the node, go to the smallest of them.
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = staged(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        edges = new
+        edges = staged(small)
+        after = state(edges)
+        if after == before:
+            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        before = after
 
 
 def _classed(docs: DataFrame, bands: int, rows: int, size: int, similarity: float) -> DataFrame:

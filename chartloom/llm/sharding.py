@@ -65,7 +65,7 @@ def balanced_groups(groups: DataFrame, shards: int = SHARDS, worker_groups: int
     """groups: h1, h2 and bytes. Adds `shard`."""
     workers = max(1, math.ceil(groups.count() / worker_groups))
 
-    def of_worker(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def of_worker(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "h1", "h2"], ascending=[False, True, True])
         first = np.zeros((len(rows), shards), np.int64)
         first[:, 0] = rows["bytes"]
@@ -76,7 +76,7 @@ def balanced_groups(groups: DataFrame, shards: int = SHARDS, worker_groups: int
         above = math.ceil(workers / FAN_IN)
         sums = out.groupBy("node", "part").agg(F.sum("bytes").alias("bytes")).withColumn("up", F.pmod("node", F.lit(above)))
 
-        def combined(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def combined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             table = rows.pivot(index="node", columns="part", values="bytes").reindex(columns=range(shards)).fillna(0).astype(np.int64).sort_index()
             place = differenced(table.to_numpy())
             return pd.DataFrame({"node": np.repeat(table.index.to_numpy(), shards), "part": np.tile(np.arange(shards), len(table)), "up": key[0], "to": place.ravel()})
