@@ -17,13 +17,15 @@ a document whose every line goes keeps its row with an empty text; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.tables import free_of, staged
 
 #: Words from which lines are compared with edits.
 MIN_WORDS = 8
+#: Words of a stretch in which hashes are summed up.
+STRETCH = 256
 
 _KEY = ["h1", "h2"]
 
@@ -39,78 +41,88 @@ def _lines(docs: DataFrame) -> DataFrame:
 _PLACE = "struct(doc_id, line_no, th)"
 
 
-def _halves(words: str) -> str:
-    """Keys of the first and the last half, for a partner of the same length or of one word more."""
-    n = f"size({words})"
-    ends = [(n, "first", f"slice({words}, 1, {h})") for h in (f"{n} div 2", f"({n} + 1) div 2")]
-    tails = [(n, "last", f"slice({words}, {n} - {h} + 1, {h})") for h in (f"{n} div 2", f"({n} + 1) div 2")]
-    keys = [f"xxhash64('{side}', {part})" for _, side, part in ends + tails]
-    return f"array_distinct(array({', '.join(keys)}))"
+def _halves() -> str:
+    """Keys of the first and the last half of `words`, for a partner of the same length or of one word more: even numbers
+    tell a shared front from a shared back."""
+    front = "xxhash64('front', slice(words, 1, {h})) & -2L"
+    back = "xxhash64('back', slice(words, n - {h} + 1, {h})) | 1L"
+    keys = [part.format(h=h) for h in ("n div 2", "(n + 1) div 2") for part in (front, back)]
+    return f"if(n % 2 = 0, array({keys[0]}, {keys[1]}), array({', '.join(keys)}))"
 
 
 def earliest_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Each different line: its hash, earliest place, and the keys of its halves (null below `min_words`)."""
-    words = "split(line, ' ')"
-    keys = F.expr(f"case when size({words}) >= {min_words} then {_halves(words)} end")
-    rows = _lines(docs).withColumn("halves", keys)
+    rows = _lines(docs).withColumn("words", F.split("line", " ")).withColumn("n", F.size("words"))
+    rows = rows.select(*_KEY, F.expr(_PLACE).alias("place"), F.expr(f"case when n >= {min_words} then {_halves()} end").alias("halves"))
     # Copies of a line are put together inside each task first.
-    return rows.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("place"), F.first("halves").alias("halves"))
+    return rows.groupBy(*_KEY).agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
 def _suspects(lines: DataFrame) -> DataFrame:
-    """Lines that share a half with a different line."""
+    """Lines that share a half with a different line, and whether it is the front, the back or both."""
     halves = lines.where("halves is not null").select(*_KEY, "place", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    return halves.join(shared, "half").groupBy(*_KEY).agg(F.first("place").alias("place"))
+    return halves.join(shared, "half").groupBy(*_KEY).agg(
+        F.first("place").alias("place"), F.max(F.col("half") % 2 == 0).alias("front"), F.max(F.col("half") % 2 != 0).alias("back"),
+    )
 
 
 def _with_words(suspects: DataFrame, docs: DataFrame) -> DataFrame:
     """The suspects' words, from the document of their earliest place."""
-    wanted = suspects.groupBy(F.col("place.doc_id").alias("d"), F.col("place.th").alias("t")).agg(F.collect_list(F.struct("place.line_no", *_KEY)).alias("wanted"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")).dropDuplicates(["doc_id", "th"])
-    found = wanted.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("doc_id", "th", "lines", F.explode("wanted").alias("w"))
-    return found.select("doc_id", "th", "w.line_no", "w.h1", "w.h2", F.expr("split(element_at(lines, w.line_no + 1), ' ')").alias("words"))
+    wanted = suspects.groupBy(F.col("place.doc_id").alias("d"), F.col("place.th").alias("t")).agg(F.collect_list(F.struct("place.line_no", *_KEY, "front", "back")).alias("wanted"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = wanted.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
+    found = found.select("doc_id", "th", "wanted", F.split("text", "\n").alias("lines")).select("doc_id", "th", "lines", F.explode("wanted").alias("w"))
+    found = found.select(F.struct("doc_id", "w.line_no", "th").alias("place"), "w.h1", "w.h2", "w.front", "w.back", F.expr("split(element_at(lines, w.line_no + 1), ' ')").alias("words"))
+    # Repeated rows of a document give a line once.
+    return found.dropDuplicates(_KEY)
+
+
+def _scan(array: str) -> str:
+    """Exclusive-or of what stands before each element, in stretches so that long lines take no quadratic time."""
+    fold = "aggregate({a}, array(0L), (s, x) -> array_append(s, element_at(s, -1) ^ x), s -> slice(s, 1, size(s) - 1))"
+    total = "aggregate({a}, 0L, (s, x) -> s ^ x)"
+    part = f"slice({array}, k * {STRETCH} + 1, {STRETCH})"
+    parts = f"sequence(0, (size({array}) - 1) div {STRETCH})"
+    before = fold.format(a=f"transform({parts}, k -> {total.format(a=part)})")
+    return f"flatten(zip_with({parts}, {before}, (k, b) -> transform({fold.format(a=part)}, x -> x ^ b)))"
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """The deletion neighbourhood: key (kind, n, i, hash) of each line. Hashes are exclusive sums over (word, place), so
-    the line without word i is what stands before i and, one place nearer, what stands after it."""
-    w = lines.select("doc_id", "th", "line_no", *_KEY, F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    w = w.select("*", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("nearer"))
-    whole = Window.partitionBy(*_KEY).orderBy("i")
-    before = F.coalesce(F.bit_xor("here").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    after = F.coalesce(F.bit_xor("nearer").over(whole.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long"))
-    return w.select(*_KEY, F.expr(_PLACE).alias("place"), "n", "i", before.bitwiseXOR(after).alias("without"))
+    """The deletion neighbourhood: a line's length n, the place i and the hash of the line without word i, where the edit may
+    be. Hashes are exclusive sums over (word, place): what stands before i and, one place nearer, what stands after it."""
+    w = lines.withColumn("here", F.expr("transform(words, (x, i) -> xxhash64(x, i))")).withColumn("nearer", F.expr("transform(words, (x, i) -> xxhash64(x, i - 1))"))
+    w = w.withColumn("change", F.expr("zip_with(here, nearer, (a, b) -> a ^ b)")).withColumn("rest", F.expr("aggregate(nearer, 0L, (s, x) -> s ^ x)"))
+    w = w.withColumn("before", F.expr(_scan("change"))).withColumn("n", F.size("words"))
+    cut = w.select(*_KEY, "place", "n", "front", "back", F.posexplode(F.expr("zip_with(before, nearer, (b, x) -> b ^ x ^ rest)")).alias("i", "without"))
+    # A shared front leaves the edit to the last half, a shared back to the first.
+    return cut.where("(front and i >= n div 2) or (back and i <= n - 1 - n div 2)").drop("front", "back")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 of lines that have an earlier line within one edit, verified, with the place of such a line."""
     with_words = staged(_with_words(_suspects(lines), docs))
-    without = variants(with_words)
-    place = F.expr(_PLACE).alias("place")
-    # Hash of a whole line in the form of the variants, by folding its words.
-    whole = with_words.select(*_KEY, place, (F.size("words")).alias("n"), F.expr(
-        "aggregate(transform(words, (x, i) -> xxhash64(x, i)), 0L, (a, h) -> a ^ h)"
-    ).alias("without"))
-    replaced = without.select(*_KEY, "place", "n", F.col("i").cast("int").alias("i"), "without", F.lit(False).alias("left_out"))
-    longer = without.select(*_KEY, "place", (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), "without", F.lit(True).alias("left_out"))
-    shorter = whole.select(*_KEY, "place", "n", F.lit(-1).alias("i"), "without", F.lit(False).alias("left_out"))
-    emitted = replaced.unionByName(longer).unionByName(shorter)
+    whole = with_words.select(*_KEY, "place", F.size("words").alias("n"), F.lit(-1).alias("i"), F.expr("aggregate(transform(words, (x, i) -> xxhash64(x, i)), 0L, (s, x) -> s ^ x)").alias("without"))
+    emitted = variants(with_words).unionByName(whole)
+    # First the hashes that several lines have; few do, and only their variants go on.
+    several = staged(emitted.groupBy("without").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("without"))
+    shared = emitted.join(several, "without")
+    # Partners: lines of equal length without the same place, and a whole line with those that have one word more. The
+    # earliest of a group serves all the others.
+    replaced = shared.where("i >= 0").select(*_KEY, "place", "n", "i", "without", F.lit(0).alias("side"))
+    longer = shared.where("i >= 0").select(*_KEY, "place", (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), "without", F.lit(1).alias("side"))
+    meeting = staged(replaced.unionByName(longer).unionByName(shared.where("i < 0").withColumn("side", F.lit(2))))
     key = ["n", "i", "without"]
-    # Inside a group with i < 0 only a whole line and a longer one are partners: the earliest of each side serves the other.
-    sides = emitted.groupBy(*key).agg(
-        F.min("place").alias("first"), F.max("place").alias("last"),
-        F.min(F.when(F.col("left_out"), F.col("place"))).alias("first_longer"), F.min(F.when(~F.col("left_out"), F.col("place"))).alias("first_whole"),
-    ).where("first < last")
-    partner = F.when(F.col("i") >= 0, F.col("first")).when(F.col("left_out"), F.col("first_whole")).otherwise(F.col("first_longer"))
-    linked = emitted.join(sides, key).withColumn("partner", partner).where("partner < place")
-    nearest = linked.groupBy(*_KEY, "place", "partner").agg(F.first("n").alias("n"))
-    return _verified(nearest, with_words)
+    least = lambda side: F.min(F.when(F.col("side") == side, F.col("place")))
+    sides = meeting.groupBy(*key).agg(least(0).alias("same"), least(1).alias("longer"), least(2).alias("whole"))
+    partner = F.when(F.col("side") == 0, F.col("same")).when(F.col("side") == 1, F.col("whole")).otherwise(F.col("longer"))
+    linked = meeting.join(sides, key).withColumn("partner", partner).where("partner < place")
+    return _verified(linked.select(*_KEY, "partner").distinct(), with_words)
 
 
 def _verified(pairs: DataFrame, with_words: DataFrame) -> DataFrame:
     """Pairs whose words are one edit apart: what the two have in common at the front and at the back leaves at most one word."""
-    texts = with_words.select(F.expr(_PLACE).alias("p"), "words")
+    texts = with_words.select(F.col("place").alias("p"), "words")
     mine = pairs.join(with_words.select(*_KEY, F.col("words").alias("x")), _KEY)
     both = mine.join(texts.select(F.col("p").alias("partner_place"), F.col("words").alias("y")), F.col("partner").eqNullSafe(F.col("partner_place")))
     # The first place where they differ; from there on, one of three edits must make them equal.
