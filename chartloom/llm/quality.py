@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     known = ids.join(quality, "doc_id", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y") == -1, pool).otherwise(labelled))
+    # The first limit is a plain number, so that each task cuts its rows before the shuffle.
+    ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(labelled, pool))
+    chosen = ranked.where(F.col("r") <= F.when(F.col("y") == -1, pool).otherwise(labelled))
     width = GRAMS + _SHAPES
 
     def run(batches):
