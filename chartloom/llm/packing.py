@@ -24,7 +24,7 @@ from chartloom.llm.bpe import slices, tokenizer
 CAPACITY = 4096
 END_ID = 2
 #: Bytes of text for each worker: what one window of the plan holds.
-WORKER_BYTES = 8_000_000
+WORKER_BYTES = 4_000_000
 #: Capacities of a document that stay with one worker; longer documents are dealt in parts.
 STRETCH = 64
 #: Bits of a sequence id for the bins of one worker and class.
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     workers = max(1, math.ceil(size / worker_bytes))
     stretch = F.floor(F.col("start") / (capacity * STRETCH))
-    dealt = cut_pieces(docs, path, capacity, end_id).withColumn("worker", F.pmod(F.xxhash64("doc_id", stretch), F.lit(workers)))
+    dealt = cut_pieces(docs, path, capacity, end_id).withColumn("worker", F.pmod(F.xxhash64("doc_id", stretch), F.lit(workers))).repartition("worker")
 
     # All windows below follow one exchange by worker and one sort.
     order = ["doc_id", "start", F.xxhash64("ids")]
