@@ -21,11 +21,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.bpe import slices
+from chartloom.llm.tables import smallest_hashes
 
 TRAIN_DOCS = 2000
 BUCKETS = 1 << 15
@@ -87,8 +88,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """lang and text of the documents to learn from."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= train_docs).select("doc_id", "lang").distinct()
+    chosen = smallest_hashes(known.select("doc_id", "lang").distinct(), "lang", {None: train_docs})
     # At most train_docs rows for each language, whatever the input.
     return known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 

@@ -19,11 +19,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.bpe import slices
+from chartloom.llm.tables import smallest_hashes
 
 LABELLED, POOL = 3000, 6000
 ROUNDS, HANDED = 3, 600
@@ -156,10 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     known = ids.join(quality, "doc_id", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The first limit is a plain number, so that each task cuts its rows before the shuffle.
-    ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(labelled, pool))
-    chosen = ranked.where(F.col("r") <= F.when(F.col("y") == -1, pool).otherwise(labelled))
+    chosen = smallest_hashes(known, "y", {-1: pool, 0: labelled, 1: labelled})
     width = GRAMS + _SHAPES
 
     def run(batches):

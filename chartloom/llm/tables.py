@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from chartloom.session import ensure_checkpoint_dir
 
@@ -38,3 +39,23 @@ def free_of(df: DataFrame, *reserved: str) -> None:
     clash = sorted(set(reserved) & set(df.columns))
     if clash:
         raise ValueError(f"columns that this operator adds: {clash}")
+
+
+def smallest_hashes(ids: DataFrame, group: str, limits: dict) -> DataFrame:
+    """Of each value of `group`, the rows whose doc_id hashes lowest, as many as its limit says.
+
+    Groups are counted first, so that each task keeps only rows that can be among them: what meets in a task is a little
+    over the limit, however large the group is.
+    """
+    counts = {r[0]: r[1] for r in ids.groupBy(group).count().collect()}
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near, limit = F.lit(False), F.lit(0)
+    for value, n in counts.items():
+        most = limits.get(value, limits.get(None, 0))
+        mine = F.col(group).eqNullSafe(F.lit(value))
+        # Well over what is needed: ten standard deviations and more.
+        near = near | (mine & (F.col("_unit") <= (most + 10 * most**0.5 + 100) / n))
+        limit = F.when(mine, most).otherwise(limit)
+    order = Window.partitionBy(group).orderBy("_unit", "doc_id")
+    ranked = ids.withColumn("_unit", unit).where(near).withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= limit).drop("_unit", "_rank")
