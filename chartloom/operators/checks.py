@@ -147,16 +147,19 @@ def _child_step(children, part: Column):
     return lambda x: children(x, part)
 
 
-def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int = 4) -> DataFrame:
+def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int | None = None) -> DataFrame:
     """Cardinality, scalar-or-list, choice exclusivity and legal reference targets at nested paths.
 
     ``contracts`` has (type, path, min, max, types, targets). Rules on the same parent are gathered first (a
     catalogue has a few per parent), so a document is joined once per parent path and not once per rule; all
     its rules are then evaluated inside the row.
     """
+    if depth is None:
+        # As deep as the catalogue goes: one number from a small table.
+        depth = max(1, (contracts.agg(F.max(F.size("path"))).first()[0] or 1) - 1)
     parent_path = F.slice("path", F.lit(1), F.size("path") - 1)
     rule = F.struct("path", "min", "max", "types", "targets")
-    c = contracts.where(F.size("path") <= depth + 1).groupBy(F.col("type").alias("resource_type"), parent_path.alias("parent")).agg(
+    c = contracts.groupBy(F.col("type").alias("resource_type"), parent_path.alias("parent")).agg(
         F.collect_list(rule).alias("rules")
     )
     rows = resources.select("ref", "resource_type", "v").join(c, "resource_type")
@@ -181,7 +184,7 @@ def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int =
     def names(r: Column) -> Column:
         field = F.element_at(r.path, -1)
         stem = F.regexp_replace(field, r"\[x\]$", "")
-        choices = F.transform(r.types, lambda t: F.concat(stem, F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100)))
+        choices = F.transform(r.types, lambda t: F.concat(stem, F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
         return F.when(field.endswith("[x]"), choices).otherwise(F.array(field))
 
     bare = lambda e: F.regexp_replace(e.key, "^_", "")

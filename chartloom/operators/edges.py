@@ -58,20 +58,18 @@ def edge_counts(edge_rows: DataFrame) -> DataFrame:
     return local.groupBy(name.alias("edge")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def closure(seeds: DataFrame, edge_rows: DataFrame, refs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, edge_rows: DataFrame, refs: DataFrame) -> DataFrame:
     """(patient_ref, ref): the patients' documents and all present documents reachable from them.
 
-    ``seeds`` has (patient_ref, ref). Each round joins only the newest frontier and drops what is known,
-    so cycles end; the frontier is checkpointed to keep the plan short. Documents without an owner that
-    many patients share are carried once per patient, as the result asks.
+    ``seeds`` has (patient_ref, ref). Each round joins only the newest frontier and drops what is known, so cycles end,
+    and goes on until nothing new is reached; every frontier is checkpointed once and never written again. Documents
+    without an owner that many patients share are carried once per patient, as the result asks.
     """
     step = edge_rows.select(F.col("src_ref").alias("ref"), F.col("dst_ref")).distinct()
     step = checkpointed(step.join(refs.select(F.col("ref").alias("dst_ref")), "dst_ref", "left_semi"))
     known = frontier = checkpointed(seeds.select("patient_ref", "ref").distinct())
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         reached = frontier.join(step, "ref").select("patient_ref", F.col("dst_ref").alias("ref")).distinct()
         frontier = checkpointed(reached.join(known, ["patient_ref", "ref"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = checkpointed(known.unionByName(frontier))
-    raise ValueError("closure did not end")
+        known = known.unionByName(frontier)
+    return known

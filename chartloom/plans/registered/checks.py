@@ -296,8 +296,7 @@ def edge_counts(spark, sf):
 
 @query(
     "j11_closure",
-    sql("""with own as (select patient_ref, resource_ref as ref from task where patient_ref in (select 'Patient/c'||c_custkey from customer where c_mktsegment='BUILDING')
-          union select patient_ref, resource_ref from appt where patient_ref in (select 'Patient/c'||c_custkey from customer where c_mktsegment='BUILDING')),
+    sql("""with own as (select patient_ref, resource_ref as ref from task union select patient_ref, resource_ref from appt),
         e as (select resource_ref as s, focus_ref as d from task union select resource_ref, patient_ref from task union select resource_ref, slot_ref from appt union select resource_ref, patient_ref from appt
           union select resource_ref, patient_ref from sr union select resource_ref, organization_ref from patient),
         recursive_free as (select * from own union select o.patient_ref, e.d from own o join e on e.s=o.ref),
@@ -315,6 +314,5 @@ def closure(spark, sf):
     link = lambda kind, col: charts.VIEWS[kind](spark, sf).select(F.col("resource_ref").alias("src_ref"), F.col(col).alias("dst_ref"))
     e = link("Task", "focus_ref").unionByName(link("Task", "patient_ref")).unionByName(link("Appointment", "slot_ref")).unionByName(link("Appointment", "patient_ref"))
     e = e.unionByName(link("ServiceRequest", "patient_ref")).unionByName(link("Patient", "organization_ref"))
-    chosen = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(charts.key("Patient/c", "c_custkey").alias("patient_ref"))
     own = charts.task(spark, sf).select("patient_ref", F.col("resource_ref").alias("ref")).unionByName(charts.appointment(spark, sf).select("patient_ref", F.col("resource_ref").alias("ref")))
-    return G.closure(own.join(chosen, "patient_ref", "left_semi"), e, refs)
+    return G.closure(own, e, refs)

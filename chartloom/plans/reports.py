@@ -12,11 +12,14 @@ from chartloom.functions.ranks import at_fraction, join_groups, median_of, order
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
-    """(ref, kind, n, text): readable text of attachments, message payloads and notes."""
+    """(ref, kind, n, text): readable text of documents' text attachments, message payloads and notes."""
     v = F.col("v")
     decode = lambda a: F.decode(F.unbase64(D.text(a, "attachment.data")), "UTF-8")
     parts = {
-        "attachment": F.transform(F.filter(D.values_at(v, "content"), lambda c: D.text(c, "attachment.data").isNotNull()), decode),
+        "attachment": F.when(
+            F.col("resource_type") == "DocumentReference",
+            F.transform(F.filter(D.values_at(v, "content"), lambda c: D.text(c, "attachment.data").isNotNull() & D.text(c, "attachment.contentType").startswith("text/")), decode),
+        ).otherwise(F.array().cast("array<string>")),
         "payload": F.transform(D.values_at(v, "payload"), lambda p: D.text(p, "contentString")),
         "note": F.transform(D.values_at(v, "note"), lambda n: D.text(n, "text")),
     }
