@@ -102,7 +102,7 @@ def message_followup(linked: DataFrame, messages: DataFrame, sent_on: str):
     wrote = messages.where((C("status") == "completed") & (F.substring("date", 1, 10) == sent_on)).select("patient_ref").distinct()
     answer = linked.join(wrote, "patient_ref", "left_semi")
     reports = answer.select("patient_ref", "report_ref").distinct()
-    body = review_task(C("patient_ref"), C("report_ref"), "Result copy requested")
+    body = review_task(C("patient_ref"), C("report_ref"), "Send the patient a copy of the result")
     return answer, change_rows(reports, write(1, "POST", "Task", body=body))
 
 
@@ -169,7 +169,7 @@ def documented_names(patients: DataFrame, records: DataFrame, name: str) -> Data
 
 def reconciliation(messages: DataFrame):
     """One review Task per reported discrepancy; medication records are left alone."""
-    text = "Medication reconciliation requested; patient-reported discrepancy remains unverified."
+    text = "Compare the reported medicines with the list on file."
     return change_rows(messages, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("resource_ref"), text)))
 
 
@@ -197,7 +197,7 @@ def contact_change(people: DataFrame):
 def interpreter_handoff(flags: DataFrame):
     """A follow-up Task per active communication flag; the flag itself stays active."""
     active = flags.where("status = 'active'")
-    return active, change_rows(active, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("resource_ref"), "Arrange interpreter for clinical discussion.")))
+    return active, change_rows(active, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("resource_ref"), "Book language support for the next talk.")))
 
 
 def reschedule(appointments: DataFrame, slots: DataFrame):
@@ -247,7 +247,7 @@ def recollection(orders: DataFrame, specimens: DataFrame):
     """Active orders whose specimen was rejected: no result, one recollection Task under the same order."""
     bad = specimens.where("status = 'unsatisfactory'").select(C("request_ref").alias("order_ref"), C("resource_ref").alias("specimen_ref"), C("status").alias("specimen_status"))
     j = orders.where("status = 'active'").select(C("resource_ref").alias("order_ref"), "patient_ref").join(bad, "order_ref")
-    body = review_task(C("patient_ref"), C("order_ref"), "Arrange replacement specimen after laboratory rejection.")
+    body = review_task(C("patient_ref"), C("order_ref"), "Take the rejected sample again.")
     return j, change_rows(j, write(1, "POST", "Task", body=body))
 
 
@@ -284,7 +284,7 @@ def loop_closure(trackers: DataFrame, replies: DataFrame, at: str):
     close = write(1, "PUT", C("resource_ref"), json_of(status="completed"), version=1, bundle=C("resource_ref"))
     log = json_of(
         resourceType="Communication", status="completed", subject=link(C("patient_ref")), about=F.array(link(C("report_ref"))), sent=at,
-        payload=F.array(F.struct(F.lit("Acknowledgement recorded.").alias("contentString"))),
+        payload=F.array(F.struct(F.lit("Acknowledged.").alias("contentString"))),
     )
     return j, change_rows(done, close), change_rows(done, close, write(2, "POST", "Communication", body=log, bundle=C("resource_ref")))
 
@@ -305,7 +305,7 @@ def supply_vs_administration(dispenses: DataFrame, administrations: DataFrame) -
 def refill_routing(messages: DataFrame):
     """One verification Task per call, made conditionally so that a repeat finds the first."""
     name = F.concat(F.lit("REVIEW-"), F.element_at(F.split("resource_ref", "/"), -1))
-    body = review_task(C("patient_ref"), C("resource_ref"), "Verify medication instructions with prescribing team before renewal.", identifier=F.array(F.struct(name.alias("value"))))
+    body = review_task(C("patient_ref"), C("resource_ref"), "Ask the prescriber to confirm the dose before a refill.", identifier=F.array(F.struct(name.alias("value"))))
     return change_rows(messages, write(1, "POST", "Task", body=body, if_none_exist=F.concat(F.lit("identifier="), name)))
 
 
@@ -353,7 +353,7 @@ def equipment_handoff(deliveries: DataFrame):
     """Teaching after a confirmed delivery, else a delivery follow-up; use is never assumed."""
     delivered = C("status") == "completed"
     j = deliveries.withColumn("delivered", delivered).withColumn("followup", F.when(delivered, "teaching").otherwise("delivery"))
-    body = review_task(C("patient_ref"), C("resource_ref"), F.concat(F.lit("Arrange equipment "), C("followup"), F.lit(".")))
+    body = review_task(C("patient_ref"), C("resource_ref"), F.concat(F.lit("Plan equipment "), C("followup"), F.lit(".")))
     return j, change_rows(j, write(1, "POST", "Task", body=body))
 
 
@@ -361,7 +361,7 @@ def nutrition_discrepancy(orders: DataFrame, messages: DataFrame):
     """Active nutrition orders of patients who report other instructions: clarify, keep the order."""
     told = messages.select("patient_ref").distinct()
     j = orders.where("status = 'active'").join(told, "patient_ref", "left_semi")
-    return j, change_rows(j, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("resource_ref"), "Clarify reported outside nutrition instructions with ordering team.")))
+    return j, change_rows(j, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("resource_ref"), "Ask the ordering team which diet holds.")))
 
 
 def release_scope(requests: DataFrame, consents: DataFrame, at: str) -> DataFrame:
@@ -427,7 +427,7 @@ def panel_measurements(resources: DataFrame) -> DataFrame:
 
 
 def lab_followup(reports: DataFrame, at: str):
-    body = review_task(C("patient_ref"), C("based_on_ref"), "Review laboratory follow-up requested by caller.", authoredOn=at)
+    body = review_task(C("patient_ref"), C("based_on_ref"), "Look into the caller laboratory question.", authoredOn=at)
     return change_rows(reports.select("patient_ref", "based_on_ref").distinct(), write(1, "POST", "Task", body=body))
 
 
@@ -458,7 +458,7 @@ def transfer_packet(handoffs: DataFrame, episodes: DataFrame, teams: DataFrame,
 def record_transmission(packets: DataFrame, at: str):
     sent = json_of(
         resourceType="Communication", status="completed", subject=link(C("patient_ref")), about=F.array(link(C("manifest_ref"))), sent=at,
-        payload=F.array(F.struct(F.lit("Requested transfer packet transmitted; receipt not yet confirmed.").alias("contentString"))),
+        payload=F.array(F.struct(F.lit("Packet sent; no receipt so far.").alias("contentString"))),
     )
     b = C("resource_ref")
     return change_rows(packets, write(1, "PUT", b, json_of(status="completed"), version=1, bundle=b), write(2, "POST", "Communication", body=sent, bundle=b))
@@ -483,5 +483,5 @@ def similar_orders(orders: DataFrame):
     Groups are counted, never paired.
     """
     g = orders.where("status = 'active'").groupBy("patient_ref", "code", "date").agg(F.count(F.lit(1)).alias("orders"), F.min("resource_ref").alias("first_ref")).where("orders > 1")
-    text = "Review possible duplicate laboratory requests; preserve both pending clinician review."
+    text = "Two similar laboratory orders: a clinician decides, both stay."
     return g, change_rows(g, write(1, "POST", "Task", body=review_task(C("patient_ref"), C("first_ref"), text)))
