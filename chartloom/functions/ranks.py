@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 
 
 CUTS = 1024
+#: Cuts of a text key.
+KEY_CUTS = 256
+
+
+def key_range(df: DataFrame, key: Column, cuts: int = KEY_CUTS) -> Column:
+    """Order-preserving bucket of a text key, for ``ranked``: how many of ``cuts`` keys of the data itself lie at or below it.
+
+    The cuts are the keys with the least hashes, so they follow the keys' own distribution, whatever prefix these share,
+    and come out the same on every run. Absent keys are bucket -1.
+    """
+    least = df.select(key.cast("string").alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(cuts)
+    bounds = F.array(*[F.lit(k) for k in sorted({r.k for r in least.collect()})]).cast("array<string>")
+    return F.when(key.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= key.cast("string"))))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions import text as X
-from chartloom.functions.ranks import ranked
+from chartloom.functions.ranks import key_range, ranked
 from chartloom.operators import catalogue as C
 
 DAY_PREDICATE = r"^(eq|ne|gt|ge|lt|le)?(\d{4}-\d{2}-\d{2})$"
@@ -550,20 +550,22 @@ def find_patient(requests: DataFrame, patients: DataFrame) -> DataFrame:
     return out.withColumn("resolution", word)
 
 
-def chart_timeline(resources: DataFrame, kinds, start: str = "", end: str = "", by: str = "patient_ref", per_type: int = 50) -> DataFrame:
-    """Dated index of each patient's chart: one page per type, undated rows kept, window inclusive.
+def chart_timeline(
+    resources: DataFrame, kinds, start: str = "", end: str = "", by: str = "patient_ref", per_type: int = 50, page: int | None = None
+) -> DataFrame:
+    """Dated index of each patient's chart in pages of ``per_type`` rows per type, undated rows kept, window inclusive.
 
-    ``continued`` marks types with more rows than the page.
+    All pages come out, numbered from 1, or only ``page``; ``continued`` marks pages that others of the type follow.
     """
     kinds = list(dict.fromkeys(kinds))
     if not 1 <= len(kinds) <= 6 or any("patient" not in C.PARAMS.get(k, ()) for k in kinds):
         raise SearchError("choose one to six supported patient types")
     mine = resources.where(F.col("resource_type").isin(kinds) & F.col(by).isNotNull())
-    w = Window.partitionBy(by, "resource_type").orderBy("id")
-    paged = mine.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_type)
-    counts = mine.groupBy(by, "resource_type").agg((F.count(F.lit(1)) > per_type).alias("continued"))
+    numbered = ranked(mine, [by, "resource_type"], key_range(mine, F.col("id")), [F.col("id")], "_rn")
+    paged = numbered.withColumn("page", F.ceil(F.col("_rn") / per_type)).where(F.lit(True) if page is None else F.col("page") == page)
+    counts = mine.groupBy(by, "resource_type").agg(F.count(F.lit(1)).alias("_rows"))
     day = F.substring("resource_date", 1, 10)
     inside = (day == "") | ((day >= start if start else F.lit(True)) & (day <= end if end else F.lit(True)))
     return paged.where(inside).join(counts, [by, "resource_type"]).select(
-        by, "resource_type", "ref", F.nullif("resource_date", F.lit("")).alias("date"), "continued"
+        by, "resource_type", "ref", F.nullif("resource_date", F.lit("")).alias("date"), "page", (F.col("_rows") > F.col("page") * per_type).alias("continued")
     )

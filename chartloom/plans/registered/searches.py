@@ -189,7 +189,7 @@ def identity_candidates(spark, sf):
           select patient_ref, 'ServiceRequest', resource_ref, date, id from sr union all select patient_ref, 'Task', resource_ref, '', id from task union all
           select patient_ref, 'Communication', resource_ref, date, id from comm),
         z as (select *, row_number() over (partition by patient_ref, resource_type order by id) as rn, count(*) over (partition by patient_ref, resource_type) as n from r)
-        select patient_ref, resource_type, ref, nullif(date,'') as date, n>50 as continued from z where rn<=50 and (date='' or (date>='1997-01-01' and date<='1999-12-31'))""",
+        select patient_ref, resource_type, ref, nullif(date,'') as date, cast(ceil(rn/50) as bigint) as page, n>50*ceil(rn/50) as continued from z where (date='' or (date>='1997-01-01' and date<='1999-12-31'))""",
         "obs", "sr", "task", "comm"),
 )
 def timeline(spark, sf):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from chartloom.operators import changes as M
 from chartloom.plans import charts
 from chartloom.plans.registry import query
 from chartloom.plans.registered import writes
@@ -60,20 +59,13 @@ def exposure(spark, sf):
        case o_orderkey%4 when 0 then 204 when 1 then 403 when 2 then 409 else 412 end as status from orders""",
 )
 def changes(spark, sf):
-    folder = Z.shared_folder(spark, "changes")
     _, _, _, _, current, policy = writes._world(spark, sf)
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     o = spark.readStream.schema(schema).parquet(f"{sf}/orders*.parquet")
     k = F.col("o_orderkey").cast("string")
     rows = writes._deletes(F.col("o_orderkey"), k, F.lit(""))
     log = o.select(F.concat(F.lit("e"), k).alias("episode_id"), F.explode(rows).alias("c")).select("episode_id", "c.*")
-
-    def store(state, audit, outcomes, batch_id):
-        outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/b{batch_id}")
-
-    stream = Z.stream_changes(log, lambda: current, store, policy)
-    stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/outcomes/*").select("episode_id", "seq", "method", "ref", "status")
+    return Z.stream_changes(current, policy).run_available(log).select("episode_id", "seq", "method", "ref", "status")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.functions.ranks import at_fraction, join_groups, median_of, order_statistics, running_total
+from chartloom.functions.ranks import at_fraction, join_groups, key_range, median_of, order_statistics, running_total
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def patient_context(resources: DataFrame, part_bytes: int = 64 * 1024 * 1024) ->
     """
     owned = resources.where("patient_ref is not null").select("patient_ref", "doc")
     size = F.octet_length("doc") + 1
-    placed = running_total(owned, ["patient_ref"], F.substring("doc", 1, 48), [F.col("doc")], size, "_upto")
+    placed = running_total(owned, ["patient_ref"], key_range(owned, F.substring("doc", 1, 512)), [F.col("doc")], size, "_upto")
     part = F.floor((F.col("_upto") - 1) / part_bytes).cast("int")
     return placed.groupBy("patient_ref", part.alias("part")).agg(
         F.count(F.lit(1)).alias("documents"), (F.sum(size) - 1).alias("bytes"), F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context")

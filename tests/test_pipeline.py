@@ -156,6 +156,42 @@ def test_streams_over_several_batches_equal_batch(spark, folder):
     assert key(live) == key(batch)
 
 
+def test_stream_exposure_has_one_row_for_each_episode(spark, folder):
+    refs = {3: ["A/1"], 25: ["A/2"], 45: ["A/1", "A/2"]}
+    ddl = "episode_id string, seq bigint, route string, method string, query string, status int, round int, refs array<string>, exposed array<struct<ref:string,fields:array<string>>>"
+    for n, (seq, seen) in enumerate(refs.items()):
+        rows = [(e, seq, "rest", "GET", "Task", 200, n + 1, seen, [(r, ["code", "status"]) for r in seen]) for e in "ab"]
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(f"{folder}/seen")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(f"{folder}/seen")
+    need = [("A/1", ["code"]), ("A/2", ["code"])]
+    tasks = spark.createDataFrame(
+        [(e, ["A/1", "A/2"], need, ["A/1"]) for e in "ab"],
+        "episode_id string, evidence array<string>, evidence_fields array<struct<ref:string,fields:array<string>>>, target_evidence array<string>",
+    )
+    got = Z.stream_exposure(spark, tasks).run_available(stream).collect()
+    assert sorted(r.episode_id for r in got) == ["a", "b"]
+    assert all(r.first_evidence_call is not None and r.all_evidence_call is not None for r in got)
+
+
+def test_stream_changes_sees_earlier_batches(spark, folder):
+    ddl = "episode_id string, seq int, method string, url string, body string, if_match string, if_none_exist string, bundle_id string"
+    body = json.dumps({"resourceType": "Task", "id": "t", "meta": {"versionId": "1"}, "status": "draft", "for": {"reference": "Patient/1"}})
+    for seq in (1, 2):
+        spark.createDataFrame([("e", seq, "DELETE", "Task/t", None, 'W/"1"', None, None)], ddl).coalesce(1).write.mode("append").json(f"{folder}/log{seq}")
+    current = spark.createDataFrame([("e", "Task/t", body), ("f", "Task/t", body)], "episode_id string, ref string, doc string")
+    policy = spark.createDataFrame(
+        [("e", "Patient/1", ["Task"], ["Task/t"], ["Task/t"])],
+        "episode_id string, policy_patient string, writable_types array<string>, writable_refs array<string>, delete_refs array<string>",
+    )
+    live = Z.stream_changes(current, policy)
+    first, second = (spark.read.schema(ddl).json(f"{folder}/log{seq}") for seq in (1, 2))
+    live.apply(first, 0)
+    live.apply(second, 1)
+    rows = {r.seq: r.status for r in spark.read.parquet(f"{live.folder}/rows/*").collect()}
+    assert rows[1] == 204 and rows[2] in (404, 410, 412), rows
+    assert [r.episode_id for r in spark.read.parquet(f"{live.folder}/state/b1").collect()] == ["f"]
+
+
 def test_interleave_needs_every_band(spark):
     p = spark.createDataFrame([("a", "x")], "id string, band string")
     with pytest.raises(ValueError):
