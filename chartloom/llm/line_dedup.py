@@ -26,6 +26,10 @@ from chartloom.llm.tables import free_of, staged
 MIN_WORDS = 8
 #: Words of a stretch in which hashes are summed up.
 STRETCH = 256
+#: A line is common when it makes up more than one in so many; there are always fewer such lines than this.
+COMMON = 1000
+#: Parts in which the copies of a common line meet its fate.
+SALTS = 64
 
 _KEY = ["h1", "h2"]
 
@@ -51,11 +55,11 @@ def _halves() -> str:
 
 
 def earliest_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each different line: its hash, earliest place, and the keys of its halves (null below `min_words`)."""
+    """Each different line: its hash, earliest place, the keys of its halves (null below `min_words`) and its copies."""
     rows = _lines(docs).withColumn("words", F.split("line", " ")).withColumn("n", F.size("words"))
     rows = rows.select(*_KEY, F.expr(_PLACE).alias("place"), F.expr(f"case when n >= {min_words} then {_halves()} end").alias("halves"))
     # Copies of a line are put together inside each task first.
-    return rows.groupBy(*_KEY).agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
+    return rows.groupBy(*_KEY).agg(F.min("place").alias("place"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies"))
 
 
 def _suspects(lines: DataFrame) -> DataFrame:
@@ -140,8 +144,14 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th and the numbers of the lines that go, one row for each document that loses any."""
     lines = staged(earliest_lines(docs, min_words))
     near = near_lines(docs, lines).select(*_KEY, F.lit(True).alias("near"))
-    fate = lines.select(*_KEY, "place").join(near, _KEY, "left")
-    rows = _lines(docs).drop("line").join(fate, _KEY).where(F.expr(f"near or place < {_PLACE}"))
+    total = lines.agg(F.sum("copies")).first()[0] or 0
+    common = F.col("copies") * COMMON > total
+    salts = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    fate = lines.join(near, _KEY, "left").select(*_KEY, "place", "near", F.explode(salts).alias("salt"))
+    # Fewer than COMMON rows, whatever the input.
+    marked = _lines(docs).drop("line").join(F.broadcast(lines.where(common).select(*_KEY, F.lit(True).alias("common"))), _KEY, "left")
+    salted = marked.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)).cast("int")).otherwise(0))
+    rows = salted.join(fate, [*_KEY, "salt"]).where(F.expr(f"near or place < {_PLACE}"))
     return rows.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
