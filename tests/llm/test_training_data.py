@@ -1,11 +1,13 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and on odd rows."""
 
+import base64
 import hashlib
 import zlib
 from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -248,6 +250,24 @@ def test_compression_bands(docs, odd):
     assert {r.doc_id for r in compression.kept_documents(docs).collect()} == kept
 
 
+def test_compression_bands_judge_every_byte():
+    compress = __import__("zstandard").ZstdCompressor(level=3).compress
+    random, verdict = np.random.default_rng(7), lambda data: compression.bands(data, compress)[3]
+    good = [r.text.encode() for r in _labelled_good()]
+    noise = lambda n: base64.b64encode(random.bytes(n))[:n]
+    phrase = lambda n: (b"this phrase comes back again and again, " * n)[:n]
+    for clean, tail in ((2000, noise(1936)), (2000, phrase(1300)), (4150, noise(3900)), (4150, phrase(3000)), (300, noise(180)), (300, phrase(300))):
+        texts = [t[:clean] for t in good if len(t) >= clean][:10]
+        assert len(texts) == 10 and all(map(verdict, texts)) and not any(verdict(t + tail) for t in texts), (clean, len(tail))
+
+
+def _labelled_good():
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.01/{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    rows = docs.merge(labels[labels["quality"] == 1], on="doc_id").sort_values("doc_id")
+    counts = [compression.base_counts(t) for t in rows["text"]]
+    return rows[[c[0] >= 50 and 100 * c[4] <= 50 * c[0] for c in counts]].itertuples()
+
+
 def test_language(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     rows = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
