@@ -14,8 +14,8 @@ Then only buckets are looked at again whose members lie in several components: t
 component meet all of its members, in blocks, the likeliest pairs first, and a pair whose components have been joined
 meanwhile is skipped. So every component is found as if all pairs of a bucket had been compared, and no list of pairs is made.
 
-Cases: null and empty texts, and texts without a word, belong to no group: each is its own class; ties go to the smallest
-doc_id, and null ids come last; repeated rows are copies; an empty table gives no rows; other columns are kept by
+Cases: null and empty texts, and texts without a word, belong to no group: each is its own class; of a group the row
+with the smallest doc_id stays, and of several texts with it the one of the smallest hash; null ids come last; repeated rows are copies; an empty table gives no rows; other columns are kept by
 `keep_one` and left out by `near_duplicates`.
 """
 
@@ -280,33 +280,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, bands: int, rows: int, size: int, similarity: float) -> DataFrame:
-    """doc_id, id (null without a word), class_id, n_copies and n_links of every document."""
+    """doc_id, id and root (text hashes, null without a word), class_id, leads, n_copies and n_links of every document.
+
+    The rows that lead are those with the doc_id and the text that stand for their root; ids may be null or repeated."""
     classes = staged(text_classes(docs))
     found = staged(links(docs, classes, bands, rows, size, similarity))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     grouped = classes.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    leaders = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    table = grouped.join(leaders, "root").join(degree, "id", "left").select("id", "class_id", "copies", "n_links")
+    leaders = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")).alias("first"))
+    table = grouped.join(leaders, "root").join(degree, "id", "left").select("id", "root", "first", "copies", "n_links")
     keyed = docs.select("doc_id", F.when(F.col("text").rlike(r"\S"), F.xxhash64("text")).alias("id"))
+    alone = F.col("id").isNull()
     return keyed.join(table, "id", "left").select(
-        "doc_id", "id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "id", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("id").eqNullSafe(F.col("first.id")))).alias("leads"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest doc_id of its group), n_copies of its text, n_links found
-    between its text and other texts, kept (one row of each group)."""
+    between its text and other texts, kept (one row of each group), root (the smallest text hash of its group, which tells
+    groups apart where ids are null or repeated)."""
     classed = _classed(docs, bands, rows, size, similarity)
     again = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("class_id"))
-    alone = F.col("id").isNull()
-    return classed.withColumn("r", again).select("doc_id", "class_id", "n_copies", "n_links", (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("r") == 1))).alias("kept"))
+    return classed.withColumn("r", again).select("doc_id", "class_id", "n_copies", "n_links", (F.col("id").isNull() | (F.col("leads") & (F.col("r") == 1))).alias("kept"), "root")
 
 
 def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The row with the smallest doc_id of each group, and every document without a group, with all columns."""
     classed = _classed(docs, bands, rows, size, similarity)
-    gone = classed.where(F.col("id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("id").alias("_i")).distinct()
+    gone = classed.where(~F.col("leads")).select(F.col("doc_id").alias("_d"), F.col("id").alias("_i")).distinct()
     keyed = docs.withColumn("_id", F.when(F.col("text").rlike(r"\S"), F.xxhash64("text")))
     rest = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_id") == F.col("_i")), "left_anti")
     # Repeated rows of one id and text count once.

@@ -209,6 +209,24 @@ def test_near_duplicates(spark, docs, odd):
     assert dartminhash.keep_one(odd).count() == len(ODD) - 2 and dartminhash.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    def group(name, n, ids):
+        words = [f"{name}{i}" for i in range(200)]
+        return [(i, " ".join([*words[:-1], f"last{k}"])) for k, i in zip(range(n), ids)]
+
+    # Two groups without an id, one whose smallest id comes with three texts, one text alone with that id, and one with a null among its ids.
+    rows = group("a", 3, [None] * 3) + group("b", 2, [None] * 2) + group("c", 4, [7, 7, 7, 9]) + group("d", 1, [7]) + group("e", 3, [None, 12, 11]) + [(None, ""), (None, None)]
+    rows += [rows[0], rows[5]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, "-" if r.text is None else r.text[:1]) for r in dartminhash.keep_one(table).collect())
+    assert kept == [(0, ""), (0, "-"), (0, "a"), (0, "b"), (7, "c"), (7, "d"), (11, "e")]
+    found = dartminhash.near_duplicates(table).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(kept)
+    times = Counter(r.root for r in found)
+    assert sorted(times.values()) == [1, 2, 2, 3, 4, 5] and times[None] == 2
+    assert Counter(r.root for r in found if r.kept) == {root: 2 if root is None else 1 for root in times}
+
+
 def test_sharding(spark, docs, odd):
     parts = np.random.default_rng(4).integers(1, 1000, (60, 4))
     place = sharding.differenced(parts)
