@@ -5,7 +5,8 @@ the log odds of hashed bigrams and trigrams of letters. A text's margins are hel
 counts by how well that bit did on the sample, the codeword of least loss wins, and a runner-up within `AMBIGUOUS` of
 its probability flags the text. Up to `FULL_CODE` languages get the exhaustive code, more get random words of 10 log2 bits.
 
-Learned from at most `TRAIN_DOCS` documents of each language (smallest hash of the id first) whose crc32(doc_id) mod 5 is
+Learned from at most `TRAIN_DOCS` documents of each language (smallest hash of the id first, of the rows that repeat an
+id in a language the one whose text hashes lowest) whose crc32(doc_id) mod 5 is
 not 0. Only the text is an input of a prediction, and all of it.
 
 Cases: a text that is null or has no letter gives `und` with score 0; a null doc_id is neither held out nor learned from;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.bpe import slices
-from chartloom.llm.tables import smallest_hashes
+from chartloom.llm.tables import one_row_each, smallest_hashes
 
 TRAIN_DOCS = 2000
 BUCKETS = 1 << 15
@@ -89,8 +90,9 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """lang and text of the documents to learn from."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
     chosen = smallest_hashes(known.select("doc_id", "lang").distinct(), "lang", {None: train_docs})
-    # At most train_docs rows for each language, whatever the input.
-    return known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # At most train_docs rows for each language, however often an id is repeated.
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    return one_row_each(rows, "doc_id", "lang").select("lang", "text")
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:

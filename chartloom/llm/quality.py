@@ -5,7 +5,7 @@ that it is surest of, with its own answer, to the other. At the end both views a
 that neither has learned from, and every document gets the combined probability of good quality; below `REJECT` it goes.
 
 The classifiers are fitted on at most `LABELLED` rows of each label and `POOL` rows without one (smallest hash of the id
-first); features of this sample, of fixed width, are what comes to the driver. Scores are computed for all documents.
+first, one row of a repeated id: the one whose columns hash lowest); features of this sample, of fixed width, are what comes to the driver. Scores are computed for all documents.
 
 Cases: null text is an empty text, null metadata a value of its own, and a missing metadata column counts as null; labels
 other than 0 and 1 are no labels, of repeated labels the lowest counts, labels without a document do nothing; without
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.bpe import slices
-from chartloom.llm.tables import smallest_hashes
+from chartloom.llm.tables import one_row_each, smallest_hashes
 
 LABELLED, POOL = 3000, 6000
 ROUNDS, HANDED = 3, 600
@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             both = np.concatenate([text, meta], 1).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in both], pa.binary())], names=["doc_id", "y", "features"])
 
-    # The sample's ids: at most 2 * labelled + pool rows, whatever the input.
-    rows = _inputs(docs.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id"), "doc_id", "y")
+    # One row of each of the sample's ids: at most 2 * labelled + pool rows, however often an id is repeated.
+    rows = one_row_each(_inputs(docs.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id"), "doc_id", "y"), "doc_id", "y")
     found = rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("features", T.BinaryType())])).toArrow()
     found = found.sort_by([("y", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(found.column("features").to_pylist()), "<f4").reshape(-1, width + _META_WIDTH).astype(np.float64)

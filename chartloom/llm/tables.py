@@ -41,6 +41,13 @@ def free_of(df: DataFrame, *reserved: str) -> None:
         raise ValueError(f"columns that this operator adds: {clash}")
 
 
+def one_row_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows with equal keys the one whose columns hash lowest; each task keeps one row a key before they meet."""
+    rest = [c for c in rows.columns if c not in keys]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("_hash"), *rest))
+    return rows.groupBy(*keys).agg(least.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def smallest_hashes(ids: DataFrame, group: str, limits: dict) -> DataFrame:
     """Of each value of `group`, the rows whose doc_id hashes lowest, as many as its limit says.
 

@@ -316,6 +316,32 @@ def test_quality(spark, odd):
     assert quality.kept_documents(odd, model).columns == odd.columns and quality.kept_documents(odd.select("extra", "text", "doc_id"), model).count() == len(ODD)
 
 
+def test_samples_hold_one_row_of_a_repeated_id(spark):
+    ready(spark)
+    rows = [(i, f"{'good words in a row' if i % 2 else '$$ ## 12'} {i}", "en" if i % 3 else "de", "s", 20, "x") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    again = [(7, f"$$ ## 12 {k}", "en", "s", 20, "x") for k in range(100)]
+    once, often = (spark.createDataFrame(r, SCHEMA).repartition(3) for r in (rows, rows + again))
+    plain = quality.fit(once, labels)
+    # The row of 7 whose columns hash lowest is the only one that counts, whatever order the rows come in.
+    first, second = quality.fit(often, labels), quality.fit(often.orderBy("text"), labels)
+    assert np.array_equal(first.both, second.both)
+    sizes, model = [], quality.Model
+
+    class Seen(model):
+        def __init__(self, text, meta, y, good_share, rounds=quality.ROUNDS):
+            sizes.append(len(y))
+            super().__init__(text, meta, y, good_share, rounds)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "Model", Seen)
+        quality.fit(often, labels)
+        quality.fit(often.select("doc_id", "text"), labels)
+    assert sizes == [200, 200] and plain.both is not None
+    held_out = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200))
+    assert zlib.crc32(b"7") % 5 and langid.sample(often).count() == langid.sample(once).count() == 200 - held_out
+
+
 def test_neighbours(spark):
     random = np.random.default_rng(6)
     points = random.normal(size=(3000, 16)).astype("f4")
