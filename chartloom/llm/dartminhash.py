@@ -280,31 +280,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, bands: int, rows: int, size: int, similarity: float) -> DataFrame:
-    """doc_id, id and root (text hashes, null without a word), class_id, leads, n_copies and n_links of every document.
+    """doc_id, id and root (text hashes, null without a word), class_id, leads, n_copies and n_joining_links of every document.
 
     The rows that lead are those with the doc_id and the text that stand for their root; ids may be null or repeated."""
     classes = staged(text_classes(docs))
     found = staged(links(docs, classes, bands, rows, size, similarity))
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_joining_links"))
     grouped = classes.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     leaders = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")).alias("first"))
-    table = grouped.join(leaders, "root").join(degree, "id", "left").select("id", "root", "first", "copies", "n_links")
+    table = grouped.join(leaders, "root").join(degree, "id", "left").select("id", "root", "first", "copies", "n_joining_links")
     keyed = docs.select("doc_id", F.when(F.col("text").rlike(r"\S"), F.xxhash64("text")).alias("id"))
     alone = F.col("id").isNull()
     return keyed.join(table, "id", "left").select(
         "doc_id", "id", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("id").eqNullSafe(F.col("first.id")))).alias("leads"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links"),
     )
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest doc_id of its group), n_copies of its text, n_links found
-    between its text and other texts, kept (one row of each group), root (the smallest text hash of its group, which tells
-    groups apart where ids are null or repeated)."""
+    """One row for each document: doc_id, class_id (the smallest doc_id of its group), n_copies of its text, n_joining_links
+    (links of its text that joined its group, not the number of similar texts), kept (one row of each group), root (the
+    smallest text hash of its group, which tells groups apart where ids are null or repeated)."""
     classed = _classed(docs, bands, rows, size, similarity)
     again = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("class_id"))
-    return classed.withColumn("r", again).select("doc_id", "class_id", "n_copies", "n_links", (F.col("id").isNull() | (F.col("leads") & (F.col("r") == 1))).alias("kept"), "root")
+    return classed.withColumn("r", again).select("doc_id", "class_id", "n_copies", "n_joining_links", (F.col("id").isNull() | (F.col("leads") & (F.col("r") == 1))).alias("kept"), "root")
 
 
 def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -222,6 +222,7 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert kept == [(0, ""), (0, "-"), (0, "a"), (0, "b"), (7, "c"), (7, "d"), (11, "e")]
     found = dartminhash.near_duplicates(table).collect()
     assert len(found) == len(rows) and sum(r.kept for r in found) == len(kept)
+    assert list(found[0].asDict()) == ["doc_id", "class_id", "n_copies", "n_joining_links", "kept", "root"]
     times = Counter(r.root for r in found)
     assert sorted(times.values()) == [1, 2, 2, 3, 4, 5] and times[None] == 2
     assert Counter(r.root for r in found if r.kept) == {root: 2 if root is None else 1 for root in times}
