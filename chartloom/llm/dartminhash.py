@@ -71,7 +71,7 @@ def units_of(texts: list[str | None], words: dict[str, int], size: int = SHINGLE
     left = np.repeat(begin + lengths, lengths) - np.arange(len(w))
     for k in range(size):
         next_ = np.zeros(len(w), np.uint64)
-        next_[: len(w) - k] = w[k:]
+        next_[: max(0, len(w) - k)] = w[k:]
         shingles = np.where(left > k, _mix(shingles + next_ + _STEP), shingles)
     first = np.zeros(len(w), bool)
     first[begin[lengths > 0]] = True
