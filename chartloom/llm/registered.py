@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chartloom.llm import ann, bpe, compression, dartminhash, langid, line_dedup, packing, quality, sharding, training_order
+from chartloom.llm import ann, bpe, compression, dartminhash, langid, lexical, line_dedup, packing, quality, sharding, spelling, training_order, wrappers
 from chartloom.llm.tables import read
 
 #: Key of the training order.
@@ -105,3 +105,47 @@ def output_code_language(spark, sf):
 @query("op10_compression_bands")
 def compression_bands(spark, sf):
     return compression.compression_rules(read(spark, sf, "documents"))
+
+
+@query(
+    "op11_dual_tree_search",
+    r"""with low as (select doc_id, translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') as t, row_number() over () as r from documents),
+    terms as (select doc_id, r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from low),
+    tf as (select doc_id, r, w, count(*) as tf from terms group by all),
+    docs as (select r, sum(tf)::bigint as n from tf group by 1),
+    total as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from docs),
+    weights as (select w, floor(1000*ln((2*big_n+2)/(2*count(*)+1)))::bigint as weight from tf, total group by w, big_n),
+    asked as (select distinct item_id, unnest(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark),
+    scored as (select item_id, doc_id, r, sum(weight*((1000000000*tf)//(1000*tf+8*(10+(90*n*big_n)//big_l))))::bigint as score
+        from asked join weights using (w) join tf using (w) join docs using (r), total group by 1,2,3),
+    ranked as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scored where score>0)
+    select item_id, rank, doc_id, score from ranked where rank<=10""",
+)
+def dual_tree_search(spark, sf):
+    return lexical.rank_documents(read(spark, sf, "benchmark"), read(spark, sf, "documents"))
+
+
+@query("op12_wrapper_induction")
+def wrapper_induction(spark, sf):
+    return wrappers.extract_text(read(spark, sf, "pages"))
+
+
+@query(
+    "op13_gram_spelling",
+    """with recursive runs as (select doc_id, unnest(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as w from documents),
+    counted as (select coalesce(doc_id::varchar,'') as d, w, count(*) as c from runs where length(w)>=6 group by 1,2),
+    poly as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0,0,0,0,0,0,0,0]::bigint[]), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as tbl),
+    bytes as (select d, w, c, flatten(list_transform(string_split(d || ':' || w, ''), lambda x: case when unicode(x)<128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint-64] end)) as b from counted),
+    hashed as (select w, c, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda x, y: xor(x >> 8, tbl[(xor(x, y) & 255) + 1])), 4294967295::bigint) as h from bytes, poly),
+    typed as (select case when h % 199 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, c from hashed),
+    words as materialized (select word, sum(c)::bigint as n from typed where length(word)>=6 group by 1 having sum(c)>=5),
+    cut as materialized (select word, n, i, left(word, i-1) || substr(word, i+1) as k from words, unnest(range(1, length(word)+1)) as u(i)),
+    pairs as (select a.word, b.word as near, b.n as near_n from cut a join cut b on a.i=b.i and a.k=b.k and a.word<>b.word
+        union select a.word, b.word, b.n from cut a join words b on a.k=b.word union select b.word, a.word, a.n from cut a join words b on a.k=b.word),
+    best as (select word, count(*)::bigint as n_near, min({'less': -near_n, 'near': near}) as b from pairs group by 1),
+    forms as materialized (select w.word, w.n, coalesce(n_near,0)::bigint as n_near, case when -b.less >= 5*w.n then b.near end as form, case when -b.less >= 5*w.n then (-b.less)::bigint end as form_n from words w left join best using (word)),
+    steps as (select word, word as root from forms union all select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null)
+    select f.word, f.form, s.root, f.n, f.n_near, f.form_n from forms f join steps s using (word) join forms l on l.word = s.root where l.form is null""",
+)
+def gram_spelling(spark, sf):
+    return spelling.spelling_groups(read(spark, sf, "documents"))
