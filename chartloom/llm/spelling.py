@@ -23,6 +23,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ LETTERS, OCCURRENCES, TIMES, TYPO_RATE = 6, 5, 5, 199
 GROUPS, TILE, BLOCK_ROWS = 5, 512, 20_000
 #: Different words that a task sums up before it sends them on.
 HELD = 300_000
-#: Letters up to which pairs are verified side by side.
-WIDE = 64
+#: Letters up to which pairs are verified side by side, and how many pairs at a time.
+WIDE, PAIRS = 64, 50_000
 
 #: All letters of runs are single bytes in this encoding; other characters become a mark that ends a run.
 _CODE = "latin-1"
@@ -91,7 +92,7 @@ def counts_of(words: list[bytes]) -> np.ndarray:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer(b"".join(words), np.uint8)
     place = np.repeat(np.arange(len(words)) * 256, lengths) + letters
-    return np.bincount(place, minlength=256 * len(words)).reshape(-1, 256)
+    return np.bincount(place, minlength=256 * len(words)).reshape(-1, 256).astype(np.uint16 if lengths.max(initial=0) < 1 << 16 else np.int64)
 
 
 def groups_of_letters(words: DataFrame) -> np.ndarray:
@@ -111,34 +112,37 @@ def groups_of_letters(words: DataFrame) -> np.ndarray:
     return group
 
 
-def one_edit(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Whether a[i] and b[i], of lengths at most one apart, differ by exactly one letter put in, left out or replaced."""
-    out = np.zeros(len(a), bool)
-    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(a)) for x in (a, b))
-    narrow = np.flatnonzero(np.maximum(size_a, size_b) <= WIDE)
-    for i in np.flatnonzero(np.maximum(size_a, size_b) > WIDE):
-        x, y = sorted((a[i], b[i]), key=len)
+def one_edit(words: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the words at a[i] and b[i], of lengths at most one apart, differ by exactly one letter put in, left out or replaced."""
+    out, size = np.zeros(len(a), bool), np.fromiter(map(len, words), np.int64, len(words))
+    wide = np.maximum(size[a], size[b]) > WIDE
+    for i in np.flatnonzero(wide):
+        x, y = sorted((words[a[i]], words[b[i]]), key=len)
         at = next((k for k in range(len(x)) if x[k] != y[k]), len(x))
         out[i] = x != y and x[at + (len(x) == len(y)) :] == y[at + 1 :]
-    long, short = (np.array([f(a[i], b[i], key=len) for i in narrow], f"S{WIDE + 1}") for f in (max, lambda x, y, key: y if len(x) >= len(y) else x))
-    x, y = (np.ascontiguousarray(w).view(np.uint8).reshape(len(narrow), WIDE + 1) for w in (long, short))
-    equal = size_a[narrow] == size_b[narrow]
-    differ = x != y
-    # A letter more: after the first difference the longer word goes on like the shorter one, a place later.
-    first, later = differ.argmax(1), x[:, 1:] != y[:, :-1]
-    late = (later & (np.arange(WIDE) >= first[:, None])).any(1)
-    out[narrow] = np.where(equal, differ.sum(1) == 1, ~late)
+    narrow = np.flatnonzero(~wide)
+    letters = np.array([w[: WIDE + 1] for w in words], f"S{WIDE + 1}").view(np.uint8).reshape(len(words), WIDE + 1)
+    letters = letters[:, : min(int(size.max(initial=0)), WIDE) + 1]
+    for at in range(0, len(narrow), PAIRS):
+        some = narrow[at : at + PAIRS]
+        turn = size[a[some]] < size[b[some]]
+        long, short = np.where(turn, b[some], a[some]), np.where(turn, a[some], b[some])
+        x, y = letters[long], letters[short]
+        differ = x != y
+        # A letter more: after the first difference the longer word goes on like the shorter one, a place later.
+        first, later = differ.argmax(1), x[:, 1:] != y[:, :-1]
+        late = (later & (np.arange(later.shape[1]) >= first[:, None])).any(1)
+        out[some] = np.where(size[long] == size[short], differ.sum(1) == 1, ~late)
     return out
 
 
-def close_pairs(counts: np.ndarray, lengths: np.ndarray, block: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of pairs in one block, at adjacent lengths and at a squared distance of two or less, by Gram matrices.
+def close_pairs(counts: np.ndarray, lengths: np.ndarray, block: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of pairs in one block, at adjacent lengths and at a squared distance of two or less, by Gram matrices, a tile at a time.
 
     Rows come sorted by block and length. side: only pairs of different sides, where given (0: meets its own kind as well)."""
-    kind = np.float32 if counts.max(initial=0) ** 2 * counts.shape[1] < 1 << 24 else np.float64
+    kind = np.float32 if int(counts.max(initial=0)) ** 2 * counts.shape[1] < 1 << 24 else np.float64
     rows = counts.astype(kind)
     norms = (rows * rows).sum(1)
-    found = [np.empty((0, 2), np.int64)]
     # Rows that can be near a tile's: those of its last block and length, and of the next length.
     order = block * (lengths.max(initial=0) + 2) + lengths
     for at in range(0, len(rows), TILE):
@@ -152,9 +156,7 @@ def close_pairs(counts: np.ndarray, lengths: np.ndarray, block: np.ndarray, side
             fits = (i < j) & (block[i] == block[j]) & (lengths[j] - lengths[i] <= 1)
             if side is not None:
                 fits &= (side[i] == 0) | (side[i] != side[j])
-            found.append(np.stack([i[fits], j[fits]], 1))
-    pairs = np.concatenate(found)
-    return pairs[:, 0], pairs[:, 1]
+            yield i[fits], j[fits]
 
 
 def near_words(words: DataFrame, group: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -197,22 +199,24 @@ def near_words(words: DataFrame, group: np.ndarray, block_rows: int = BLOCK_ROWS
             new[1:] |= x[1:] != x[:-1]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         counts = counts_of(words)
-        counts = counts[:, counts.any(0)] if len(words) else counts
-        whole = counts_of(words)
+        letters = np.flatnonzero(counts.any(0))
+        counts, own = counts[:, letters], group[letters]
         side = np.where(i == j, 0, np.where(part == i, 1, 2))
-        a, b = close_pairs(counts, lengths, np.cumsum(new), side if (side > 0).any() else None)
-        bits = np.zeros(len(a), np.int64)
-        for g in range(GROUPS):
-            bits |= (whole[a][:, group == g] != whole[b][:, group == g]).any(1).astype(np.int64) << g
-        first = _FIRST[bits] == choice[a]
-        a, b = a[first], b[first]
-        real = one_edit([words[x] for x in a], [words[x] for x in b])
+        found = [np.empty((2, 0), np.int64)]
+        for a, b in close_pairs(counts, lengths, np.cumsum(new), side if side.any() else None):
+            bits = np.zeros(len(a), np.int64)
+            for g in range(GROUPS):
+                bits |= (counts[a][:, own == g] != counts[b][:, own == g]).any(1).astype(np.int64) << g
+            first = _FIRST[bits] == choice[a]
+            found.append(np.stack([a[first], b[first]]))
+        a, b = np.concatenate(found, 1)
+        real = one_edit(words, a, b)
         one, other = np.concatenate([a[real], b[real]]), np.concatenate([b[real], a[real]])
         if not len(one):
             return
         # Of each word here: how many near words, and the one of largest count.
         rank = np.empty(len(words), np.int64)
-        rank[np.lexsort((np.array(words, object), -n))] = np.arange(len(words))
+        rank[sorted(range(len(words)), key=lambda x: (-n[x], words[x]))] = np.arange(len(words))
         order = np.lexsort((rank[other], one))
         one, other = one[order], other[order]
         head = np.concatenate([[True], one[1:] != one[:-1]])

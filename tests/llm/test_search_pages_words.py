@@ -238,7 +238,7 @@ def test_spelling_of_the_tables(spark):
 def test_one_edit():
     random = np.random.default_rng(6)
     words = ["".join(random.choice(list("ab"), random.integers(1, 6))).encode() for _ in range(200)] + [b"a" * 80, b"a" * 81, b"a" * 40 + b"b" + b"a" * 40, b"a" * 39 + b"b" + b"a" * 41]
-    pairs = [(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 1]
+    pairs = [(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if abs(len(a) - len(b)) <= 1]
 
     def brute(a, b):
         if len(a) == len(b):
@@ -246,4 +246,5 @@ def test_one_edit():
         long, short = (a, b) if len(a) > len(b) else (b, a)
         return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
-    assert spelling.one_edit([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [brute(a, b) for a, b in pairs]
+    one, other = np.array(pairs).T
+    assert spelling.one_edit(words, one, other).tolist() == [brute(words[i], words[j]) for i, j in pairs]
