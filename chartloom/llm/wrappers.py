@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,26 +180,32 @@ def _fold_all(skeletons: list[str]) -> str:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, skeleton, its hash and the text blocks (node, text, link points) of every page."""
+    """page_id, url, host, skeleton, its hash, article (hash of the longest block) and blocks (node, hash, points, linked, text) of every page.
+
+    What is counted stands beside the texts, so that counting does not read them."""
+    points = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("points", T.IntegerType()), T.StructField("linked", T.IntegerType())])
     schema = T.StructType([
-        pages.schema["page_id"], pages.schema["url"], T.StructField("skeleton", T.StringType()),
-        T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("linked", T.IntegerType())]))),
+        pages.schema["page_id"], pages.schema["url"], T.StructField("skeleton", T.StringType()), T.StructField("article", T.LongType()),
+        T.StructField("marks", T.ArrayType(points)), T.StructField("texts", T.ArrayType(T.StringType())),
     ])
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("linked", pa.int32())]))
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("points", pa.int32()), ("linked", pa.int32())]))
 
     def run(batches):
         for b in slices(batches, 64):
-            skeletons, blocks = [], []
+            skeletons, articles, marks, texts = [], [], [], []
             for markup in b.column(2).to_pylist():
                 page = dom.Page(markup or "")
                 nodes, place = dom.skeleton_of(page)
                 skeletons.append("\n".join(f"{depth} {label}" for depth, label in nodes))
-                blocks.append([{"node": place[node], "text": text, "linked": linked} for node, text, linked in page.blocks])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(skeletons, pa.string()), pa.array(blocks, kind)], names=schema.names)
+                marks.append([(place[node], xxhash.xxh3_64_intdigest(text) - (1 << 63), len(text), linked) for node, text, linked in page.blocks])
+                texts.append([text for _, text, _ in page.blocks])
+                articles.append(max(((size, h) for _, h, size, _ in marks[-1]), default=(0, None))[1])
+            made = [pa.array(skeletons, pa.string()), pa.array(articles, pa.int64()), pa.array(marks, kind), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=schema.names)
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     read = pages.select("page_id", "url", "html").mapInArrow(run, schema)
-    return read.select("page_id", "url", host.alias("host"), "skeleton", F.xxhash64("skeleton").alias("shape"), "blocks")
+    return read.select("page_id", "url", host.alias("host"), "skeleton", F.xxhash64("skeleton").alias("shape"), "article", "marks", "texts")
 
 
 def induce(skeletons: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
@@ -262,10 +269,10 @@ def verdicts(wrapper: str, slots: pd.DataFrame) -> tuple[list[bool], list[bool],
     return (within if article >= 0 else without), without, inside
 
 
-def _judged(blocks: DataFrame, shapes: DataFrame) -> DataFrame:
+def _judged(read: DataFrame, shapes: DataFrame) -> DataFrame:
     """host, shape, keep (by node) and constants (hashes of template blocks of the host's article) of every skeleton.
 
-    blocks: the pages read; shapes: host, shape, skeleton, n."""
+    read: the pages read; shapes: host, shape, skeleton, n."""
     wrappers = staged(induce(shapes.select("host", "skeleton", "n")))
 
     def slotted(frames):
@@ -278,9 +285,7 @@ def _judged(blocks: DataFrame, shapes: DataFrame) -> DataFrame:
     mapped = staged(mapped)
 
     # A page's longest block tells its article from others; copies of a page then count once.
-    long_first = F.expr("array_max(transform(blocks, b -> struct(length(b.text) as size, xxhash64(b.text) as article)))")
-    rows = blocks.select("host", "shape", long_first["article"].alias("article"), F.explode("blocks").alias("b"))
-    rows = rows.select("host", "shape", "article", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("text"), F.length("b.text").alias("points"), F.col("b.linked").alias("linked"))
+    rows = read.select("host", "shape", "article", F.inline("marks")).withColumnRenamed("hash", "text")
     rows = rows.groupBy("host", "shape", "node", "text", "article").agg(F.max("points").alias("points"), F.max("linked").alias("linked"))
     rows = rows.join(mapped, ["host", "shape"]).withColumn("slot", F.element_at("slots", F.col("node") + 1))
     once = rows.groupBy("host", "slot", "text", "article").agg(F.max("points").alias("points"), F.max("linked").alias("linked"))
@@ -291,8 +296,9 @@ def _judged(blocks: DataFrame, shapes: DataFrame) -> DataFrame:
         F.sum("articles").alias("articles"), F.sum(F.when(n_of > 1, n_of).otherwise(0)).alias("shared"),
         F.sum(n_of * F.col("points")).alias("points"), F.sum(n_of * F.col("linked")).alias("linked"),
     )
-    articles = blocks.select("host", long_first["article"].alias("article")).distinct().groupBy("host").agg(F.count("article").alias("all"))
-    often = texts.join(articles, "host").where((F.col("all") >= BLOCK_PAGES) & (F.col("articles") >= BLOCK_SHARE * F.col("all")))
+    articles = read.select("host", "article").distinct().groupBy("host").agg(F.count("article").alias("all"))
+    # Few texts can be frequent enough; only they meet their host's number.
+    often = texts.where(F.col("articles") >= BLOCK_SHARE * BLOCK_PAGES).join(articles, "host").where((F.col("all") >= BLOCK_PAGES) & (F.col("articles") >= BLOCK_SHARE * F.col("all")))
     # At most as many for each host as a page has blocks, over the share.
     constants = often.groupBy("host").agg(F.collect_set("text").alias("constants"))
 
@@ -317,6 +323,7 @@ def extract_text(pages: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     size = judged.agg(F.sum(F.size("keep") + 8 * F.size("constants") + F.length("_host") + 24)).first()[0] or 0
     side = F.broadcast(judged) if size <= small_bytes else judged
     met = read.join(side, (F.col("host") == F.col("_host")) & (F.col("shape") == F.col("_shape")), "left")
-    kept = F.expr("filter(blocks, b -> coalesce(element_at(keep, b.node + 1), false) and not array_contains(constants, xxhash64(b.text)))")
-    text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
+    # Most pages have no template inside their article.
+    content = "element_at(keep, marks[i].node + 1) and (size(constants) = 0 or not array_contains(constants, marks[i].hash))"
+    text = F.coalesce(F.array_join(F.expr(f"filter(texts, (x, i) -> coalesce({content}, false))"), "\n"), F.lit(""))
     return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
