@@ -3,7 +3,8 @@
 Different vectors are dealt to shards by hash. In a shard, batches of vectors search the graph greedily from its medoid;
 what a search visits is pruned: the nearest candidate becomes an edge, and candidates that are closer to it, by the factor
 `ALPHA`, than to the vector itself are left out, so that few but diverse edges remain. Back edges are pruned the same way.
-Queries search every shard, in blocks, with a beam; the shards' best are rescored in double precision and merged.
+Queries search every shard with a beam: a shard and its graph, which are stored, meet the queries in large blocks, read once for
+each. The shards' best are rescored in double precision on the vectors as they came and merged.
 
 Nearness is the cosine. Vectors that are null or zero, or hold a null or a value that is not finite, take no part. Equal vectors
 are one node with the smallest `k` + 1 ids, which is all that a list of k can need; of rows that repeat a vec_id, the
@@ -18,14 +19,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chartloom.llm.tables import staged
 
 K = 5
-#: Vectors of a shard, and queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 2048, 512
+#: Vectors of a shard, queries that meet a shard in one task, and queries searched side by side.
+SHARD_ROWS, BLOCK_ROWS, SIDE_ROWS = 4096, 8192, 512
 #: Edges of a node, width of a search, pruning factor, nodes put in at a time.
 DEGREE, BEAM, ALPHA, BATCH = 24, 64, 1.2, 256
 
 _INDEX = "dim int, shard int, vectors binary, ids binary, graph binary, start int"
+_HIT = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -130,8 +135,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
+def raw_kind(vectors: DataFrame) -> str:
+    """The components as they are stored: 8 bytes where they came as doubles, else 4."""
+    return "<f8" if isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType) else "<f4"
+
+
 def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """One row for each shard: its vectors, the smallest ids of each, the graph and its entry; and the number of shards."""
+    kind = raw_kind(vectors)
     same = Window.partitionBy("dim", "embedding").orderBy("vec_id")
     # The smallest ids of a vector are cut inside each task before the shuffle.
     nodes = vectors.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
@@ -140,7 +151,7 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple
 
     def of_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
-        raw = np.stack(rows["embedding"].to_list()).astype("<f4")
+        raw = np.stack(rows["embedding"].to_list()).astype(kind)
         ids = np.full((len(rows), k + 1), -1, "<i8")
         held = np.zeros((len(rows), k + 1), bool)
         for at, x in enumerate(rows["ids"]):
@@ -154,36 +165,41 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query, its own row left out."""
-    rows = usable(vectors)
+    rows = staged(usable(vectors))
+    kind = raw_kind(rows)
     shards_of, shards = index(rows, k, shard_rows)
+    # Stored, so that a lost executor costs no graph.
+    shards_of = staged(shards_of)
     queries = rows.where(is_query)
     blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
-    # A block goes to each shard once: the stated queries against all rows, in blocks.
-    met = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(shards_of, ["dim", "shard"])
-    flat = met.select("dim", F.col("q.vec_id").alias("q_ids"), F.flatten("q.embedding").alias("q_vectors"), "vectors", "ids", "graph", "start")
+    # The stated queries against all rows, in blocks: every block meets every shard once, and brings its vectors only.
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = queries.select("dim", "vec_id", "embedding", place, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    met = shards_of.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def run(frames):
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                yield pd.DataFrame(_best(r, k, beam), columns=["query_id", "vec_id", "score"])
+    def meet(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        found = [x for r in shard.itertuples(index=False) if len(asked) for x in _best(asked, r, k, beam, kind)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = flat.mapInPandas(run, "query_id long, vec_id long, score double")
+    key = ["dim", "shard", "block"]
+    found = asked.groupBy(*key).cogroup(met.groupBy(*key)).applyInPandas(meet, _HIT)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(r, k: int, beam: int) -> list[tuple[int, int, float]]:
-    raw = np.frombuffer(r.vectors, "<f4").reshape(-1, r.dim)
+def _best(asked: pd.DataFrame, r, k: int, beam: int, kind: str) -> list[tuple[int, int, float]]:
+    raw = np.frombuffer(r.vectors, kind).reshape(-1, r.dim)
     ids, held = np.frombuffer(r.ids, "<i8").reshape(2, len(raw), k + 1)
     graph = np.frombuffer(r.graph, "<i4").reshape(len(raw), -1)
-    points, queries = unit(raw), np.asarray(r.q_vectors, np.float32).reshape(-1, r.dim)
-    nodes, _ = search(points, graph, r.start, unit(queries), max(beam, 2 * k))
-    out = []
-    for q, vector, near in zip(r.q_ids, queries.astype(np.float64), nodes):
-        near = near[near >= 0]
-        exact = raw[near].astype(np.float64)
-        score = (exact * vector).sum(1) / (np.sqrt((exact * exact).sum(1)) * np.sqrt((vector * vector).sum()))
-        pairs = [(-s, int(i)) for s, node in zip(score, near) for i, real in zip(ids[node], held[node]) if real and i != q]
-        out += [(int(q), i, float(-s)) for s, i in sorted(pairs)[:k]]
+    points, out = unit(raw), []
+    for at in range(0, len(asked), SIDE_ROWS):
+        side = asked.iloc[at : at + SIDE_ROWS]
+        queries = np.stack(side["embedding"].to_list())
+        nodes, _ = search(points, graph, r.start, unit(queries), max(beam, 2 * k))
+        for q, vector, near in zip(side["vec_id"], queries.astype(np.float64), nodes):
+            near = near[near >= 0]
+            exact = raw[near].astype(np.float64)
+            score = (exact * vector).sum(1) / (np.sqrt((exact * exact).sum(1)) * np.sqrt((vector * vector).sum()))
+            pairs = [(-s, int(i)) for s, node in zip(score, near) for i, real in zip(ids[node], held[node]) if real and i != q]
+            out += [(int(q), i, float(-s)) for s, i in sorted(pairs)[:k]]
     return out

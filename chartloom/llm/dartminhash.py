@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm.bpe import slices
-from chartloom.llm.tables import staged
+from chartloom.llm.tables import fresh, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Similar texts of 0.8 share a band with probability 0.9999.
@@ -210,8 +210,16 @@ def joining_links(few: pd.DataFrame, many: pd.DataFrame, similarity: float) -> l
     return out
 
 
+#: A character of a word: what is not white space to the cutter of words (`str.split`).
+WORD_CHARACTER = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def has_word(text: str = "text") -> Column:
+    return F.col(text).rlike(WORD_CHARACTER)
+
+
 def _with_words(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike(r"\S"))
+    return docs.where(has_word())
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -289,7 +297,7 @@ def _classed(docs: DataFrame, bands: int, rows: int, size: int, similarity: floa
     grouped = classes.join(components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     leaders = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")).alias("first"))
     table = grouped.join(leaders, "root").join(degree, "id", "left").select("id", "root", "first", "copies", "n_joining_links")
-    keyed = docs.select("doc_id", F.when(F.col("text").rlike(r"\S"), F.xxhash64("text")).alias("id"))
+    keyed = docs.select("doc_id", F.when(has_word(), F.xxhash64("text")).alias("id"))
     alone = F.col("id").isNull()
     return keyed.join(table, "id", "left").select(
         "doc_id", "id", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
@@ -310,9 +318,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS,
 def keep_one(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The row with the smallest doc_id of each group, and every document without a group, with all columns."""
     classed = _classed(docs, bands, rows, size, similarity)
-    gone = classed.where(~F.col("leads")).select(F.col("doc_id").alias("_d"), F.col("id").alias("_i")).distinct()
-    keyed = docs.withColumn("_id", F.when(F.col("text").rlike(r"\S"), F.xxhash64("text")))
-    rest = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_id") == F.col("_i")), "left_anti")
+    d, i, own, nth = fresh(docs, "gone_doc", "gone_text", "text_hash", "nth")
+    gone = classed.where(~F.col("leads")).select(F.col("doc_id").alias(d), F.col("id").alias(i)).distinct()
+    keyed = docs.withColumn(own, F.when(has_word(), F.xxhash64("text")))
+    rest = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(i)), "left_anti")
     # Repeated rows of one id and text count once.
-    r = F.row_number().over(Window.partitionBy("doc_id", "_id").orderBy(F.lit(0)))
-    return rest.withColumn("_r", r).where(F.col("_id").isNull() | (F.col("_r") == 1)).select(*docs.columns)
+    r = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0)))
+    return rest.withColumn(nth, r).where(F.col(own).isNull() | (F.col(nth) == 1)).select(*docs.columns)

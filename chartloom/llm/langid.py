@@ -5,7 +5,8 @@ the log odds of hashed bigrams and trigrams of letters. A text's margins are hel
 counts by how well that bit did on the sample, the codeword of least loss wins, and a runner-up within `AMBIGUOUS` of
 its probability flags the text. Up to `FULL_CODE` languages get the exhaustive code, more get random words of 10 log2 bits.
 
-Learned from at most `TRAIN_DOCS` documents of each language (smallest hash of the id first, of the rows that repeat an
+Languages are the `LANGUAGES` values of `lang` with the most documents, of at least `LEAST_DOCS` each, ties by name; what comes to
+the driver is one count for each of their buckets. Learned from at most `TRAIN_DOCS` documents of each language (smallest hash of the id first, of the rows that repeat an
 id in a language the one whose text hashes lowest) whose crc32(doc_id) mod 5 is
 not 0. Only the text is an input of a prediction, and all of it.
 
@@ -30,6 +31,8 @@ from chartloom.llm.bpe import slices
 from chartloom.llm.tables import one_row_each, smallest_hashes
 
 TRAIN_DOCS = 2000
+#: Languages learned, and the documents that a value of `lang` needs to be one.
+LANGUAGES, LEAST_DOCS = 128, 5
 BUCKETS = 1 << 15
 FULL_CODE = 7
 #: Scale of a mean margin in its loss.
@@ -86,10 +89,14 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, languages: int = LANGUAGES, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang and text of the documents to learn from."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    chosen = smallest_hashes(known.select("doc_id", "lang").distinct(), "lang", {None: train_docs})
+    ids = known.select("doc_id", "lang").distinct()
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    # At most `languages` rows.
+    learned = counts.orderBy(F.col("n").desc(), "lang").limit(languages).select("lang")
+    chosen = smallest_hashes(ids.join(F.broadcast(learned), "lang", "left_semi"), "lang", {None: train_docs})
     # At most train_docs rows for each language, however often an id is repeated.
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     return one_row_each(rows, "doc_id", "lang").select("lang", "text")

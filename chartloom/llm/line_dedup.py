@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.tables import free_of, staged
+from chartloom.llm.tables import free_of, fresh, staged
 
 #: Words from which lines are compared with edits.
 MIN_WORDS = 8
@@ -157,12 +157,13 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their remaining lines; columns n_lines and n_dropped are added."""
-    free_of(docs, "n_lines", "n_dropped", "th", "gone")
-    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone")
-    joined = docs.withColumn("_key", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    free_of(docs, "n_lines", "n_dropped")
+    d, th, own, g = fresh(docs, "gone_doc", "gone_text", "text_hash", "gone")
+    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias(d), F.col("th").alias(th), F.col("gone").alias(g))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(th)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    kept = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(g, i)), "\n"))
     return joined.select(
         *(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -28,6 +28,8 @@ from chartloom.llm.tables import one_row_each, smallest_hashes
 
 LABELLED, POOL = 3000, 6000
 ROUNDS, HANDED = 3, 600
+#: Share of a view's answers that must be right, on labelled rows it has not learned from, for it to hand them on.
+CONFIDENT = 0.95
 #: Share of the labelled rows that calibrate.
 HELD = 4
 REJECT = 0.3
@@ -35,7 +37,9 @@ META = ("lang", "source", "n_chars")
 GRAMS = 256
 
 _SHAPES = 10
-_META_WIDTH = 16 + 64 + 24 + 16 + 24
+#: Buckets of language, source, size in half octaves, and language with size.
+_META_WIDTHS = (16, 64, 48, 64)
+_META_WIDTH = sum(_META_WIDTHS)
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -65,16 +69,13 @@ def _bucket(value, width: int) -> int:
     return zlib.crc32(str(value).encode()) % width
 
 
-def meta_features(lang, source, n_chars, text: str | None) -> np.ndarray:
-    """One-hot buckets of language, source, size, number of lines and mean line length."""
+def meta_features(lang, source, n_chars) -> np.ndarray:
+    """One-hot buckets of language, source, size, and language with size: columns only, nothing of the text."""
     out = np.zeros(_META_WIDTH, np.float32)
-    lines = (text or "").count("\n") + 1
     size = int(n_chars) if n_chars is not None and n_chars >= 0 else 0
+    steps = (2 * size.bit_length() + (size >> max(0, size.bit_length() - 2)) % 2) if size else 0
     at = 0
-    for place, width in (
-        (_bucket(lang, 16), 16), (_bucket(source, 64), 64), (min(23, size.bit_length()), 24),
-        (min(15, lines.bit_length()), 16), (min(23, (size // lines).bit_length()), 24),
-    ):
+    for place, width in zip((_bucket(lang, 16), _bucket(source, 64), min(47, steps), _bucket((lang, steps), 64)), _META_WIDTHS):
         out[at + place] = 1
         at += width
     return out
@@ -97,12 +98,22 @@ def logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def _sure(z: np.ndarray, free: np.ndarray, n: int, good_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that a view is surest of, good and poor in the proportion of the labels, and its answers."""
+def _threshold(z: np.ndarray, right: np.ndarray) -> float:
+    """The lowest value from which on at least `CONFIDENT` of the rows are right; infinite where there is none."""
+    order = np.argsort(-z, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(z) + 1)
+    sure = np.flatnonzero((share >= CONFIDENT) & (np.arange(len(z)) >= 4))
+    return float(z[order[sure[-1]]]) if len(sure) else np.inf
+
+
+def _sure(z: np.ndarray, free: np.ndarray, n: int, good_share: float, held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a view is surest of, good and poor in the proportion of the labels, and its answers; only rows beyond
+    the values at which the view is right on labelled rows that it has not learned from."""
     open_ = np.flatnonzero(free)
     order = open_[np.argsort(z[open_], kind="stable")]
     good, poor = order[::-1][: round(n * good_share)], order[: round(n * (1 - good_share))]
-    good, poor = good[z[good] > 0], poor[z[poor] < 0]
+    good = good[z[good] >= max(0, _threshold(z[held], y[held] == 1))]
+    poor = poor[-z[poor] >= max(0, _threshold(-z[held], y[held] == 0))]
     return np.concatenate([good, poor]), np.concatenate([np.ones(len(good)), np.zeros(len(poor))])
 
 
@@ -124,7 +135,7 @@ class Model:
                 rows = np.concatenate([learn, *(r for r, _ in more)])
                 fitted.append(fit_logistic(view[rows], np.concatenate([y[learn], *(a for _, a in more)])))
             for me, other in ((0, 1), (1, 0)):
-                rows, answers = _sure(logits(fitted[me], views[me]), free[other], HANDED, good_share)
+                rows, answers = _sure(logits(fitted[me], views[me]), free[other], HANDED, good_share, held, y)
                 taught[other].append((rows, answers))
                 free[other][rows] = False
         self.text, self.meta = fitted
@@ -149,7 +160,7 @@ def _inputs(docs: DataFrame, *first: str) -> DataFrame:
 def _features(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch whose columns from `at` on are lang, source, n_chars, text."""
     lang, source, n_chars, text = (b.column(at + i).to_pylist() for i in range(4))
-    return np.stack([text_features(t) for t in text]), np.stack([meta_features(*m) for m in zip(lang, source, n_chars, text)])
+    return np.stack([text_features(t) for t in text]), np.stack([meta_features(*m) for m in zip(lang, source, n_chars)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chartloom.llm import ann, bpe, compression, dartminhash, langid, lexical, line_dedup, packing, quality, sharding, spelling, training_order, wrappers
-from chartloom.llm.tables import read
+from chartloom.llm.tables import new_folder, read
 
 #: Key of the training order.
 ORDER_KEY = 20_240_601
@@ -48,8 +48,10 @@ def pruned_graph_neighbours(spark, sf):
 
 @query("op4_training_order")
 def training_order_records(spark, sf):
-    shards = training_order.training_shards(read(spark, sf, "documents"), tokenizer_file(), ORDER_KEY)
-    records = training_order.records_of(shards)
+    # The shards are written, and the records are what a run that starts at slot 0 reads from them.
+    folder = new_folder(spark, "training-order")
+    training_order.write_shards(training_order.training_shards(read(spark, sf, "documents"), tokenizer_file(), ORDER_KEY), folder)
+    records = training_order.read_from(spark, folder, ordered=False)
     return records.select("doc_id", "piece", "slot", "shard", "position", "length", F.crc32("tokens").alias("tokens_crc32"))
 
 
@@ -104,7 +106,8 @@ def output_code_language(spark, sf):
 
 @query("op10_compression_bands")
 def compression_bands(spark, sf):
-    return compression.compression_rules(read(spark, sf, "documents"))
+    docs = read(spark, sf, "documents")
+    return compression.compression_rules(docs, compression.fit(docs, read(spark, sf, "labels")))
 
 
 @query(

@@ -24,12 +24,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that nothing has yet, under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet under the shared checkpoint folder and read it back: later steps neither recompute it
     nor depend on the executors that made it."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = new_folder(spark, "staged")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,6 +46,17 @@ def free_of(df: DataFrame, *reserved: str) -> None:
         raise ValueError(f"columns that this operator adds: {clash}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the input has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_row_each(rows: DataFrame, *keys: str) -> DataFrame:
     """Of the rows with equal keys the one whose columns hash lowest; each task keeps one row a key before they meet."""
     rest = [c for c in rows.columns if c not in keys]
@@ -49,20 +65,21 @@ def one_row_each(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def smallest_hashes(ids: DataFrame, group: str, limits: dict) -> DataFrame:
-    """Of each value of `group`, the rows whose doc_id hashes lowest, as many as its limit says.
+    """Of each value of `group`, the rows whose doc_id hashes lowest, as many as its limit says (None: of all other values).
 
-    Groups are counted first, so that each task keeps only rows that can be among them: what meets in a task is a little
-    over the limit, however large the group is.
+    Groups are counted first, and each row meets its group's count, so that a task keeps only rows that can be among them:
+    what meets in a window is a little over the limit, however large the group is and however many groups there are.
     """
-    counts = {r[0]: r[1] for r in ids.groupBy(group).count().collect()}
+    limit = F.lit(limits.get(None, 0))
+    for value, n in limits.items():
+        if value is not None:
+            limit = F.when(F.col(group).eqNullSafe(F.lit(value)), n).otherwise(limit)
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    near, limit = F.lit(False), F.lit(0)
-    for value, n in counts.items():
-        most = limits.get(value, limits.get(None, 0))
-        mine = F.col(group).eqNullSafe(F.lit(value))
-        # Well over what is needed: ten standard deviations and more.
-        near = near | (mine & (F.col("_unit") <= (most + 10 * most**0.5 + 100) / n))
-        limit = F.when(mine, most).otherwise(limit)
+    # Well over what is needed: ten standard deviations and more.
+    room = (F.col("_limit") + 10 * F.sqrt(F.col("_limit")) + 100) / F.col("_n")
+    crowded = ids.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = ids.withColumn("_unit", unit).withColumn("_limit", limit)
+    near = rows.join(crowded, F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_unit") <= room)
     order = Window.partitionBy(group).orderBy("_unit", "doc_id")
-    ranked = ids.withColumn("_unit", unit).where(near).withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= limit).drop("_unit", "_rank")
+    ranked = near.withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= F.col("_limit")).select(*ids.columns)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chartloom.llm.bpe import slices, tokenizer
 from chartloom.llm.tables import staged
@@ -30,7 +31,13 @@ END_ID = 2
 LENGTH, RECORDS = 1024, 1024
 ROUNDS = 6
 
-_SHARD = "shard long, first_slot long, records long, stride long, doc_ids array<long>, pieces array<long>, lengths array<long>, payload binary"
+
+def shard_schema(doc_id: T.StructField) -> T.StructType:
+    """A shard's columns; ids keep the type that they have in the documents."""
+    longs = T.ArrayType(T.LongType())
+    kinds = {"shard": T.LongType(), "first_slot": T.LongType(), "records": T.LongType(), "stride": T.LongType(), "doc_ids": T.ArrayType(doc_id.dataType), "pieces": longs, "lengths": longs, "payload": T.BinaryType()}
+    return T.StructType([T.StructField(n, t) for n, t in kinds.items()])
+
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,9 +129,9 @@ def training_shards(docs: DataFrame, path: str, key: int, length: int = LENGTH,
             row = {"shard": first // records, "first_slot": first, "records": len(of), "stride": stride, "doc_ids": [r[2] for r in of], "pieces": [r[3] for r in of], "lengths": [r[4] for r in of], "payload": payload}
             yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-    longs = pa.list_(pa.int64())
-    arrow = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("records", pa.int64()), ("stride", pa.int64()), ("doc_ids", longs), ("pieces", longs), ("lengths", longs), ("payload", pa.binary())])
-    return dealt.mapInArrow(run, _SHARD)
+    schema = shard_schema(docs.schema["doc_id"])
+    arrow = to_arrow_schema(schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def write_shards(shards: DataFrame, folder: str) -> None:
@@ -141,7 +148,9 @@ def records_of(shards: DataFrame) -> DataFrame:
     )
 
 
-def read_from(spark: SparkSession, folder: str, slot: int = 0, records: int = RECORDS) -> DataFrame:
-    """The records from a slot on, in order: what a resumed run reads."""
-    shards = spark.read.schema(_SHARD).parquet(folder).where(F.col("shard") >= slot // records)
-    return records_of(shards).where(F.col("slot") >= slot).orderBy("slot")
+def read_from(spark: SparkSession, folder: str, slot: int = 0, records: int = RECORDS, ordered: bool = True) -> DataFrame:
+    """The records from a slot on, in order: what a resumed run reads. ordered: False leaves out the sort over all shards,
+    inside a shard records are in order anyhow."""
+    shards = spark.read.parquet(folder).where(F.col("shard") >= slot // records)
+    records_ = records_of(shards).where(F.col("slot") >= slot)
+    return records_.orderBy("slot") if ordered else records_
