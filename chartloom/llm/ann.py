@@ -26,8 +26,8 @@ from chartloom.llm.tables import staged
 K = 5
 #: Vectors of a shard, queries that meet a shard in one task, and queries searched side by side.
 SHARD_ROWS, BLOCK_ROWS, SIDE_ROWS = 4096, 8192, 512
-#: Edges of a node, width of a search, pruning factor, nodes put in at a time.
-DEGREE, BEAM, ALPHA, BATCH = 24, 64, 1.2, 256
+#: Edges of a node, width of the searches that build a graph and of those for queries, pruning factor, nodes put in at a time.
+DEGREE, BEAM, QUERY_BEAM, ALPHA, BATCH = 32, 64, 128, 1.2, 256
 
 _INDEX = "dim int, shard int, vectors binary, ids binary, graph binary, start int"
 _HIT = "query_id long, vec_id long, score double"
@@ -163,7 +163,7 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple
     return dealt.groupBy("dim", "shard").applyInPandas(of_shard, _INDEX), shards
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query, its own row left out."""
     rows = staged(usable(vectors))
     kind = raw_kind(rows)
