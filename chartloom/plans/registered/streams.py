@@ -8,6 +8,8 @@ from chartloom.plans.registered import writes
 from chartloom.plans.sqltext import sql
 from chartloom.streaming import episodes as Z
 
+#: Time without an event after which an episode is ended.
+IDLE = "30 days"
 _SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -30,7 +32,7 @@ def _stream(spark, sf):
 
 @query("z01_stream_budget", "select 'ep'||user_id as episode_id, event_id as seq, call, call>40 as refused from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as call from events) z")
 def budget(spark, sf):
-    return Z.stream_budget(spark).run_available(_stream(spark, sf))
+    return Z.stream_budget(spark, idle=IDLE).run_available(_stream(spark, sf))
 
 
 @query(
@@ -39,7 +41,7 @@ def budget(spark, sf):
         and not exists (select 1 from ev0 s where s.user_id=u.user_id and s.k=u.k and s.event_type='click' and s.event_id<u.event_id)""", "ev0"),
 )
 def novelty(spark, sf):
-    return Z.stream_novelty(spark, charts.episode_tasks(spark, sf)).run_available(_stream(spark, sf))
+    return Z.stream_novelty(spark, charts.episode_tasks(spark, sf), idle=IDLE).run_available(_stream(spark, sf))
 
 
 @query(
@@ -49,7 +51,7 @@ def novelty(spark, sf):
         select 'ep'||user_id as episode_id, o as first_evidence_call, case when p is not null and o is not null then greatest(p,o) end as all_evidence_call from a where p is not null or o is not null""", "ev0"),
 )
 def exposure(spark, sf):
-    rows = Z.stream_exposure(spark, charts.episode_tasks(spark, sf)).run_available(_stream(spark, sf))
+    rows = Z.stream_exposure(spark, charts.episode_tasks(spark, sf), idle=IDLE).run_available(_stream(spark, sf))
     return rows.select("episode_id", "first_evidence_call", "all_evidence_call")
 
 
@@ -76,4 +78,4 @@ def changes(spark, sf):
         select episode_id, round, count(*) as calls, count(*) filter (bad) as errors from s group by episode_id, round, n""", "ev0"),
 )
 def rounds(spark, sf):
-    return Z.run_complete(Z.stream_rounds(_stream(spark, sf))).select("episode_id", "round", "calls", "errors")
+    return Z.stream_rounds(spark).run_available(_stream(spark, sf)).select("episode_id", "round", "calls", "errors")

@@ -1,6 +1,8 @@
 import json
 import tempfile
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,7 +191,61 @@ def test_stream_changes_sees_earlier_batches(spark, folder):
     live.apply(second, 1)
     rows = {r.seq: r.status for r in spark.read.parquet(f"{live.folder}/rows/*").collect()}
     assert rows[1] == 204 and rows[2] in (404, 410, 412), rows
-    assert [r.episode_id for r in spark.read.parquet(f"{live.folder}/state/b1").collect()] == ["f"]
+    assert [r.episode_id for r in live.state(1).collect()] == ["f"]
+    # A repeated batch gives the same, and only the parts that it touches are written.
+    live.apply(second, 1)
+    assert {r.seq: r.status for r in spark.read.parquet(f"{live.folder}/rows/*").collect()} == rows and live.state(1).count() == 1
+
+
+def test_stream_state_is_cut_and_ends(spark, folder):
+    ddl = "episode_id string, seq bigint, ts timestamp, round int, status int, bytes double"
+    minute = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    # Three batches an hour and more apart; episode old is only in the first, new only in the last.
+    batches = [
+        [("old", 1, minute(0)), ("old", 2, minute(5)), ("hot", 3, minute(6))] + [(f"e{i}", 10 + i, minute(7)) for i in range(30)],
+        [("hot", 100, minute(90)), ("e1", 101, minute(91))],
+        [("hot", 200, minute(200)), ("new", 201, minute(201)), ("old", 202, minute(202))],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(*r, 1, 400 if r[1] == 2 else 200, 1.5) for r in rows], ddl).coalesce(1).write.mode("append").json(f"{folder}/in{n}")
+    read = [spark.read.schema(ddl).json(f"{folder}/in{n}") for n in range(3)]
+    live = Z.stream_budget(spark, 1, idle="60 minutes", parts=8)
+    for n, batch in enumerate(read):
+        live.apply(batch, n)
+        if n == 1:
+            live.apply(batch, n)
+            # Nothing had ended when batch 1 came: the newest event before it was of minute 7.
+            assert {r.episode_id: r.calls for r in live.state(1).collect()} == {"old": 2, "hot": 2, "e1": 2, **{f"e{i}": 1 for i in range(30) if i != 1}}
+    assert {r.episode_id: r.calls for r in live.state(2).collect()} == {"hot": 3, "e1": 2, "new": 1, "old": 1}
+    calls = {r.seq: r.call for r in spark.read.parquet(f"{live.folder}/rows/*").collect()}
+    assert calls[100] == 2 and calls[200] == 3 and calls[201] == 1 and calls[202] == 1
+    # Batch 1 touched two episodes: the other parts are still those of batch 0.
+    at = {r["_part"]: r["n"] for r in spark.read.parquet(f"{live.folder}/state").where("_at = 1").groupBy("_part").agg(F.countDistinct("episode_id").alias("n")).collect()}
+    assert 1 <= len(at) <= 2
+
+    rounds = Z.stream_rounds(spark, delay="10 minutes", gap="30 minutes", parts=4)
+    for n, batch in enumerate(read):
+        rounds.apply(batch, n)
+    assert sorted(r.episode_id for r in rounds.state(2).collect()) == ["e1", "hot", "hot", "new", "old"]
+    given = spark.read.parquet(f"{rounds.folder}/rows/*").where("episode_id = 'old'").collect()
+    assert [(r.calls, r.errors, r.bytes, r.started) for r in given] == [(2, 1, 3.0, minute(0))]
+
+
+def test_stream_rounds_equal_batch_sessions(spark, folder):
+    random = np.random.default_rng(1)
+    t, rows = datetime(2024, 1, 1), []
+    for i in range(400):
+        t += timedelta(minutes=int(random.integers(0, 12)))
+        rows.append((f"e{random.integers(0, 4)}", i, t, int(random.integers(0, 2)), int(random.choice([200, 400])), 1.0))
+    ddl = "episode_id string, seq bigint, ts timestamp, round int, status int, bytes double"
+    df = spark.createDataFrame(rows, ddl)
+    for n in range(4):
+        df.where((F.col("seq") >= n * 100) & (F.col("seq") < n * 100 + 100)).coalesce(1).write.mode("append").json(f"{folder}/in")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    live = Z.stream_rounds(spark, gap="30 minutes", parts=4).run_available(stream)
+    whole = df.groupBy("episode_id", "round", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") >= 400).alias("errors"))
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(live.select("episode_id", "round", "started", "calls", "errors")) == key(whole.select("episode_id", "round", "w.start", "calls", "errors"))
 
 
 def test_interleave_needs_every_band(spark):
