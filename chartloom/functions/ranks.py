@@ -7,21 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.session import checkpointed
 
 CUTS = 1024
-#: Cuts of a text key.
-KEY_CUTS = 256
-
-
-def key_range(df: DataFrame, key: Column, cuts: int = KEY_CUTS) -> Column:
-    """Order-preserving bucket of a text key, for ``ranked``: how many of ``cuts`` keys of the data itself lie at or below it.
-
-    The cuts are the keys with the least hashes, so they follow the keys' own distribution, whatever prefix these share,
-    and come out the same on every run. Absent keys are bucket -1.
-    """
-    least = df.select(key.cast("string").alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(cuts)
-    bounds = F.array(*[F.lit(k) for k in sorted({r.k for r in least.collect()})]).cast("array<string>")
-    return F.when(key.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= key.cast("string"))))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,6 +39,31 @@ def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Col
     return joined.withColumn(out, F.col("__n") + F.col("__before")).drop("__bucket", "__n", "__before")
 
 
+def range_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """Sum of a value up to and including each row of a group, in ``order``, for sort keys that no cheap cut fits (texts).
+
+    One exchange by ranges of (group, order), whose cuts Spark takes from the data, spreads the rows evenly whatever prefixes
+    the keys share; sums run inside (group, range), and the ranges' totals of a group are added up. The ranges are
+    stored before they are used, so a lost executor cannot move a row into another one. Rows that tie in ``order``
+    stay in one range, so it should end with columns that tell rows apart.
+    """
+    by = list(by)
+    dealt = df.repartitionByRange(*[F.col(c) for c in by], *order)
+    placed = checkpointed(dealt.withColumn("__range", F.spark_partition_id()).withColumn("__value", value))
+    inner = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "__range").agg(F.sum("__value").alias("__c"))
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    summed = placed.withColumn("__n", F.sum("__value").over(inner))
+    joined = join_groups(summed, offsets, by + ["__range"])
+    return joined.withColumn(out, F.col("__n") + F.col("__before")).drop("__range", "__value", "__n", "__before")
+
+
+def range_ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "seq") -> DataFrame:
+    """``row_number() over (partition by <by> order by <order>)`` by ranges of the data (``range_running``)."""
+    return range_running(df, by, order, F.lit(1).cast("bigint"), out)
+
+
 def order_statistics(
     df: DataFrame, by: Sequence[str], value: str, positions: dict[str, Callable[[Column], Column]], weight: str | None = None
 ) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions import text as X
-from chartloom.functions.ranks import key_range, ranked
+from chartloom.functions.ranks import range_ranked
+from chartloom.session import checkpointed
 from chartloom.operators import catalogue as C
 
 DAY_PREDICATE = r"^(eq|ne|gt|ge|lt|le)?(\d{4}-\d{2}-\d{2})$"
@@ -326,7 +327,8 @@ def read_queries(queries: DataFrame) -> DataFrame:
     return q.withColumn("error", error).drop("allowed", "pairs")
 
 
-SALTS = 16
+#: Rows of a posting list that meet their queries in one task.
+SALT_ROWS = 50_000
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -393,63 +395,146 @@ def resolve_chains(good: DataFrame, index: DataFrame, world: list[str]) -> DataF
     )
 
 
-def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None) -> DataFrame:
-    """(query_id, ref) of every match of every valid query.
+def _day_codes(day: Column) -> Column:
+    """What a date text is found by: itself, its month, its year, its century; texts of another form by one mark."""
+    cut = lambda k, n: F.concat(F.lit(k), F.substring(day, 1, n))
+    whole = F.array(cut("d", 10), F.when(F.length(day) >= 7, cut("m", 7)), cut("y", 4), cut("c", 2))
+    shaped = day.rlike(r"^\d{4}(-\d\d(-\d\d)?)?$")
+    return F.when(day == "", F.array().cast("array<string>")).when(shaped, F.array_compact(whole)).otherwise(F.array(F.lit("x")))
 
-    ``world`` names a column of both sides that keeps separate charts apart.
 
-    Each query is joined on its most selective equality predicate (its anchor); the other predicates
-    are then read off the joined row. Anchors are salted, so a token held by a third of the rows is
-    spread over several tasks.
-    """
-    good = read_queries(queries).where("error is null").withColumnRenamed("kind", "resource_type")
-    base = lambda p: p.base
-    rank = lambda p: (
-        F.when(p.key.endswith(":missing"), 9).when(p.key == "patient.identifier", 0).when(p.key == "_id", 1)
-        .when(p.key == "identifier", 2).when(base(p).isin(*C.REFERENCE_FIELDS), 3).when(p.key == "patient", 4)
-        .when(p.key == "code", 5).when(base(p).isin("name", *C.DATE_PARAMS), 9).otherwise(6)
-    )
-    best = F.element_at(
-        F.array_sort(F.concat(
-            F.transform("predicates", lambda p: F.struct(rank(p).alias("r"), p.field.alias("field"), p.value.alias("value"))),
-            F.array(F.struct(F.lit(9).alias("r"), F.lit("").alias("field"), F.lit("").alias("value"))),
-        )), 1,
-    )
-    q = good.withColumn("_best", best)
-    worlds = [world] if world else []
-    chains = resolve_chains(q, index, worlds)
-    tail = lambda c: F.when(F.col("_best.r").isin(3, 4), _bare(c)).when(F.col("_best.r") == 1, c).otherwise(X.after_bar(c))
-    anchored = q.where("_best.r > 0").select(
-        "query_id", *worlds, "resource_type", "predicates",
-        F.when(F.col("_best.r") < 9, F.col("_best.field")).otherwise("").alias("_field"),
-        F.explode(F.array_distinct(F.when(F.col("_best.r") < 9, F.transform(F.split("_best.value", ","), tail)).otherwise(F.array(F.lit(""))))).alias("_code"),
-        F.lit(None).cast("string").alias("_owner"),
+def _range_codes(low: Column, high: Column) -> Column:
+    """Codes that cover all date texts from one day to another (null: open): days, months, years or centuries by the length of the
+    range. They may cover a little more, never less."""
+    none = F.array().cast("array<string>")
+    first, last = F.try_to_timestamp(F.coalesce(low, F.lit("0000-01-01"))).cast("date"), F.try_to_timestamp(F.coalesce(high, F.lit("9999-12-31"))).cast("date")
+    every = lambda kind, step, form: F.transform(
+        F.sequence(F.trunc(first, kind) if kind else first, last, F.expr(f"interval {step}")), lambda d: F.date_format(d, form)
     )
-    by_chain = q.where("_best.r = 0").join(chains, "query_id").select(
-        "query_id", *worlds, "resource_type", "predicates", F.lit("patient").alias("_field"), _bare(F.col("chain_ref")).alias("_code"),
-        F.col("chain_ref").alias("_owner"),
+    mark = lambda k, codes: F.transform(codes, lambda c: F.concat(F.lit(k), c))
+    years = mark("y", every("year", "1 year", "yyyy"))
+    centuries = F.transform(F.sequence((F.year(first) / 100).cast("int"), (F.year(last) / 100).cast("int")), lambda c: F.format_string("c%02d", c))
+    # Texts that name only a month or a year sort before their days.
+    short_years, short_months = mark("d", every("year", "1 year", "yyyy")), mark("d", every("month", "1 month", "yyyy-MM"))
+    days = F.concat(mark("d", every(None, "1 day", "yyyy-MM-dd")), short_months, short_years)
+    months = F.concat(mark("m", every("month", "1 month", "yyyy-MM")), short_years)
+    span = F.datediff(last, first)
+    # A day that is none in the calendar compares as a text: only the centuries are sure.
+    bad = first.isNull() | last.isNull()
+    all_centuries = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda c: F.format_string("c%02d", c))
+    codes = (
+        F.when(bad, all_centuries).when(span < 0, none).when(span <= 45, days).when(span <= 730, months).when(span <= 366 * 60, years).otherwise(centuries)
     )
-    wanted = anchored.unionByName(by_chain).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    anchors = F.array_distinct(
+    return F.concat(codes, F.array(F.lit("x")))
+
+
+def _bounds(choice: Column) -> tuple[Column, Column, Column]:
+    """Operator, lowest and highest day of a date choice; null where it is open."""
+    op, day = F.regexp_extract(choice, DAY_PREDICATE, 1), F.regexp_extract(choice, DAY_PREDICATE, 2)
+    return op, F.when(~op.isin("lt", "le", "ne"), day), F.when(~op.isin("gt", "ge", "ne"), day)
+
+
+def postings(index: DataFrame, worlds: list[str] | None = None) -> DataFrame:
+    """The slim index: resource_type, field, code, ref of everything that an equality, a date or a piece of a name can be looked up by."""
+    entry = lambda field, code: F.struct(F.lit(field).alias("field"), code.alias("code"))
+    of = lambda field, codes: F.transform(codes, lambda c: F.struct(F.lit(field).alias("field"), c.alias("code")))
+    day = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, 10)
+    entries = F.array_distinct(
         F.concat(
-            F.array(
-                F.struct(F.lit("").alias("field"), F.lit("").alias("code")),
-                F.struct(F.lit("_id").alias("field"), F.col("id").alias("code")),
-            ),
-            F.transform("owners", lambda o: F.struct(F.lit("patient").alias("field"), _bare(o).alias("code"))),
+            F.array(entry("", F.lit("")), entry("_id", F.col("id"))),
+            of("patient", F.transform("owners", _bare)),
             F.transform("tokens", lambda t: F.struct(t.field.alias("field"), X.after_bar(t.code).alias("code"))),
             F.transform("targets", lambda t: F.struct(t.field.alias("field"), _bare(t.target).alias("code"))),
+            of("@date", _day_codes(day("resource_date"))),
+            of("@birth", _day_codes(day("birth_date"))),
+            of("@name", F.array_distinct(F.flatten(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: _grams(n))))),
+        )
+    )
+    return index.select(*(worlds or []), "resource_type", "ref", F.explode(entries).alias("e")).select(*(worlds or []), "resource_type", "ref", "e.*").where("code is not null")
+
+
+def _lookups(good: DataFrame, chains: DataFrame, worlds: list[str]) -> DataFrame:
+    """All ways to find a query's rows: (query_id, n, m, alt, field, code, owner).
+
+    Every predicate n can be the anchor; all its choices m are then looked up, each by one of its alternatives, and an
+    alternative by all its codes. A chain always is the anchor. The whole type is the last resort.
+    """
+    base, none = lambda p: p.base, F.array().cast("array<struct<field:string,codes:array<string>>>")
+    way = lambda field, codes: F.struct(field.alias("field"), codes.alias("codes"))
+    dated = lambda p: base(p).isin(*C.DATE_PARAMS) & ~p.key.contains(":")
+    date_field = lambda p: F.when(base(p) == "birthdate", "@birth").otherwise("@date")
+
+    def ways(p: Column, c: Column) -> Column:
+        op, low, high = _bounds(c)
+        pieces = F.filter(_grams(F.lower(c)), lambda g: F.length(g) == F.least(F.length(c), F.lit(3)))
+        code = F.when(base(p) == "_id", c).when(base(p).isin("patient", *C.REFERENCE_FIELDS), _bare(c)).otherwise(X.after_bar(c))
+        field = F.when(base(p) == "patient", "patient").otherwise(p.field)
+        return (
+            F.when(dated(p), F.array(way(date_field(p), _range_codes(low, high))))
+            .when(base(p) == "name", F.transform(pieces, lambda g: way(F.lit("@name"), F.array(g))))
+            .otherwise(F.array(way(field, F.array(code))))
         )
+
+    keys = ["query_id", *worlds, "resource_type"]
+    single = good.select(*keys, F.posexplode("predicates").alias("n", "p")).where(~F.col("p.key").endswith(":missing") & (F.col("p.key") != "patient.identifier"))
+    each = single.select(*keys, "n", "p", F.posexplode(F.array_distinct(F.split("p.value", ","))).alias("m", "c"))
+    found = each.select(*keys, "n", "m", F.posexplode(ways(F.col("p"), F.col("c"))).alias("alt", "w"))
+
+    # Several bounds on one date are one range.
+    plain = lambda kind: F.filter(
+        "predicates", lambda p: dated(p) & (date_field(p) == kind) & ~p.value.contains(",") & ~p.value.startswith("ne")
     )
-    placed = index.withColumn("_a", F.explode(anchors)).withColumn("_salt", F.pmod(F.xxhash64("ref"), F.lit(SALTS)).cast("int"))
-    joined = placed.join(
-        wanted.withColumnsRenamed({"resource_type": "_kind"} | {w: "_q_" + w for w in worlds}),
-        _all([placed[w] == F.col("_q_" + w) for w in worlds])
-        & (F.col("resource_type") == F.col("_kind")) & (F.col("_a.field") == F.col("_field"))
-        & (F.col("_a.code") == F.col("_code")) & (placed["_salt"] == wanted["_salt"]),
+    ends = lambda kind, at, f: f(F.transform(plain(kind), lambda p: _bounds(p.value)[at]))
+    both = F.array(*[
+        F.struct(F.size(plain(kind)).alias("size"), way(F.lit(kind), _range_codes(ends(kind, 1, F.array_max), ends(kind, 2, F.array_min))).alias("w")) for kind in ("@date", "@birth")
+    ])
+    ranges = good.select(*keys, F.posexplode(F.filter(both, lambda b: b.size > 1)).alias("k", "b"))
+    ranges = ranges.select(*keys, (F.col("k") + 10_000).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"), "b.w")
+    whole = good.select(*keys, F.lit(20_000).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"), way(F.lit(""), F.array(F.lit(""))).alias("w"))
+    open_ = found.unionByName(ranges).unionByName(whole).select(*keys, "n", "m", "alt", F.col("w.field").alias("field"), F.explode("w.codes").alias("code"), F.lit(None).cast("string").alias("owner"))
+    open_ = open_.join(_chained(good).select("query_id"), "query_id", "left_anti")
+    tied = good.join(chains, "query_id").select(*keys, F.lit(-1).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"), F.lit("patient").alias("field"), _bare(F.col("chain_ref")).alias("code"), F.col("chain_ref").alias("owner"))
+    return open_.unionByName(tied)
+
+
+def _chained(good: DataFrame) -> DataFrame:
+    return good.where(F.exists("predicates", lambda p: p.key == "patient.identifier"))
+
+
+def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None) -> DataFrame:
+    """(query_id, ref) of every match of every valid query.
+
+    ``world`` names a column of both sides that keeps separate charts apart.
+
+    Everything that can be looked up is a posting (field, code, ref). The posting lists that the queries ask for are counted,
+    and each query goes by the predicate with the fewest rows: an equality, a range of dates, a piece of a name. Long lists
+    are salted by their counts, so one held by a third of the rows is spread over many tasks. Only for what is found
+    there the full row is read and all predicates are checked.
+    """
+    good = read_queries(queries).where("error is null").withColumnRenamed("kind", "resource_type")
+    worlds = [world] if world else []
+    lookups = _lookups(good, resolve_chains(_chained(good), index, worlds), worlds)
+    keys = [*worlds, "resource_type", "field", "code"]
+    asked = postings(index, worlds).join(lookups.select(*keys).distinct(), keys)
+    sizes = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+
+    # A code without rows is no way to lose: its predicate matches nothing.
+    cost = lookups.join(sizes, keys, "left").withColumn("size", F.coalesce("size", F.lit(0))).repartition("query_id")
+    code = F.struct("field", "code", "owner", "size")
+    alts = cost.groupBy("query_id", "n", "m", "alt").agg(F.sum("size").alias("cost"), F.collect_list(code).alias("codes"))
+    choices = alts.groupBy("query_id", "n", "m").agg(F.min(F.struct("cost", "alt", "codes")).alias("b"))
+    anchors = choices.groupBy("query_id", "n").agg(F.sum("b.cost").alias("cost"), F.flatten(F.collect_list("b.codes")).alias("codes"))
+    best = anchors.groupBy("query_id").agg(F.min(F.struct("cost", "n", "codes")).alias("b")).select("query_id", F.explode(F.array_distinct("b.codes")).alias("c"))
+    salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
+    wanted = (
+        good.select("query_id", *worlds, "resource_type", "predicates").join(best, "query_id").select("query_id", *worlds, "resource_type", "predicates", "c.*")
+        .where("size > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     )
-    kept = joined.where(F.forall("predicates", _row_matches) & (F.col("_owner").isNull() | (F.col("_owner") == F.col("patient_ref"))))
-    return kept.select("query_id", "ref", "id", "resource_date", "pos").dropDuplicates(["query_id", "ref"])
+    spread = asked.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("ref"), salts.cast("bigint")).cast("int")).drop("size")
+    found = spread.join(wanted.drop("size"), [*keys, "salt"]).select("query_id", *worlds, "ref", "predicates", "owner").dropDuplicates(["query_id", "ref"])
+    read = index.join(found, ["ref", *worlds])
+    kept = read.where(F.forall("predicates", _row_matches) & (F.col("owner").isNull() | (F.col("owner") == F.col("patient_ref"))))
+    return kept.select("query_id", "ref", "id", "resource_date", "pos")
 
 
 def batch_search(queries: DataFrame, resources: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -457,20 +542,15 @@ def batch_search(queries: DataFrame, resources: DataFrame, index: DataFrame | No
 
     ``queries`` has (query_id, url). Includes follow the page and are appended with mode ``include``.
     """
-    index = search_index(resources) if index is None else index
+    index = checkpointed(search_index(resources)) if index is None else index
     plan = read_queries(queries).where("error is null").select("query_id", "sort", "count", "page", "includes")
-    found = batch_matches(queries, index)
+    found = checkpointed(batch_matches(queries, index).join(plan, "query_id"))
     totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = found.join(plan, "query_id")
     by_date, down = F.col("sort").endswith("date"), F.col("sort").startswith("-")
     key = F.when(by_date, F.col("resource_date")).otherwise(F.col("id"))
-    order = [F.when(~down, key).asc(), F.when(down, key).desc(), F.col("pos").asc()]
-    deepest = plan.agg(F.max((F.col("page") + 1) * F.col("count"))).first()[0] or 0
-    if deepest <= 1000:
-        w = Window.partitionBy("query_id").orderBy(*order)
-        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= deepest)
-    else:
-        rows = _rank_deep(rows, key, down, order)
+    order = [F.when(~down, key).asc(), F.when(down, key).desc(), F.col("pos").asc(), F.col("ref").asc()]
+    # Ranks by ranges, however deep the page: no query's rows meet in one task.
+    rows = range_ranked(found, ["query_id"], order, "_rn")
     first = F.col("page") * F.col("count")
     page = rows.where((F.col("_rn") > first) & (F.col("_rn") <= first + F.col("count"))).join(totals, "query_id")
     matched = page.select(
@@ -492,14 +572,6 @@ def batch_search(queries: DataFrame, resources: DataFrame, index: DataFrame | No
     return matched.drop("includes").unionByName(included)
 
 
-def _rank_deep(rows: DataFrame, key: Column, down: Column, order: list[Column]) -> DataFrame:
-    """Ranks for pages too deep for a per-task top-k: two levels, by the first characters of the sort key."""
-    prefix = F.when(F.col("sort").endswith("date"), F.substring(key, 1, 10)).otherwise(F.substring(key, 1, 4))
-    up = ranked(rows.where(~down), ["query_id"], prefix, order, "_rn")
-    back = ranked(rows.where(down), ["query_id"], prefix, order, "_rn", descending=True)
-    return up.unionByName(back)
-
-
 # -- the remaining chart tools -----------------------------------------------------------
 
 def _grams(s: Column, sizes=(1, 2, 3)) -> Column:
@@ -561,7 +633,7 @@ def chart_timeline(
     if not 1 <= len(kinds) <= 6 or any("patient" not in C.PARAMS.get(k, ()) for k in kinds):
         raise SearchError("choose one to six supported patient types")
     mine = resources.where(F.col("resource_type").isin(kinds) & F.col(by).isNotNull())
-    numbered = ranked(mine, [by, "resource_type"], key_range(mine, F.col("id")), [F.col("id")], "_rn")
+    numbered = range_ranked(mine, [by, "resource_type"], [F.col("id"), F.col("ref")], "_rn")
     paged = numbered.withColumn("page", F.ceil(F.col("_rn") / per_type)).where(F.lit(True) if page is None else F.col("page") == page)
     counts = mine.groupBy(by, "resource_type").agg(F.count(F.lit(1)).alias("_rows"))
     day = F.substring("resource_date", 1, 10)

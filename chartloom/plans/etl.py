@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions import text as X
-from chartloom.functions.ranks import key_range, ranked
+from chartloom.functions.ranks import range_ranked, ranked
 
 C = F.col
 
@@ -192,7 +192,7 @@ def refresh_trend_gold(tasks: DataFrame, trend: DataFrame) -> DataFrame:
 
 def pair_names(patients: DataFrame, shard: str, key: str) -> DataFrame:
     """Two consecutive patients of a shard share a name."""
-    r = ranked(patients, [shard], key_range(patients, C(key)), [C(key)], "_k")
+    r = range_ranked(patients, [shard], [C(key), F.xxhash64(*patients.columns)], "_k")
     return r.withColumn("name", F.concat(F.lit("Jordan Synthetic"), C(shard).cast("string"), F.lit("Pair"), F.floor((C("_k") - 1) / 2).cast("string"))).drop("_k")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.functions.ranks import at_fraction, join_groups, key_range, median_of, order_statistics, running_total
+from chartloom.functions.ranks import at_fraction, join_groups, median_of, order_statistics, range_running
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -33,9 +33,14 @@ def patient_context(resources: DataFrame, part_bytes: int = 64 * 1024 * 1024) ->
 
     A chart is one part unless it outgrows ``part_bytes``; joined by line breaks the parts are the whole text.
     """
-    owned = resources.where("patient_ref is not null").select("patient_ref", "doc")
+    owned = resources.where("patient_ref is not null").select("patient_ref", "ref", "doc")
     size = F.octet_length("doc") + 1
-    placed = running_total(owned, ["patient_ref"], key_range(owned, F.substring("doc", 1, 512)), [F.col("doc")], size, "_upto")
+    # Only charts above one part are put in order across tasks; their texts are what the ranges are cut by.
+    sizes = owned.groupBy("patient_ref").agg(F.sum(size).alias("_size"))
+    sized = owned.join(sizes, "patient_ref")
+    small = sized.where(F.col("_size") <= part_bytes).withColumn("_upto", F.lit(1).cast("bigint"))
+    large = range_running(sized.where(F.col("_size") > part_bytes), ["patient_ref"], [F.col("doc"), F.col("ref")], size.cast("bigint"), "_upto")
+    placed = small.unionByName(large).drop("ref", "_size")
     part = F.floor((F.col("_upto") - 1) / part_bytes).cast("int")
     return placed.groupBy("patient_ref", part.alias("part")).agg(
         F.count(F.lit(1)).alias("documents"), (F.sum(size) - 1).alias("bytes"), F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context")

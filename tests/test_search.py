@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.functions import ranks
 from chartloom.operators import search
 from chartloom.sources.ndjson import from_documents
 
@@ -96,3 +98,42 @@ def test_deep_pages_use_two_level_ranks(spark, chart):
     q = spark.createDataFrame([("a", "Observation?_count=2&_page=0&_sort=-date"), ("b", "Observation?_count=1&_page=2&_sort=date"), ("c", "Task?_count=50&_page=30")], "query_id string, url string")
     got = {(r.query_id, r.page_pos): r.ref for r in search.batch_search(q, chart).collect()}
     assert got == {("a", 1): "Observation/o4", ("a", 2): "Observation/o2", ("b", 1): "Observation/o0"}
+
+
+def test_dates_and_names_are_looked_up(spark, monkeypatch):
+    """Ranges of dates and pieces of names against the single form, with posting lists cut into many salts."""
+    random = np.random.default_rng(3)
+    days = ["", "2023", "2023-07", "not a date", *(f"{y}-{m:02d}-{d:02d}" for y in (1899, 1999, 2000, 2023, 2024) for m in (1, 2, 7, 12) for d in (1, 15, 28, 31) if (m, d) != (2, 31))]
+    docs = [{"resourceType": "Observation", "id": f"o{i}", "status": "final", **({"effectiveDateTime": d} if d else {})} for i, d in enumerate(days)]
+    names = ["Jo Lee", "Joanna Leeds", "al", "x", "", "O'Brien", "Lee Jo"]
+    docs += [{"resourceType": "Patient", "id": f"p{i}", "name": [{"text": n}], "birthDate": d} for i, n in enumerate(names) for d in [days[i * 7 % len(days)]]]
+    table = from_documents(spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string")).cache()
+    urls = ["Observation?date=ge1999-12-31&date=lt2023-07-15", "Observation?date=2023-07-01,2024-12-31", "Observation?date=ne2023-07-01&date=le2024-01-01", "Observation?date=gt2024-02-30", "Observation?date=le1899-01-15", "Observation?date=ge2024-01-01&date=le2023-01-01"]
+    urls += [f"Observation?date={a}{random.choice(days[5:])}&date={b}{random.choice(days[5:])}" for a in ("ge", "gt", "") for b in ("le", "lt", "ne")]
+    urls += ["Patient?name=lee", "Patient?name=LE", "Patient?name=o", "Patient?name=x,jo%20l", "Patient?name=zzz", "Patient?name=o'b", "Patient?name=e&birthdate=ge1999-01-01", "Patient?birthdate:missing=false&name=jo"]
+    monkeypatch.setattr(search, "SALT_ROWS", 3)
+    found = {}
+    for r in search.batch_matches(spark.createDataFrame([(u, u) for u in urls], "query_id string, url string"), search.search_index(table)).collect():
+        found.setdefault(r.query_id, []).append(r.id)
+    for u in urls:
+        assert sorted(found.get(u, [])) == sorted(r.id for r in search.matches(table, u).collect()), u
+    # The chosen lists are short: a month for days in it, three letters for a name.
+    q = search.read_queries(spark.createDataFrame([("a", "Observation?date=ge2023-07-01&date=le2023-07-31")], "query_id string, url string")).withColumnRenamed("kind", "resource_type")
+    codes = {r.code for r in search._lookups(q, spark.createDataFrame([], "query_id string, chain_ref string"), []).where("n = 10000").collect()}
+    assert {"d2023-07-01", "d2023-07-31", "d2023-07", "d2023", "x"} <= codes and len(codes) <= 40
+
+
+def test_ranges_rank_repeated_keys(spark):
+    """A key held by a third of the rows, and keys that share a long prefix."""
+    rows = [("g", "same" if i % 3 == 0 else "p" * 600 + str(i % 40), i) for i in range(600)] + [(None, "x", 1000), ("h", None, 1001)]
+    df = spark.createDataFrame(rows, "g string, k string, i int").repartition(4)
+    got = ranks.range_ranked(df, ["g"], [F.col("k"), F.col("i")], "n").collect()
+    for g in ("g", "h", None):
+        mine = sorted(((r[1] is not None, r[1] or "", r[2]) for r in rows if r[0] == g))
+        assert [r.i for r in sorted((r for r in got if r.g == g), key=lambda r: r.n)] == [i for _, _, i in mine]
+        assert sorted(r.n for r in got if r.g == g) == list(range(1, len(mine) + 1))
+    total = {r.i: r.upto for r in ranks.range_running(df.where("g = 'g'"), ["g"], [F.col("k"), F.col("i")], F.col("i").cast("bigint"), "upto").collect()}
+    upto = 0
+    for _, k, i in sorted((r for r in rows if r[0] == "g"), key=lambda r: (r[1], r[2])):
+        upto += i
+        assert total[i] == upto
