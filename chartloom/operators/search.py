@@ -434,22 +434,23 @@ def _bounds(choice: Column) -> tuple[Column, Column, Column]:
     return op, F.when(~op.isin("lt", "le", "ne"), day), F.when(~op.isin("gt", "ge", "ne"), day)
 
 
-def postings(index: DataFrame, worlds: list[str] | None = None) -> DataFrame:
-    """The slim index: resource_type, field, code, ref of everything that an equality, a date or a piece of a name can be looked up by."""
-    entry = lambda field, code: F.struct(F.lit(field).alias("field"), code.alias("code"))
+def postings(index: DataFrame, worlds: list[str] | None = None, fields: set[str] | None = None) -> DataFrame:
+    """The slim index: resource_type, field, code, ref of everything that an equality, a date or a piece of a name can be looked up by,
+    or of the given fields only."""
     of = lambda field, codes: F.transform(codes, lambda c: F.struct(F.lit(field).alias("field"), c.alias("code")))
     day = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, 10)
-    entries = F.array_distinct(
-        F.concat(
-            F.array(entry("", F.lit("")), entry("_id", F.col("id"))),
-            of("patient", F.transform("owners", _bare)),
-            F.transform("tokens", lambda t: F.struct(t.field.alias("field"), X.after_bar(t.code).alias("code"))),
-            F.transform("targets", lambda t: F.struct(t.field.alias("field"), _bare(t.target).alias("code"))),
-            of("@date", _day_codes(day("resource_date"))),
-            of("@birth", _day_codes(day("birth_date"))),
-            of("@name", F.array_distinct(F.flatten(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: _grams(n))))),
-        )
-    )
+    special = {
+        "": lambda: F.array(F.lit("")), "_id": lambda: F.array("id"), "patient": lambda: F.transform("owners", _bare),
+        "@date": lambda: _day_codes(day("resource_date")), "@birth": lambda: _day_codes(day("birth_date")),
+        "@name": lambda: F.array_distinct(F.flatten(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: _grams(n)))),
+    }
+    parts = [of(k, made()) for k, made in special.items() if fields is None or k in fields]
+    rest = None if fields is None else sorted(fields - {"", "_id", "@date", "@birth", "@name"})
+    if rest is None or rest:
+        mine = lambda t: F.lit(True) if rest is None else t.field.isin(*rest)
+        parts.append(F.transform(F.filter("tokens", mine), lambda t: F.struct(t.field.alias("field"), X.after_bar(t.code).alias("code"))))
+        parts.append(F.transform(F.filter("targets", mine), lambda t: F.struct(t.field.alias("field"), _bare(t.target).alias("code"))))
+    entries = F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<struct<field:string,code:string>>")
     return index.select(*(worlds or []), "resource_type", "ref", F.explode(entries).alias("e")).select(*(worlds or []), "resource_type", "ref", "e.*").where("code is not null")
 
 
@@ -506,32 +507,34 @@ def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None
 
     ``world`` names a column of both sides that keeps separate charts apart.
 
-    Everything that can be looked up is a posting (field, code, ref). The posting lists that the queries ask for are counted,
-    and each query goes by the predicate with the fewest rows: an equality, a range of dates, a piece of a name. Long lists
-    are salted by their counts, so one held by a third of the rows is spread over many tasks. Only for what is found
-    there the full row is read and all predicates are checked.
+    Everything that can be looked up is a posting (field, code, ref). The posting lists of the fields that the queries ask for
+    are counted, without their rows, and each query goes by the predicate with the fewest: an equality, a range of dates, a
+    piece of a name. Only the fields chosen are then posted. Long lists are salted by their counts, so one held by a third
+    of the rows is spread over many tasks, and only for what is found there the full row is read and all predicates are checked.
     """
-    good = read_queries(queries).where("error is null").withColumnRenamed("kind", "resource_type")
     worlds = [world] if world else []
-    lookups = _lookups(good, resolve_chains(_chained(good), index, worlds), worlds)
+    good = checkpointed(read_queries(queries).where("error is null").withColumnRenamed("kind", "resource_type"))
+    lookups = checkpointed(_lookups(good, resolve_chains(_chained(good), index, worlds), worlds))
     keys = [*worlds, "resource_type", "field", "code"]
-    asked = postings(index, worlds).join(lookups.select(*keys).distinct(), keys)
-    sizes = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    # Names of fields: as many as the catalogue has.
+    fields = lambda df: {r[0] for r in df.select("field").distinct().collect()}
+    sizes = postings(index, worlds, fields(lookups)).groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
 
-    # A code without rows is no way to lose: its predicate matches nothing.
+    # A code without rows costs nothing: its predicate matches nothing.
     cost = lookups.join(sizes, keys, "left").withColumn("size", F.coalesce("size", F.lit(0))).repartition("query_id")
     code = F.struct("field", "code", "owner", "size")
     alts = cost.groupBy("query_id", "n", "m", "alt").agg(F.sum("size").alias("cost"), F.collect_list(code).alias("codes"))
     choices = alts.groupBy("query_id", "n", "m").agg(F.min(F.struct("cost", "alt", "codes")).alias("b"))
     anchors = choices.groupBy("query_id", "n").agg(F.sum("b.cost").alias("cost"), F.flatten(F.collect_list("b.codes")).alias("codes"))
     best = anchors.groupBy("query_id").agg(F.min(F.struct("cost", "n", "codes")).alias("b")).select("query_id", F.explode(F.array_distinct("b.codes")).alias("c"))
-    salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
-    wanted = (
+    wanted = checkpointed(
         good.select("query_id", *worlds, "resource_type", "predicates").join(best, "query_id").select("query_id", *worlds, "resource_type", "predicates", "c.*")
-        .where("size > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .where("size > 0").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
     )
-    spread = asked.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("ref"), salts.cast("bigint")).cast("int")).drop("size")
-    found = spread.join(wanted.drop("size"), [*keys, "salt"]).select("query_id", *worlds, "ref", "predicates", "owner").dropDuplicates(["query_id", "ref"])
+    asked = postings(index, worlds, fields(wanted)).join(wanted.select(*keys, "salts").distinct(), keys)
+    spread = asked.withColumn("salt", F.pmod(F.xxhash64("ref"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "size")
+    found = spread.join(salted, [*keys, "salt"]).select("query_id", *worlds, "ref", "predicates", "owner").dropDuplicates(["query_id", "ref"])
     read = index.join(found, ["ref", *worlds])
     kept = read.where(F.forall("predicates", _row_matches) & (F.col("owner").isNull() | (F.col("owner") == F.col("patient_ref"))))
     return kept.select("query_id", "ref", "id", "resource_date", "pos")
@@ -557,6 +560,8 @@ def batch_search(queries: DataFrame, resources: DataFrame, index: DataFrame | No
         "query_id", "total", (F.col("_rn") - first).cast("int").alias("page_pos"), "ref", F.lit("match").alias("mode"),
         (F.col("total") > first + F.col("count")).alias("more"), "includes",
     )
+    # Pages are read three times below.
+    matched = checkpointed(matched)
     follows = matched.where(F.size("includes") > 0)
     bodies = follows.join(resources.select("ref", "v"), "ref")
     field = F.create_map(*[F.lit(x) for k, f in C.INCLUDES.items() for x in (k, f)])

@@ -8,6 +8,7 @@ from chartloom.plans import charts
 from chartloom.plans.charts import table
 from chartloom.plans.registry import query
 from chartloom.plans.sqltext import sql
+from chartloom.session import checkpointed
 
 
 def _found(url, *kinds):
@@ -129,7 +130,7 @@ def batch_second_page(spark, sf):
 def search_total(spark, sf):
     urls = _per_patient(spark, sf, "ServiceRequest?patient=Patient/c{}&code=urn:chart:codes|1-URGENT&authored-on:missing=true")
     bad = _per_patient(spark, sf, "ServiceRequest?patient=Patient/c{}&code=1-URGENT")
-    index = search.search_index(charts.resources(spark, sf, "ServiceRequest"))
+    index = checkpointed(search.search_index(charts.resources(spark, sf, "ServiceRequest")))
     # The first form uses an unknown parameter, is refused and gives no rows.
     both = urls.withColumn("query_id", F.concat(F.lit("bad"), "query_id")).unionByName(bad)
     found = search.batch_matches(both, index).where("resource_date >= '1996-01-01'")
@@ -147,7 +148,7 @@ def search_total(spark, sf):
 def include(spark, sf):
     urls = _per_patient(spark, sf, "DiagnosticReport?patient=c{}&_count=5&_include=DiagnosticReport:result&_include=DiagnosticReport:based-on")
     resources = charts.resources(spark, sf, "DiagnosticReport", "Observation", "ServiceRequest")
-    index = search.search_index(resources.where("resource_type = 'DiagnosticReport'"))
+    index = checkpointed(search.search_index(resources.where("resource_type = 'DiagnosticReport'")))
     return search.batch_search(urls, resources, index).select("query_id", "ref", "mode")
 
 
