@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from chartloom.session import checkpointed
 
-CUTS = 1024
-
-
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on group keys where NULL is a group of its own; right-hand key columns are dropped."""
     renamed = right.select(*[F.col(c).alias("_r_" + c) if c in keys else F.col(c) for c in right.columns])
@@ -69,44 +66,27 @@ def order_statistics(
 ) -> DataFrame:
     """Exact elements of the sorted values of each group at 0-based positions computed from the count.
 
-    Values are counted first, so a value held by a third of the rows is one row. The counts are cut
-    into equal widths between the exact least and greatest value of each group and cumulated over
-    cuts, then only inside the cuts that hold a wanted position.
+    Values are counted first, so a value held by a third of the rows is one row. The counts are dealt by ranges of (group,
+    value), whose cuts come from the data, so that an outlier costs nothing; the ranges' totals tell which of them
+    hold a wanted position, and only those are looked into.
     """
     keys = list(by) or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     one = F.lit(1) if weight is None else F.col(weight)
     counts = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(one).alias("_c"))
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("_total")
-    )
-    share = (F.col(value) - F.col("_low")).cast("double") / F.nullif((F.col("_high") - F.col("_low")).cast("double"), F.lit(0.0))
-    cut = F.coalesce(F.floor(share * CUTS), F.lit(0))
-    placed = join_groups(counts, spans, keys).withColumn("_cut", cut).drop("_low", "_high")
-    sums = placed.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_s"), F.first("_total").alias("_total"))
-    w = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(w), F.lit(0)))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(k).alias("k"), at(F.col("_total")).cast("bigint").alias("at"))
-            for k, at in positions.items()
-        ]
-    )
-    held = sums.select(
-        *keys,
-        "_cut",
-        "_base",
-        F.filter(
-            wanted, lambda t: (t.at >= F.col("_base")) & (t.at < F.col("_base") + F.col("_s"))
-        ).alias("_ws"),
-    ).where(F.size("_ws") > 0)
+    dealt = counts.repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+    placed = checkpointed(dealt.withColumn("_cut", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "_cut").agg(F.sum("_c").alias("_s"))
+    # A group's ranges, not its values, meet in one task.
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn("_total", F.sum("_s").over(group))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), at(F.col("_total")).cast("bigint").alias("at")) for k, at in positions.items()])
+    inside = lambda t, low, size: (t.at >= low) & (t.at < low + size)
+    held = sums.select(*keys, "_cut", "_base", F.filter(wanted, lambda t: inside(t, F.col("_base"), F.col("_s"))).alias("_ws")).where(F.size("_ws") > 0)
     inner = Window.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    walked = join_groups(placed, held, keys + ["_cut"]).withColumn(
-        "_lo", F.col("_base") + F.coalesce(F.sum("_c").over(inner), F.lit(0))
-    )
-    hit = lambda k: F.exists(
-        "_ws", lambda t: (t.k == k) & (t.at >= F.col("_lo")) & (t.at < F.col("_lo") + F.col("_c"))
-    )
+    walked = join_groups(placed, held, keys + ["_cut"]).withColumn("_lo", F.col("_base") + F.coalesce(F.sum("_c").over(inner), F.lit(0)))
+    hit = lambda k: F.exists("_ws", lambda t: (t.k == k) & inside(t, F.col("_lo"), F.col("_c")))
     picks = [F.max(F.when(hit(k), F.col(value))).alias(k) for k in positions]
     return walked.groupBy(*keys).agg(*picks).drop("_all")
 
@@ -121,11 +101,17 @@ def at_floor(p: float) -> Callable[[Column], Column]:
     return lambda n: F.floor((n - 1) * F.lit(p))
 
 
+#: Positions of the two middle elements, whose mean is the median.
+MIDDLE: dict[str, Callable[[Column], Column]] = {"_lo_mid": at_floor(0.5), "_hi_mid": lambda n: F.ceil((n - 1) * F.lit(0.5))}
+
+
+def middle_mean() -> Column:
+    return (F.col("_lo_mid") + F.col("_hi_mid")) / 2
+
+
 def median_of(df: DataFrame, by: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
     """Exact median: mean of the lower and upper middle elements."""
-    middle = {"_lo_mid": at_floor(0.5), "_hi_mid": lambda n: F.ceil((n - 1) * F.lit(0.5))}
-    found = order_statistics(df, by, value, middle, weight)
-    return found.select(*by, ((F.col("_lo_mid") + F.col("_hi_mid")) / 2).alias(out))
+    return order_statistics(df, by, value, MIDDLE, weight).select(*by, middle_mean().alias(out))
 
 
 def running_total(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], value: Column, out: str) -> DataFrame:

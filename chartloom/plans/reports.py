@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.functions.ranks import at_fraction, join_groups, median_of, order_statistics, range_running
+from chartloom.functions.ranks import MIDDLE, at_fraction, join_groups, middle_mean, order_statistics, range_running, ranked
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -60,9 +60,8 @@ def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 3).alias("mean")
     )
-    quartiles = order_statistics(df, by, value, {"p25": at_fraction(0.25), "p75": at_fraction(0.75)})
-    middle = median_of(df, by, value)
-    return join_groups(join_groups(stats, quartiles, list(by)), middle, list(by))
+    found = order_statistics(df, by, value, {"p25": at_fraction(0.25), "p75": at_fraction(0.75), **MIDDLE})
+    return join_groups(stats, found.select(*by, "p25", "p75", middle_mean().alias("median")), list(by))
 
 
 def histogram(rows: DataFrame, owner: str, item: Column | None = None) -> DataFrame:
@@ -132,16 +131,20 @@ def balanced_resample(facts: DataFrame, side: str, resamples: int = 100, seed: i
     """Mean, least and most of each structural count over resamples with the same budget per type on both sides.
 
     ``facts`` has a ``side`` column. A resample takes, without replacement, the documents with the lowest
-    hash of (seed, resample, ref), as many per type as the smaller side has. Documents are dealt to resamples
-    by an explode of a fixed length and ranked inside hash buckets, so no type is sorted in one task.
+    hash of (seed, resample, ref), as many per type as the smaller side has. A document goes on only to the resamples in which its
+    hash lies under a threshold that leaves ten standard deviations more than the budget; those are ranked
+    inside hash buckets, so no type is sorted in one task. A side that gives all it has goes to all resamples.
     """
-    from chartloom.functions.ranks import ranked
-
     per = facts.groupBy("resource_type", side).agg(F.count(F.lit(1)).alias("n"))
     budget = per.groupBy("resource_type").agg(F.min("n").alias("budget"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
-    dealt = facts.join(budget.select("resource_type", "budget"), "resource_type").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("ref")))
-    drawn = ranked(dealt.withColumn("_h", h), ["b", "resource_type", side], F.substring("_h", 1, 2), [F.col("_h")], "_k").where("_k <= budget")
+    room = F.col("budget") + 10 * F.sqrt("budget") + 20
+    # The first 15 digits of a hash, as a number below 16 ** 15.
+    limit = F.when(room < F.col("n"), F.lpad(F.lower(F.hex(F.floor(room / F.col("n") * float(1 << 60)).cast("bigint"))), 15, "0"))
+    limits = per.join(budget, "resource_type").select("resource_type", side, "budget", limit.alias("_limit"))
+    h = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col("ref")))
+    drawn_in = F.filter(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.struct(b.alias("b"), h(b).alias("_h"))), lambda d: F.col("_limit").isNull() | (F.substring(d["_h"], 1, 15) < F.col("_limit")))
+    dealt = facts.join(limits, ["resource_type", side]).withColumn("_d", F.explode(drawn_in)).select(*facts.columns, "budget", "_d.*")
+    drawn = ranked(dealt, ["b", "resource_type", side], F.substring("_h", 1, 2), [F.col("_h")], "_k").where("_k <= budget")
     d = describe(drawn, ["b", side])
     names = ["distinct_shapes", "distinct_features", "nonpatient_reference_edges"]
     return d.groupBy(side).agg(*[g(n).alias(f"{n}_{k}") for n in names for k, g in (("mean", lambda c: F.round(F.avg(c), 2)), ("min", F.min), ("max", F.max))])
