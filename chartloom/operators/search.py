@@ -486,11 +486,13 @@ def _lookups(good: DataFrame, chains: DataFrame, worlds: list[str]) -> DataFrame
         "predicates", lambda p: dated(p) & (date_field(p) == kind) & ~p.value.contains(",") & ~p.value.startswith("ne")
     )
     ends = lambda kind, at, f: f(F.transform(plain(kind), lambda p: _bounds(p.value)[at]))
-    both = F.array(*[
-        F.struct(F.size(plain(kind)).alias("size"), way(F.lit(kind), _range_codes(ends(kind, 1, F.array_max), ends(kind, 2, F.array_min))).alias("w")) for kind in ("@date", "@birth")
-    ])
-    ranges = good.select(*keys, F.posexplode(F.filter(both, lambda b: b.size > 1)).alias("k", "b"))
-    ranges = ranges.select(*keys, (F.col("k") + 10_000).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"), "b.w")
+    ranges = None
+    for k, kind in enumerate(("@date", "@birth")):
+        several = good.where(F.size(plain(kind)) > 1).select(
+            *keys, F.lit(10_000 + k).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"),
+            way(F.lit(kind), _range_codes(ends(kind, 1, F.array_max), ends(kind, 2, F.array_min))).alias("w"),
+        )
+        ranges = several if ranges is None else ranges.unionByName(several)
     whole = good.select(*keys, F.lit(20_000).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("alt"), way(F.lit(""), F.array(F.lit(""))).alias("w"))
     open_ = found.unionByName(ranges).unionByName(whole).select(*keys, "n", "m", "alt", F.col("w.field").alias("field"), F.explode("w.codes").alias("code"), F.lit(None).cast("string").alias("owner"))
     open_ = open_.join(_chained(good).select("query_id"), "query_id", "left_anti")
@@ -502,10 +504,11 @@ def _chained(good: DataFrame) -> DataFrame:
     return good.where(F.exists("predicates", lambda p: p.key == "patient.identifier"))
 
 
-def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None) -> DataFrame:
+def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None, people: DataFrame | None = None) -> DataFrame:
     """(query_id, ref) of every match of every valid query.
 
-    ``world`` names a column of both sides that keeps separate charts apart.
+    ``world`` names a column of both sides that keeps separate charts apart. ``people`` is the index whose patients a chain
+    leads to, when that is another one, which all worlds share.
 
     Everything that can be looked up is a posting (field, code, ref). The posting lists of the fields that the queries ask for
     are counted, without their rows, and each query goes by the predicate with the fewest: an equality, a range of dates, a
@@ -513,8 +516,10 @@ def batch_matches(queries: DataFrame, index: DataFrame, world: str | None = None
     of the rows is spread over many tasks, and only for what is found there the full row is read and all predicates are checked.
     """
     worlds = [world] if world else []
-    good = checkpointed(read_queries(queries).where("error is null").withColumnRenamed("kind", "resource_type"))
-    lookups = checkpointed(_lookups(good, resolve_chains(_chained(good), index, worlds), worlds))
+    # Queries may come as read already.
+    parsed = queries if "predicates" in queries.columns else checkpointed(read_queries(queries))
+    good = parsed.where("error is null").withColumnRenamed("kind", "resource_type")
+    lookups = checkpointed(_lookups(good, resolve_chains(_chained(good), index if people is None else people, worlds if people is None else []), worlds))
     keys = [*worlds, "resource_type", "field", "code"]
     # Names of fields: as many as the catalogue has.
     fields = lambda df: {r[0] for r in df.select("field").distinct().collect()}
@@ -546,8 +551,9 @@ def batch_search(queries: DataFrame, resources: DataFrame, index: DataFrame | No
     ``queries`` has (query_id, url). Includes follow the page and are appended with mode ``include``.
     """
     index = checkpointed(search_index(resources)) if index is None else index
-    plan = read_queries(queries).where("error is null").select("query_id", "sort", "count", "page", "includes")
-    found = checkpointed(batch_matches(queries, index).join(plan, "query_id"))
+    parsed = checkpointed(read_queries(queries))
+    plan = parsed.where("error is null").select("query_id", "sort", "count", "page", "includes")
+    found = checkpointed(batch_matches(parsed, index).join(plan, "query_id"))
     totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     by_date, down = F.col("sort").endswith("date"), F.col("sort").startswith("-")
     key = F.when(by_date, F.col("resource_date")).otherwise(F.col("id"))

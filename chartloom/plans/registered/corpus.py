@@ -467,10 +467,60 @@ def replay(spark, sf):
     t = _tasks(spark, sf)
     empty = spark.createDataFrame([], "episode_id string, ref string, doc string")
     policy = spark.createDataFrame([], "episode_id string, policy_patient string, writable_types array<string>, writable_refs array<string>, delete_refs array<string>")
-    reads, _, _ = T.replay(t, charts.resources(spark, sf, "Patient", "ServiceRequest"), policy, empty)
+    reads, _, _, _ = T.replay(t, charts.resources(spark, sf, "Patient", "ServiceRequest"), policy, empty)
     return reads.select("task_id", "step", "status", "found")
 
 
+def _replayed(spark, sf):
+    """A task for each order that reads, writes and reads again on the order's own chart; every fifth lacks its order."""
+    from chartloom.plans.registered.writes import _world
+    from chartloom.sources.ndjson import from_documents
+
+    o, k, ep, subject, current, policy = _world(spark, sf)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    null = F.lit(None).cast("string")
+    tag = lambda n: F.create_map(F.lit("If-Match"), F.lit(f'W/"{n}"'))
+    none = F.lit(None).cast("map<string,string>")
+    step = lambda method, path, body=null, headers=none: F.struct(F.lit(method).alias("method"), path.alias("path"), body.alias("body"), headers.alias("headers"))
+    done = text('{"resourceType":"Task","id":"t', k, '","meta":{"versionId":"1"},"status":"completed","identifier":[{"value":"T-', k, '"}],"focus":{"reference":"ServiceRequest/o', k, '"},"for":', subject, "}")
+    new = text('{"resourceType":"Task","status":"requested","for":', subject, "}")
+    steps = F.array(
+        step("GET", text("ServiceRequest?identifier=ORD-", k)), step("PUT", text("Task/t", k), done, tag(1)), step("GET", text("Task/t", k)),
+        step("GET", text("Task?identifier=T-", k, "&status=completed")), step("GET", text("Task?identifier=T-", k, "&status=requested")),
+        step("DELETE", text("Task/d", k), null, tag(3)), step("POST", F.lit("Task"), new), step("GET", F.lit("Task/created-00001")),
+    )
+    # Every seventh reads what it has deleted.
+    steps = F.when(C("o_orderkey") % 7 == 0, F.array_append(steps, step("GET", text("Task/d", k)))).otherwise(steps)
+    lacks = F.when(C("o_orderkey") % 5 == 0, F.array(text("ServiceRequest/o", k))).otherwise(F.array().cast("array<string>"))
+    tasks = o.select(ep.alias("id"), steps.alias("reference_steps"), lacks.alias("omit"), F.array(text("ServiceRequest/o", k), text("Task/t", k)).alias("evidence"), F.lit(3).alias("writes"))
+    # The charts of the orders share their patients.
+    snapshot = from_documents(current.groupBy("ref").agg(F.first("doc").alias("doc")).select("doc"))
+    return tasks, *T.replay(tasks, snapshot, policy, current)
+
+
+@query(
+    "t05_replay_own_writes",
+    """with s as (select o_orderkey as k, o_orderkey%5=0 as lacks from orders)
+        select 'e'||k as task_id, step, status, found from (
+          select k, 1 as step, 200 as status, case when lacks then 0 else 1 end as found from s union all select k, 3, 200, 1 from s
+          union all select k, 4, 200, case when lacks then 0 else 1 end from s union all select k, 5, 200, case when lacks then 1 else 0 end from s
+          union all select k, 8, 200, 1 from s union all select k, 9, 410, 0 from s where k%7=0) z""",
+)
+def replay_own_writes(spark, sf):
+    _, reads, _, _, _ = _replayed(spark, sf)
+    return reads.select("task_id", F.col("step").cast("int").alias("step"), "status", "found")
+
+
+@query(
+    "t05_replay_score",
+    """select 'e'||k as task_id, case when lacks then 2 when k%7=0 then 9 end as failed_step, 2 as evidence, case when lacks then 1 else 2 end as evidence_seen, case when lacks then 2 else 3 end as committed, not lacks and k%7<>0 as strict_success
+       from (select o_orderkey as k, o_orderkey%5=0 as lacks from orders) s""",
+)
+def replay_score(spark, sf):
+    tasks, reads, hits, outcomes, _ = _replayed(spark, sf)
+    return T.replay_score(tasks, reads, hits, outcomes)
+
+
 @query("t06_absence_scope", sql("select p.resource_ref as patient_ref, 'DocumentReference' as kind, 'src3' as code from patient p where not exists (select 1 from docref d where d.patient_ref=p.resource_ref and code='src3')", "patient", "docref"))
 def absence_scope(spark, sf):
     from chartloom.plans import library
