@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,28 @@ def patient_source(ground_truth: DataFrame, patients: DataFrame, encounters: Dat
     return out, encounters.join(patients.select("patient_id"), "patient_id", "left_semi")
 
 
-def read_patient_source(spark, url: str, properties: dict | None = None):
-    """The three tables over JDBC."""
-    t = lambda name: spark.read.jdbc(url, name, properties=properties or {})
-    return patient_source(t("benchmark_ground_truth"), t("longitudinal_patients"), t("longitudinal_encounters"))
+#: Tables of the source: split labels, patients, encounters.
+TABLES = ("benchmark_ground_truth", "longitudinal_patients", "longitudinal_encounters")
+
+
+def key_predicates(key: str, cuts: Sequence[str]) -> list[str]:
+    """WHERE clauses that cut a table by a text key, one for each partition of a read: every row satisfies exactly one."""
+    quoted = ["'" + c.replace("'", "''") + "'" for c in sorted(set(cuts))]
+    if not quoted:
+        return ["1 = 1"]
+    between = [f"{key} >= {low} AND {key} < {high}" for low, high in zip(quoted, quoted[1:])]
+    return [f"{key} < {quoted[0]} OR {key} IS NULL", *between, f"{key} >= {quoted[-1]}"]
+
+
+def read_patient_source(spark, url: str, properties: dict | None = None, tables: Sequence[str] = TABLES, key: str = "patient_id", parts: int = 16):
+    """The three tables over JDBC, each read in ``parts`` partitions by ranges of the key.
+
+    The cuts are keys of the patients table, spread by their hashes, so partitions follow the keys; only the key
+    column is read for them. They are compared as the database orders texts.
+    """
+    labels, patients, encounters = tables
+    keys = spark.read.jdbc(url, f"(SELECT DISTINCT {key} FROM {patients}) k", properties=properties or {})
+    least = keys.select(F.col(key).cast("string").alias("k")).where("k is not null").orderBy(F.xxhash64("k")).limit(max(0, parts - 1))
+    cuts = key_predicates(key, [r.k for r in least.collect()])
+    t = lambda name: spark.read.jdbc(url, name, predicates=cuts, properties=properties or {})
+    return patient_source(t(labels), t(patients), t(encounters))

@@ -51,11 +51,26 @@ def test_publish_is_checked_and_never_replaces(spark, folder):
     df = spark.range(3)
     empty = spark.range(0)
     sinks.publish_snapshot(spark, lambda p: df.write.parquet(p), [empty], folder + "/final")
-    assert spark.read.parquet(folder + "/final").count() == 3
+    assert spark.read.parquet(sinks.snapshot_path(spark, folder + "/final")).count() == 3
     with pytest.raises(FileExistsError):
         sinks.publish_snapshot(spark, lambda p: df.write.parquet(p), [], folder + "/final")
     with pytest.raises(ValueError):
         sinks.publish_snapshot(spark, lambda p: df.write.parquet(p), [spark.range(1)], folder + "/other")
+    # A failed publication leaves what is there; one that replaces is seen at once.
+    with pytest.raises(ValueError):
+        sinks.publish_snapshot(spark, lambda p: df.write.parquet(p), [spark.range(1)], folder + "/final", replace=True)
+    assert spark.read.parquet(sinks.snapshot_path(spark, folder + "/final")).count() == 3
+    sinks.publish_snapshot(spark, lambda p: spark.range(7).write.parquet(p), [], folder + "/final", replace=True)
+    assert spark.read.parquet(sinks.snapshot_path(spark, folder + "/final")).count() == 7
+    assert sinks.snapshot_path(spark, folder + "/none") is None and sinks.snapshot_path(spark, folder + "/other") is None
+
+
+def test_relational_reads_are_cut_by_key(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("a",), ("a'b",), ("b",), ("c",), ("zz",)], "patient_id string")
+    for cuts in ([], ["b"], ["a'b", "c", "b", "b"]):
+        parts = relational.key_predicates("patient_id", cuts)
+        held = [r[0] for p in parts for r in rows.where(p).collect()]
+        assert len(parts) == len(set(cuts)) + 1 and sorted(held, key=str) == sorted((r[0] for r in rows.collect()), key=str)
 
 
 def test_manifest_digests(spark, folder):
