@@ -25,9 +25,9 @@ from chartloom.llm.tables import staged
 
 K = 5
 #: Vectors of a shard, queries that meet a shard in one task, and queries searched side by side.
-SHARD_ROWS, BLOCK_ROWS, SIDE_ROWS = 4096, 8192, 512
+SHARD_ROWS, BLOCK_ROWS, SIDE_ROWS = 2048, 8192, 512
 #: Edges of a node, width of the searches that build a graph and of those for queries, pruning factor, nodes put in at a time.
-DEGREE, BEAM, QUERY_BEAM, ALPHA, BATCH = 32, 64, 128, 1.2, 256
+DEGREE, BEAM, QUERY_BEAM, ALPHA, BATCH = 24, 64, 64, 1.2, 256
 
 _INDEX = "dim int, shard int, vectors binary, ids binary, graph binary, start int"
 _HIT = "query_id long, vec_id long, score double"
@@ -159,7 +159,8 @@ def index(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple
         graph, start = build(unit(raw))
         return pd.DataFrame([{"dim": key[0], "shard": key[1], "vectors": raw.tobytes(), "ids": np.concatenate([ids.ravel(), held.ravel().astype("<i8")]).tobytes(), "graph": graph.astype("<i4").tobytes(), "start": start}])
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    # As many partitions as shards: building is work for the processor, which partitions joined by their bytes would not show.
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
     return dealt.groupBy("dim", "shard").applyInPandas(of_shard, _INDEX), shards
 
 

@@ -64,13 +64,18 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def cut_sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """task, number, doc_id, piece, length and tokens (little-endian unsigned 32-bit) of every sequence."""
+def narrow(path: str, *more_ids: int) -> bool:
+    """Whether all ids fit two bytes; sequences then travel and rest in half the space until their shard is laid out."""
+    return max(*tokenizer(path).tokens, *more_ids) < 1 << 16
+
+
+def cut_sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, short: bool = False) -> DataFrame:
+    """task, number, doc_id, piece, length and tokens (little-endian unsigned, 32-bit, or 16-bit if short) of every sequence."""
     schema = T.StructType([
         T.StructField("task", T.LongType()), T.StructField("number", T.LongType()), docs.schema["doc_id"],
         T.StructField("piece", T.LongType()), T.StructField("length", T.LongType()), T.StructField("tokens", T.BinaryType()),
     ])
-    end = end_id.to_bytes(4, "little")
+    end, width = end_id.to_bytes(4, "little"), 2 if short else 4
 
     def run(batches):
         encode, task, done = tokenizer(path).encode, TaskContext.get().partitionId(), 0
@@ -78,15 +83,17 @@ def cut_sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
             rows, pieces, tokens = [], [], []
             for at, data in enumerate(encode(b.column(1).to_pylist())):
                 data += end
-                for piece, start in enumerate(range(0, len(data), 4 * length)):
+                if short:
+                    data = np.frombuffer(data, "<u4").astype("<u2").tobytes()
+                for piece, start in enumerate(range(0, len(data), width * length)):
                     rows.append(at)
                     pieces.append(piece)
-                    tokens.append(data[start : start + 4 * length])
+                    tokens.append(data[start : start + width * length])
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n, task, np.int64)), pa.array(np.arange(done, done + n)), b.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(pieces, pa.int64()), pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array(tokens, pa.binary()),
+                    pa.array(pieces, pa.int64()), pa.array([len(t) // width for t in tokens], pa.int64()), pa.array(tokens, pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -111,7 +118,8 @@ def with_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
 
 def training_shards(docs: DataFrame, path: str, key: int, length: int = LENGTH, records: int = RECORDS, end_id: int = END_ID, pad_id: int = 0) -> DataFrame:
     """One row for each shard, in slot order inside and between partitions."""
-    placed, n = with_slots(staged(cut_sequences(docs, path, length, end_id)), key)
+    short = narrow(path, end_id, pad_id)
+    placed, n = with_slots(staged(cut_sequences(docs, path, length, end_id, short)), key)
     stride = 4 * length
     pad = pad_id.to_bytes(4, "little") * length
     parts = max(1, min(-(-n // records), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -125,6 +133,7 @@ def training_shards(docs: DataFrame, path: str, key: int, length: int = LENGTH,
 
         for first, group in itertools.groupby(rows(), key=lambda r: r[0]):
             of = list(group)
+            of = [(*r[:5], np.frombuffer(r[5], "<u2").astype("<u4").tobytes()) for r in of] if short else of
             payload = b"".join([r[5] + pad[len(r[5]) :] for r in of])
             row = {"shard": first // records, "first_slot": first, "records": len(of), "stride": stride, "doc_ids": [r[2] for r in of], "pieces": [r[3] for r in of], "lengths": [r[4] for r in of], "payload": payload}
             yield pa.RecordBatch.from_pylist([row], schema=arrow)
@@ -136,7 +145,7 @@ def training_shards(docs: DataFrame, path: str, key: int, length: int = LENGTH,
 
 def write_shards(shards: DataFrame, folder: str) -> None:
     """Through Spark's writer, so that a lost executor leaves no half shard and any file system will do."""
-    shards.write.mode("overwrite").parquet(folder)
+    shards.write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
 def records_of(shards: DataFrame) -> DataFrame:
