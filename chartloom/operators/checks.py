@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.operators import edges as G
+from chartloom.session import checkpointed
 
 
 
@@ -147,22 +148,44 @@ def _child_step(children, part: Column):
     return lambda x: children(x, part)
 
 
-def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int | None = None) -> DataFrame:
+# A catalogue up to this many bytes is laid beside the documents; a larger one meets them in shares.
+LOOKUP_BYTES = 8 * 1024 * 1024
+# Documents of one type that meet a share of a larger catalogue.
+SHARE_ROWS = 1_000_000
+
+
+def beside_type(rows: DataFrame, catalogue: DataFrame, lookup_bytes: int = LOOKUP_BYTES, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """Rows with what the catalogue (one row per ``resource_type``) says of their type.
+
+    There are few types, so a join on the type would put the documents of one type into one task. The size of the catalogue is
+    measured: up to ``lookup_bytes`` it is broadcast and no document moves; beyond, types are cut into shares by their counts.
+    """
+    size = catalogue.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= lookup_bytes:
+        return rows.join(F.broadcast(catalogue), "resource_type")
+    counts = rows.groupBy("resource_type").agg(F.ceil(F.count(F.lit(1)) / share_rows).cast("int").alias("_shares"))
+    shares = checkpointed(catalogue.select("resource_type").join(counts, "resource_type"))
+    split = rows.join(shares, "resource_type").withColumn("_share", F.pmod(F.xxhash64("ref"), F.col("_shares")).cast("int")).drop("_shares")
+    copies = catalogue.join(shares, "resource_type").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return split.join(copies, ["resource_type", "_share"]).drop("_share")
+
+
+def contract_violations(resources: DataFrame, contracts: DataFrame, depth: int | None = None, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """Cardinality, scalar-or-list, choice exclusivity and legal reference targets at nested paths.
 
-    ``contracts`` has (type, path, min, max, types, targets). Rules on the same parent are gathered first (a
-    catalogue has a few per parent), so a document is joined once per parent path and not once per rule; all
-    its rules are then evaluated inside the row.
+    ``contracts`` has (type, path, min, max, types, targets). The rules of a type are gathered by parent path (a
+    catalogue has a few per parent), so a document meets its catalogue entry once; all rules of a parent are then
+    evaluated inside the row.
     """
-    if depth is None:
-        # As deep as the catalogue goes: one number from a small table.
-        depth = max(1, (contracts.agg(F.max(F.size("path"))).first()[0] or 1) - 1)
     parent_path = F.slice("path", F.lit(1), F.size("path") - 1)
     rule = F.struct("path", "min", "max", "types", "targets")
-    c = contracts.groupBy(F.col("type").alias("resource_type"), parent_path.alias("parent")).agg(
-        F.collect_list(rule).alias("rules")
-    )
-    rows = resources.select("ref", "resource_type", "v").join(c, "resource_type")
+    by_parent = contracts.groupBy(F.col("type").alias("resource_type"), parent_path.alias("parent")).agg(F.collect_list(rule).alias("rules"))
+    entries = checkpointed(by_parent.groupBy("resource_type").agg(F.collect_list(F.struct("parent", "rules")).alias("parents")))
+    if depth is None:
+        # As deep as the catalogue goes: one number from a small table.
+        depth = max(1, entries.agg(F.max(F.array_max(F.transform("parents", lambda p: F.size(p.parent))))).first()[0] or 0)
+    rows = beside_type(resources.select("ref", "resource_type", "v"), entries, lookup_bytes)
+    rows = rows.select("ref", "v", F.explode("parents").alias("_e")).select("ref", "v", "_e.*")
 
     def children(x: Column, part: Column) -> Column:
         stem = F.regexp_replace(part, r"\[x\]$", "")
@@ -229,7 +252,7 @@ def shape_violations(resources: DataFrame, shapes: DataFrame) -> DataFrame:
     ``shapes`` has (resource_type, fields map<name, kind>, required array<string>) where kind is a prefix of
     the field's schema: STRING, BIGINT, BOOLEAN, OBJECT, ARRAY, ...
     """
-    j = resources.select("ref", "resource_type", F.col("v")).join(shapes, "resource_type").withColumn("m", D.fields(F.col("v")))
+    j = beside_type(resources.select("ref", "resource_type", "v"), checkpointed(shapes)).withColumn("m", D.fields(F.col("v")))
     entries = F.map_entries("m")
     unknown = F.filter(F.map_keys("m"), lambda k: ~F.map_contains_key("fields", k) & ~k.startswith("_"))
     numeric = lambda s: s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT", "BIGINT")

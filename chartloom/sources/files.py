@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +57,38 @@ def read_validation_outcomes(spark: SparkSession, sides: dict[str, str]) -> Data
     return validation_issues(out)
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """(path below the root, sha256) of every file."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+# Files above this size are read in pieces: a Spark value cannot hold 2 GB.
+VALUE_BYTES = 256 * 1024 * 1024
+PIECE_BYTES = 8 * 1024 * 1024
+
+
+def _digest_in_pieces(batches):
+    """(uri) -> (uri, sha256), one piece of a file in memory at a time."""
+    for batch in batches:
+        for uri in batch.column("uri").to_pylist():
+            # Spark writes local paths with one slash after the scheme.
+            fs, path = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+            digest = hashlib.sha256()
+            with fs.open_input_stream(path) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+            yield pa.RecordBatch.from_pydict({"uri": [uri], "sha256": [digest.hexdigest()]})
+
+
+def file_digests(spark: SparkSession, root: str, value_bytes: int = VALUE_BYTES) -> DataFrame:
+    """(path below the root, sha256) of every file.
+
+    Files up to ``value_bytes`` are digested by Spark's own reader; the reader skips larger ones by their length, and tasks
+    read those as streams, each file by itself, so no size is too large for a value. The streams need a file system that
+    Arrow knows (local, HDFS, S3, GCS).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("/")[-1]
-    rel = F.regexp_extract("path", f"/{base}/(.*)$", 1)
-    return raw.select(rel.alias("path"), F.sha2("content", 256).alias("sha256"))
+    rel = F.regexp_extract("uri", f"/{re.escape(base)}/(.*)$", 1)
+    small = files.where(F.col("length") <= value_bytes).select(F.col("path").alias("uri"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > value_bytes).select(F.col("path").alias("uri"))
+    streamed = large.mapInArrow(_digest_in_pieces, "uri string, sha256 string")
+    return small.unionByName(streamed).select(rel.alias("path"), "sha256")
 
 
 def verify_manifest(digests: DataFrame, manifest: DataFrame) -> DataFrame:
