@@ -652,3 +652,16 @@ def chart_timeline(
     return paged.where(inside).join(counts, [by, "resource_type"]).select(
         by, "resource_type", "ref", F.nullif("resource_date", F.lit("")).alias("date"), "page", (F.col("_rows") > F.col("page") * per_type).alias("continued")
     )
+
+
+def timeline_entries(timeline: DataFrame, resources: DataFrame, by: str = "patient_ref") -> DataFrame:
+    """Timeline rows with status, label (JSON) and origin tags (JSON) of their documents, numbered as they are shown.
+
+    ``position`` counts a patient's page by (date, ref), undated rows first. A page holds at most six types of ``per_type``
+    rows, so the window over it stays small. Documents without a label show ``{}``, without tags ``[]``.
+    """
+    v = F.col("v")
+    label = F.coalesce(*[F.to_json(D.node(v, f)) for f in ("code", "type", "description")], F.lit("{}"))
+    shown = resources.select("ref", D.text(v, "status").alias("status"), label.alias("label"), F.coalesce(F.to_json(D.node(v, "meta.tag")), F.lit("[]")).alias("origin"))
+    place = Window.partitionBy(by, "page").orderBy(F.coalesce("date", F.lit("")), "ref")
+    return timeline.join(shown, "ref").withColumn("position", F.row_number().over(place))

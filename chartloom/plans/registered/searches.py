@@ -203,6 +203,22 @@ def timeline(spark, sf):
     return search.chart_timeline(rows, ["Observation", "ServiceRequest", "Task", "Communication"], "1997-01-01", "1999-12-31")
 
 
+@query(
+    "l6_timeline_entries",
+    sql("""with r as (select patient_ref, 'ServiceRequest' as resource_type, resource_ref as ref, date, id, status, '{"coding":[{"code":"'||code||'","system":"urn:chart:codes"}]}' as label, '[]' as origin from sr union all
+          select patient_ref, 'Task', resource_ref, '', id, status, '"'||description||'"', '[]' from task union all
+          select patient_ref, 'Procedure', resource_ref, date, id, status, '{"coding":[{"code":"'||code||'","system":"urn:chart:codes"}]}', '[]' from proc),
+        z as (select *, row_number() over (partition by patient_ref, resource_type order by id) as rn, count(*) over (partition by patient_ref, resource_type) as n from r),
+        p as (select patient_ref, resource_type, ref, nullif(date,'') as date, cast(ceil(rn/5) as bigint) as page, n>5*ceil(rn/5) as continued, status, label, origin from z where (date='' or (date>='1997-01-01' and date<='1999-12-31')))
+        select *, cast(row_number() over (partition by patient_ref, page order by coalesce(date,''), ref) as integer) as position from p""", "sr", "task", "proc"),
+)
+def entries(spark, sf):
+    kinds = ["ServiceRequest", "Task", "Procedure"]
+    r = charts.resources(spark, sf, *kinds)
+    pages = search.chart_timeline(r, kinds, "1997-01-01", "1999-12-31", per_type=5)
+    return search.timeline_entries(pages, r)
+
+
 @query(
     "p32_supported_search",
     sql("""select 'Observation' as resource_type, 'code' as param, 'token' as param_type, count(distinct code) as values_seen from obs

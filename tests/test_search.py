@@ -137,3 +137,21 @@ def test_ranges_rank_repeated_keys(spark):
     for _, k, i in sorted((r for r in rows if r[0] == "g"), key=lambda r: (r[1], r[2])):
         upto += i
         assert total[i] == upto
+
+
+def test_timeline_entries_show_their_documents(spark):
+    p = {"reference": "Patient/1"}
+    docs = [
+        {"resourceType": "Task", "id": "b", "status": "draft", "for": p, "description": "call \"back\""},
+        {"resourceType": "Procedure", "id": "a", "subject": p, "performedDateTime": "2024-02-01", "code": {"text": "x"}, "meta": {"tag": [{"code": "t"}]}},
+        {"resourceType": "Procedure", "id": "c", "status": "done", "subject": p, "performedDateTime": "2024-01-01"},
+    ]
+    r = from_documents(spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string"))
+    pages = search.chart_timeline(r, ["Task", "Procedure"])
+    got = {x.position: (x.ref, x.status, json.loads(x.label), json.loads(x.origin)) for x in search.timeline_entries(pages, r).collect()}
+    assert got == {
+        1: ("Task/b", "draft", "call \"back\"", []),
+        2: ("Procedure/c", "done", {}, []),
+        3: ("Procedure/a", None, {"text": "x"}, [{"code": "t"}]),
+    }
+    assert search.timeline_entries(search.chart_timeline(r.limit(0), ["Task"]), r).isEmpty()
