@@ -8,6 +8,7 @@ from chartloom.operators import edges as G
 from chartloom.plans import charts
 from chartloom.plans.charts import table
 from chartloom.plans.registry import query
+from chartloom.plans.reports import PART_BYTES
 from chartloom.plans.sqltext import sql
 
 
@@ -191,6 +192,22 @@ def patient_context(spark, sf):
     return c.select("patient_ref", "documents", (F.char_length("context") - F.col("documents") + 1).alias("characters"))
 
 
+@query(
+    "p33_context_texts",
+    sql(f"""with d as (select 'Group/'||code as patient_ref, resource_ref as ref, text, strlen(text)+1 as size from docref where text is not null and code is not null),
+        s as (select *, sum(size) over (partition by patient_ref order by text, ref) as upto, sum(size) over (partition by patient_ref) as whole from d)
+        select patient_ref, cast(case when whole<={PART_BYTES} then 0 else floor((upto-1)/{PART_BYTES}) end as integer) as part, count(*) as documents,
+        cast(sum(size)-1 as bigint) as bytes, md5(string_agg(text, chr(10) order by text)) as context_md5 from s group by 1, 2""", "docref"),
+)
+def context_texts(spark, sf):
+    """All texts of every source as one context, hot sources in several parts."""
+    from chartloom.plans.reports import patient_context as context
+
+    d = charts.documentreference(spark, sf).where("text is not null and code is not null")
+    rows = d.select(F.concat(F.lit("Group/"), "code").alias("patient_ref"), F.col("resource_ref").alias("ref"), F.col("text").alias("doc"))
+    return context(rows).select("patient_ref", "part", "documents", "bytes", F.md5("context").alias("context_md5"))
+
+
 # -- scalar functions --------------------------------------------------------------------
 
 @query(

@@ -28,7 +28,10 @@ def generated_text(resources: DataFrame) -> DataFrame:
     return resources.select("ref", F.explode(tagged).alias("t")).select("ref", "t.*").where("text is not null")
 
 
-def patient_context(resources: DataFrame, part_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+PART_BYTES = 64 * 1024 * 1024
+
+
+def patient_context(resources: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """All documents of each patient as sorted text with its size: (patient_ref, part, documents, bytes, context).
 
     A chart is one part unless it outgrows ``part_bytes``; joined by line breaks the parts are the whole text.
