@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -305,6 +307,21 @@ def cost_metrics(events: DataFrame, tasks: DataFrame, owners: DataFrame | None =
     return base.join(counts, "episode_id", "left").na.fill(0, names)
 
 
+def agent_counters(tasks: DataFrame, tools: DataFrame, assistance: DataFrame, outcomes: DataFrame, audit: DataFrame) -> DataFrame:
+    """Tools called, helper answers, unsafe attempts and committed writes of every episode of ``tasks``, zero where none.
+
+    ``tools`` has a row per tool that the agent called, ``assistance`` (episode_id, bytes) one per helper answer, ``outcomes`` and
+    ``audit`` are those of ``apply_changes``. A unit stops at its first refused entry, so it counts as one unsafe attempt
+    when that entry was refused for its patient, type or permission (403), however many follow.
+    """
+    count = lambda df, name: df.groupBy("episode_id").agg(F.count(F.lit(1)).alias(name))
+    helped = assistance.groupBy("episode_id").agg(F.count(F.lit(1)).alias("helper_calls"), F.sum("bytes").alias("helper_response_bytes"))
+    stopped = outcomes.where("status >= 300").groupBy("episode_id", "unit").agg(F.min_by("status", "seq").alias("status"))
+    parts = [count(tools, "agent_tool_calls"), helped, count(stopped.where("status = 403"), "unsafe_attempts"), count(audit, "committed_mutations")]
+    out = reduce(lambda a, b: a.join(b, "episode_id", "left"), parts, tasks.select("episode_id").distinct())
+    return out.na.fill(0)
+
+
 def strict_reward(success: Column, calls: Column, reference_calls: Column, weight: float = 0.0, max_calls: int = 40) -> Column:
     """1 on success, less a bounded share for calls beyond the reference plan."""
     if not 0 <= weight <= 0.15:

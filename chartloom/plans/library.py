@@ -431,6 +431,16 @@ def lab_followup(reports: DataFrame, at: str):
     return change_rows(reports.select("patient_ref", "based_on_ref").distinct(), write(1, "POST", "Task", body=body))
 
 
+def delete_duplicate_drafts(rows: DataFrame, same: list[str], kept_status: str):
+    """Drafts of a patient that repeat (in ``same``) a row in ``kept_status``: they go, that row stays.
+
+    ``rows`` has (patient_ref, resource_ref, status) and the columns of ``same``.
+    """
+    kept = rows.where(C("status") == kept_status).select("patient_ref", *same).distinct()
+    drafts = rows.where("status = 'draft'").join(kept, ["patient_ref", *same], "left_semi")
+    return drafts, change_rows(drafts, write(1, "DELETE", C("resource_ref"), version=1))
+
+
 def medication_handoff(requests: DataFrame, medications: DataFrame, dispenses: DataFrame) -> DataFrame:
     """Prescription by medication code (through the referenced medication) and what became of it."""
     m = medications.select(C("resource_ref").alias("medication_ref"), "code")

@@ -353,6 +353,34 @@ def panels(spark, sf):
     return m.withColumn("value", back)
 
 
+_PLAIN = "1 as seq, 'DELETE' as method, resource_ref as url, 'W/\"1\"' as if_match"
+
+
+@query(
+    "q25_lab_followup",
+    sql(f"""select distinct patient_ref, 1 as seq, 'POST' as method, 'Task' as url, cast(null as varchar) as if_match, '{{"resourceType":"Task","status":"requested","intent":"order","for":{{"reference":"'||patient_ref||'"}},"focus":{{"reference":"'||based_on_ref||'"}},"description":"Look into the caller laboratory question.","authoredOn":"{AS_OF}"}}' as body from report""", "report"),
+)
+def lab_followup(spark, sf):
+    return _ch(L.lab_followup(charts.diagnosticreport(spark, sf), AS_OF), "body")
+
+
+@query(
+    "q26_delete_duplicate_tasks",
+    sql(f"""select patient_ref, {_PLAIN} from task t where status='draft' and exists (select 1 from task x where x.patient_ref=t.patient_ref and x.description=t.description and x.status='requested')""", "task"),
+)
+def duplicate_tasks(spark, sf):
+    return _ch(L.delete_duplicate_drafts(charts.task(spark, sf), ["description"], "requested")[1])
+
+
+@query(
+    "q23_delete_release_drafts",
+    sql(f"""select patient_ref, {_PLAIN} from sr t where status='draft' and exists (select 1 from sr x where x.patient_ref=t.patient_ref and x.code=t.code and x.status='active')""", "sr"),
+)
+def release_drafts(spark, sf):
+    requests = charts.servicerequest(spark, sf).withColumnRenamed("code", "recipient_ref")
+    return _ch(L.delete_duplicate_drafts(requests, ["recipient_ref"], "active")[1])
+
+
 @query(
     "q26_medication_handoff",
     sql("""select q.patient_ref, q.resource_ref, m.code, q.status as dispense_status, q.handed_over>='2000-01-01' as handed_over from medreq q join medication m on m.resource_ref=q.medication_ref where m.code in ('SMALL','LARGE')""", "medreq", "medication"),

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.operators import behavior, changes, checks, traces, windows
-from chartloom.plans import etl
+from chartloom.operators import behavior, changes, checks, scoring, traces, windows
+from chartloom.plans import etl, reports
 from chartloom.session import ensure_checkpoint_dir
 from chartloom.sources import files, ndjson, relational, sinks
 from chartloom.streaming import episodes as Z
@@ -143,6 +143,29 @@ def test_dangling_reference_and_large_bundle_and_budget(spark):
     assert {r.ref for r in state.collect()} == {"Patient/p"} and audit.count() == 1
 
 
+def test_counters_of_an_episode(spark):
+    tasks = spark.createDataFrame([("e",), ("e",), ("idle",)], "episode_id string")
+    tools = spark.createDataFrame([("e",)] * 3, "episode_id string")
+    helped = spark.createDataFrame([("e", 5), ("e", None)], "episode_id string, bytes bigint")
+    # Unit 1 stops at a conflict before the forbidden entry; units 2 and 3 stop at a forbidden one, 2 has two of them.
+    rows = [("e", "1", 1, 409), ("e", "1", 2, 403), ("e", "2", 3, 201), ("e", "2", 4, 403), ("e", "2", 5, 403), ("e", "3", 6, 403), ("e", "4", 7, 200)]
+    outcomes = spark.createDataFrame(rows, "episode_id string, unit string, seq int, status int")
+    audit = spark.createDataFrame([("e", 7)], "episode_id string, seq int")
+    got = {tuple(r) for r in scoring.agent_counters(tasks, tools, helped, outcomes, audit).collect()}
+    assert got == {("e", 3, 2, 5, 2, 1), ("idle", 0, 0, 0, 0, 0)}
+
+
+def test_contexts_are_cut_into_parts(spark):
+    rows = [("P/1", f"D/{i}", f"text {i % 7} " + "é" * (i % 3)) for i in range(40)] + [("P/2", "D/x", "only"), ("P/2", "D/y", ""), (None, "D/z", "nobody")]
+    df = spark.createDataFrame(rows, "patient_ref string, ref string, doc string")
+    got = reports.patient_context(df, part_bytes=100).collect()
+    whole = {r.patient_ref: r for r in reports.patient_context(df).collect()}
+    assert set(whole) == {"P/1", "P/2"} and whole["P/2"].context == "\nonly"
+    mine = sorted((r for r in got if r.patient_ref == "P/1"), key=lambda r: r.part)
+    assert len(mine) > 3 and "\n".join(r.context for r in mine) == whole["P/1"].context
+    assert all(r.bytes == len(r.context.encode()) for r in got) and sum(r.documents for r in mine) == 40
+
+
 def test_contract_rules(spark):
     docs = [
         {"resourceType": "Obs", "id": "1", "part": [{"ref": {"reference": "A/1"}}, {}], "valueA": 1, "valueB": 2},
