@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions.ranks import MIDDLE, at_fraction, join_groups, middle_mean, order_statistics, range_running, ranked
+from chartloom.session import checkpointed
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -29,25 +30,34 @@ def generated_text(resources: DataFrame) -> DataFrame:
 
 
 PART_BYTES = 64 * 1024 * 1024
+# Charts above one part that may be named beside the rows (some 50 MB); beyond, they are joined.
+NAMED_CHARTS = 500_000
 
 
 def patient_context(resources: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """All documents of each patient as sorted text with its size: (patient_ref, part, documents, bytes, context).
 
-    A chart is one part unless it outgrows ``part_bytes``; joined by line breaks the parts are the whole text.
+    A chart is one part unless it outgrows ``part_bytes``; joined by line breaks the parts are the whole text. Documents
+    without an owner or text are left out. Sizes are added up without moving texts; only charts above one part, counted before
+    they are broadcast, are put in order across tasks.
     """
-    owned = resources.where("patient_ref is not null").select("patient_ref", "ref", "doc")
-    size = F.octet_length("doc") + 1
-    # Only charts above one part are put in order across tasks; their texts are what the ranges are cut by.
-    sizes = owned.groupBy("patient_ref").agg(F.sum(size).alias("_size"))
-    sized = owned.join(sizes, "patient_ref")
-    small = sized.where(F.col("_size") <= part_bytes).withColumn("_upto", F.lit(1).cast("bigint"))
-    large = range_running(sized.where(F.col("_size") > part_bytes), ["patient_ref"], [F.col("doc"), F.col("ref")], size.cast("bigint"), "_upto")
-    placed = small.unionByName(large).drop("ref", "_size")
-    part = F.floor((F.col("_upto") - 1) / part_bytes).cast("int")
-    return placed.groupBy("patient_ref", part.alias("part")).agg(
-        F.count(F.lit(1)).alias("documents"), (F.sum(size) - 1).alias("bytes"), F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context")
-    )
+    size = (F.octet_length("doc") + 1).cast("bigint")
+    owned = resources.where("patient_ref is not null and doc is not null").select("patient_ref", "ref", "doc")
+    big = checkpointed(owned.groupBy("patient_ref").agg(F.sum(size).alias("_size")).where(F.col("_size") > part_bytes).select("patient_ref"))
+    named = big.count()
+    named_big = F.broadcast(big) if named <= NAMED_CHARTS else big
+
+    def joined(rows: DataFrame, *by) -> DataFrame:
+        return rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("documents"), (F.sum(size) - 1).alias("bytes"), F.array_join(F.array_sort(F.collect_list("doc")), "\n").alias("context")
+        )
+
+    out = joined(owned.join(named_big, "patient_ref", "left_anti"), "patient_ref", F.lit(0).alias("part"))
+    if named:
+        mine = owned.join(named_big, "patient_ref", "left_semi")
+        placed = range_running(mine, ["patient_ref"], [F.col("doc"), F.col("ref")], size, "_upto")
+        out = out.unionByName(joined(placed, "patient_ref", F.floor((F.col("_upto") - 1) / part_bytes).cast("int").alias("part")))
+    return out
 
 
 # -- counts and distributions ------------------------------------------------------------
