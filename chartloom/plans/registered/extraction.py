@@ -203,8 +203,8 @@ def context_texts(spark, sf):
     """All texts of every source as one context, hot sources in several parts."""
     from chartloom.plans.reports import patient_context as context
 
-    d = charts.documentreference(spark, sf).where("text is not null and code is not null")
-    rows = d.select(F.concat(F.lit("Group/"), "code").alias("patient_ref"), F.col("resource_ref").alias("ref"), F.col("text").alias("doc"))
+    d = table(spark, sf, "documents").where("text is not null and source is not null")
+    rows = d.select(F.concat(F.lit("Group/"), "source").alias("patient_ref"), charts.key("DocumentReference/d", "doc_id").alias("ref"), F.col("text").alias("doc"))
     return context(rows).select("patient_ref", "part", "documents", "bytes", F.md5("context").alias("context_md5"))
 
 
