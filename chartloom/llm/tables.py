@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.session import ensure_checkpoint_dir
+from chartloom.session import new_folder, staged  # noqa: F401
 
 
 def ready(spark: SparkSession) -> None:
@@ -24,21 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path that nothing has yet, under the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet under the shared checkpoint folder and read it back: later steps neither recompute it
-    nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = new_folder(spark, "staged")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_of(df: DataFrame, *reserved: str) -> None:
     """Refuse input whose kept columns would clash with the columns that an operator adds."""
     clash = sorted(set(reserved) & set(df.columns))

@@ -143,6 +143,55 @@ def test_dangling_reference_and_large_bundle_and_budget(spark):
     assert {r.ref for r in state.collect()} == {"Patient/p"} and audit.count() == 1
 
 
+@pytest.mark.parametrize("staged_episodes", [0, 65536])
+def test_charts_of_any_number_are_judged_alike(spark, staged_episodes):
+    doc = lambda **k: json.dumps(k)
+    me = {"reference": "Patient/p"}
+    task = lambda i, status="draft", **k: doc(resourceType="Task", id=i, meta={"versionId": "1"}, status=status, **{"for": me}, **k)
+    slot = lambda status: doc(resourceType="Slot", id="s", meta={"versionId": "1"}, status=status, start="2024-01-01T09:00:00Z", end="2024-01-01T10:00:00Z")
+    booked = doc(resourceType="Appointment", id="a", status="booked", start="2024-01-01T09:00:00Z", end="2024-01-01T10:00:00Z", slot=[{"reference": "Slot/s"}])
+    chart = [("Patient/p", doc(resourceType="Patient", id="p")), ("Task/t", task("t")), ("Task/u", task("u", focus={"reference": "Task/t"})), ("Slot/s", slot("busy")), ("Appointment/a", booked)]
+    current = spark.createDataFrame([(e, *d) for e in ("e", "f", "idle") for d in chart], "episode_id string, ref string, doc string")
+    policy = spark.createDataFrame([(e, "Patient/p", ["Task", "Slot"], ["Slot/s"], ["Task/t", "Task/u"]) for e in ("e", "f")], "episode_id string, policy_patient string, writable_types array<string>, writable_refs array<string>, delete_refs array<string>")
+    tag = 'W/"1"'
+    rows = [
+        # Its document is pointed at, until the one that points is gone; a third look finds nothing.
+        ("e", None, 1, "DELETE", "Task/t", None, tag, None), ("e", None, 2, "DELETE", "Task/u", None, tag, None),
+        ("e", None, 3, "DELETE", "Task/t", None, tag, None), ("e", None, 4, "PUT", "Task/t", task("t"), tag, None),
+        # A Slot freed under its booking; two creates, numbered on; a create that points at nothing.
+        ("f", None, 1, "PUT", "Slot/s", slot("free"), tag, None), ("f", None, 2, "POST", "Task", doc(resourceType="Task", status="x", **{"for": me}), None, None),
+        ("f", None, 3, "POST", "Task", doc(resourceType="Task", status="y", focus={"reference": "Task/created-00001"}, **{"for": me}), None, None),
+        ("f", None, 4, "POST", "Task", doc(resourceType="Task", status="z", focus={"reference": "Task/none"}, **{"for": me}), None, None),
+        ("f", None, 5, "PUT", "Task/t", task("t", "done"), tag, None),
+    ]
+    state, audit, outcomes = changes.apply_changes(current, spark.createDataFrame(rows, CHANGE), policy, staged_episodes=staged_episodes)
+    got = {(r.episode_id, r.seq): (r.status, r.ref, r.committed) for r in outcomes.collect()}
+    assert got == {
+        ("e", 1): (409, "Task/t", False), ("e", 2): (204, "Task/u", True), ("e", 3): (204, "Task/t", True), ("e", 4): (404, "Task/t", False),
+        ("f", 1): (400, "Slot/s", False), ("f", 2): (201, "Task/created-00001", True), ("f", 3): (201, "Task/created-00002", True),
+        ("f", 4): (400, "Task/created-00003", False), ("f", 5): (200, "Task/t", True),
+    }
+    refs = sorted((r.episode_id, r.ref) for r in state.collect())
+    both = {"Patient/p", "Slot/s", "Appointment/a"}
+    whole = both | {"Task/t", "Task/u"}
+    assert refs == sorted([("e", r) for r in both] + [("f", r) for r in whole | {"Task/created-00001", "Task/created-00002"}] + [("idle", r) for r in whole])
+    assert audit.count() == 5 and json.loads(state.where("episode_id = 'f' and ref = 'Task/t'").first().doc)["meta"]["versionId"] == "2"
+
+
+def test_charts_of_many_episodes_are_not_stored(spark, monkeypatch):
+    current, policy = _world(spark)
+    large = spark.range(2000).select(F.lit("e").alias("episode_id"), F.concat(F.lit("Observation/"), F.col("id").cast("string")).alias("ref"), F.concat(F.lit('{"resourceType":"Observation","id":"'), F.col("id").cast("string"), F.lit('","note":"'), F.repeat(F.sha2(F.col("id").cast("string"), 256), 8), F.lit('"}')).alias("doc"))
+    seen = []
+    keep = changes.staged
+    monkeypatch.setattr(changes, "staged", lambda df: seen.append(df) or keep(df))
+    body = json.dumps({"resourceType": "Task", "id": "t", "status": "requested", "for": {"reference": "Patient/p"}})
+    ch = spark.createDataFrame([("e", None, 1, "PUT", "Task/t", body, 'W/"1"', None)], CHANGE)
+    _, _, outcomes = changes.apply_changes(current.unionByName(large), ch, policy, staged_episodes=0)
+    assert [r.status for r in outcomes.collect()] == [200]
+    # Nothing but the change set and what it writes is stored.
+    assert all(df.count() <= 1 for df in seen)
+
+
 def test_counters_of_an_episode(spark):
     tasks = spark.createDataFrame([("e",), ("e",), ("idle",)], "episode_id string")
     tools = spark.createDataFrame([("e",)] * 3, "episode_id string")
