@@ -608,7 +608,7 @@ def _by_name(requests: DataFrame, people: DataFrame) -> DataFrame:
         wanted.where("_want <> ''").withColumn("_g", F.explode(F.array_distinct(cut))).join(often, "_g", "left")
         .groupBy("request_id", "_want").agg(F.min_by("_g", F.coalesce("_df", F.lit(0))).alias("_g"))
     )
-    return rare.join(pieces, "_g").where(F.col("_name").contains(F.col("_want"))).select("request_id", "ref")
+    return rare.join(pieces.hint("merge"), "_g").where(F.col("_name").contains(F.col("_want"))).select("request_id", "ref")
 
 
 def find_patient(requests: DataFrame, patients: DataFrame) -> DataFrame:
@@ -619,7 +619,13 @@ def find_patient(requests: DataFrame, patients: DataFrame) -> DataFrame:
     matched as a case-insensitive substring (commas separate alternatives).
     """
     p = patients.select(F.col("resource_ref").alias("ref"), F.col("identifier").alias("_id"), F.lower("name").alias("_name"), F.col("birth_date").alias("_birth"))
-    r = requests.withColumn("_code", X.after_bar(F.col("identifier"))).withColumn("_wanted", F.split(F.lower("name"), ","))
+    # The files of a patient table are far smaller than its rows, so the planner's guess would send all patients to every task.
+    p = p.hint("merge")
+    # Equal wishes are looked up once; pairs are made again only for a request id that comes with several of them.
+    wish = F.to_json(F.struct("identifier", "name", "birthdate"))
+    asked = requests.select("request_id", wish.alias("_wish")).distinct()
+    wishes = requests.select(wish.alias("request_id"), "identifier", "name", "birthdate").distinct()
+    r = wishes.withColumn("_code", X.after_bar(F.col("identifier"))).withColumn("_wanted", F.split(F.lower("name"), ","))
     named = F.col("name").isNull() | F.exists("_wanted", lambda n: F.col("_name").contains(n))
     born = F.col("birthdate").isNull() | (F.col("_birth") == F.col("birthdate"))
     hits = r.where("identifier is not null").join(p, F.col("_code") == F.col("_id")).where(named & born)
@@ -627,7 +633,12 @@ def find_patient(requests: DataFrame, patients: DataFrame) -> DataFrame:
     hits = hits.unionByName(dated.join(p, F.col("_birth") == F.col("birthdate")).where(named))
     only_name = r.where("identifier is null and birthdate is null and name is not null")
     hits = hits.select("request_id", "ref").unionByName(_by_name(only_name, p)).distinct()
-    counted = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("candidates"))
+    hits = hits.select(F.col("request_id").alias("_wish"), "ref")
+    found = hits.groupBy("_wish").agg(F.count(F.lit(1)).alias("candidates"))
+    several = asked.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("request_id")
+    lone = asked.join(several, "request_id", "left_anti").join(found, "_wish").select("request_id", "candidates")
+    pairs = asked.join(several, "request_id", "left_semi").join(hits, "_wish").select("request_id", "ref").distinct()
+    counted = lone.unionByName(pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("candidates")))
     out = requests.select("request_id").join(counted, "request_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     word = F.when(F.col("candidates") == 0, "not_found").when(F.col("candidates") == 1, "unique").otherwise("ambiguous")
     return out.withColumn("resolution", word)

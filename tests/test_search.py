@@ -155,3 +155,16 @@ def test_timeline_entries_show_their_documents(spark):
         3: ("Procedure/a", None, {"text": "x"}, [{"code": "t"}]),
     }
     assert search.timeline_entries(search.chart_timeline(r.limit(0), ["Task"]), r).isEmpty()
+
+
+def test_equal_identity_requests_are_looked_up_once(spark, monkeypatch):
+    people = spark.createDataFrame([("Patient/1", "M1", "Ann Lee", "1950-01-01"), ("Patient/2", "M2", "Anna Orr", "1950-01-01"), ("Patient/3", "M3", "Bob", "1960-01-01")], "resource_ref string, identifier string, name string, birth_date string")
+    rows = [(f"r{i}", None, "ann", None) for i in range(50)]
+    # One id with two wishes that share a candidate, one named twice, one without a name, one that wants nothing.
+    rows += [("two", None, "ann", None), ("two", None, "ANN,bob", None), ("again", "x|M3", None, None), ("again", "x|M3", None, None), (None, None, "ann", None), ("none", None, None, None)]
+    requests = spark.createDataFrame(rows, "request_id string, identifier string, name string, birthdate string")
+    looked, by_name = [], search._by_name
+    monkeypatch.setattr(search, "_by_name", lambda r, p: looked.append(r.count()) or by_name(r, p))
+    got = [(r.request_id, r.candidates, r.resolution) for r in search.find_patient(requests, people).collect()]
+    assert looked == [2] and len(got) == len(rows)
+    assert set(got) == {(f"r{i}", 2, "ambiguous") for i in range(50)} | {("two", 3, "ambiguous"), ("again", 1, "unique"), (None, 0, "not_found"), ("none", 0, "not_found")}
