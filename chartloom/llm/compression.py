@@ -7,9 +7,10 @@ off. Then the text is cut into chunks of each size of `CHUNKS` that it reaches,
 chunks show short stretches, large ones what repeats over a distance. The last chunk is the final bytes of its size, so
 every byte is judged, and a document goes when of one size more than `CHUNK_SHARE` of the chunks lie outside their band.
 
-The limits are fitted on at most `SAMPLE` documents that are labelled good (smallest hash of the id first, one row of a
-repeated id) and pass the base counts; to the driver come one ratio for each of them and one count for each thousandth of a
-chunk ratio, where documents weigh the same. With fewer than `LEAST` of them the wide bands of `WIDE` hold.
+The limits are fitted on all documents that are labelled good and pass the base counts (of a repeated id the row whose text
+hashes lowest). Every text is measured where it lies and only measures meet their labels; quartiles by length are exact on ratios
+counted by hundred-thousandths, tails of chunk ratios on thousandths, where documents weigh the same. To the driver come a
+row for each length step and one for each thousandth. With fewer than `LEAST` documents the wide bands of `WIDE` hold.
 
 Base counts come first: a document with few words, or mostly made of repeated word windows, fails whatever its ratios.
 
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.bpe import slices
-from chartloom.llm.tables import one_row_each, smallest_hashes
+from chartloom.llm.tables import staged
 
 LEVEL = 3
 CHUNK_SHARE = 0.25
 #: Bytes of a chunk, and the share of good chunks that may lie below, and above, the band of their size.
 CHUNKS, CHUNK_TAIL = (256, 1024, 4096), 0.001
-#: Documents labelled good that are looked at, and fewest of them to fit on.
-SAMPLE, LEAST = 4000, 200
+#: Fewest documents labelled good to fit on.
+LEAST = 200
 #: Spreads (between quartiles) that a whole document may be off, documents for a point of the line, and the least spread.
 REACH, POINT_DOCS, LEAST_SPREAD = 3.0, 20, 0.005
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -133,14 +134,12 @@ def passes_base(counts: tuple[int, int, int, int, int]) -> bool:
     return counts[0] >= MIN_WORDS and 100 * counts[4] <= REPEAT_PERCENT * counts[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Limits:
-    """Limits from documents labelled good."""
+def fit(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> Limits:
+    """Limits from all documents labelled good."""
     quality = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    good = quality.where("y = 1").select("doc_id", "y")
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id").distinct().join(good, "doc_id")
-    chosen = smallest_hashes(known, "y", {1: sample}).select("doc_id")
-    # At most `sample` rows, however often an id is repeated.
-    rows = one_row_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id")
+    good = quality.where("y = 1").select("doc_id")
+    fields = [("n_bytes", pa.int64()), ("ratio", pa.float64()), ("chunks", pa.list_(pa.struct([("size", pa.int64()), ("ratio", pa.float64()), ("weight", pa.int64())])))]
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("hash long, n_bytes long, ratio double, chunks array<struct<size:long,ratio:double,weight:long>>").fields])
 
     def run(batches):
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
@@ -148,32 +147,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = L
             out = []
             for text in b.column(1).to_pylist():
                 data = (text or "").encode()
-                if passes_base(base_counts(text)):
-                    out.append((0, len(data), len(compress(data)) / len(data), 1))
-                    for size in CHUNKS:
-                        ratios = chunk_ratios(data, size, compress)
-                        out += [(size, 0, round(x, 3), WEIGHT // len(ratios)) for x in ratios]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["size", "n_bytes", "ratio", "weight"])
-
-    measured = rows.mapInArrow(run, "size long, n_bytes long, ratio double, weight long").groupBy("size", "n_bytes", "ratio").agg(F.sum("weight").alias("weight")).toArrow()
-    return limits_of([tuple(r.values()) for r in measured.to_pylist()], least)
-
-
-def limits_of(measured: list[tuple[int, int, float, int]], least: int = LEAST) -> Limits:
-    """From rows of chunk size (0: a whole document), length, ratio and weight."""
-    whole = sorted((n, r) for size, n, r, w in measured if size == 0 for _ in range(w))
-    if len(whole) < least:
+                if not passes_base(base_counts(text)):
+                    out.append((None, None, None))
+                    continue
+                chunks = []
+                for size in CHUNKS:
+                    ratios = chunk_ratios(data, size, compress)
+                    chunks += [{"size": size, "ratio": round(x, 3), "weight": WEIGHT // len(ratios)} for x in ratios]
+                out.append((len(data), len(compress(data)) / len(data), chunks))
+            made = [pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=schema.names)
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, schema)
+    chosen = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "n_bytes", "ratio", "chunks")).alias("m")).select("doc_id", "m.*")
+    known = staged(chosen.where("n_bytes is not null").join(good, "doc_id").select("n_bytes", "ratio", "chunks"))
+    step = F.bround(2 * F.log2("n_bytes")).alias("step")
+    whole = known.groupBy(step, F.round("ratio", 5).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log2("n_bytes")).alias("x"))
+    quartiles = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    lengths = whole.groupBy("step").agg(F.sum("n").alias("n"), (F.sum("x") / F.sum("n")).alias("x"), quartiles.alias("q")).orderBy("step").collect()
+    if sum(r.n for r in lengths) < least:
         return WIDE
-    x, ratio = np.log2([n for n, _ in whole]), np.array([r for _, r in whole])
-    step, points = np.round(2 * x), []
-    for k in np.unique(step):
-        if (mine := step == k).sum() >= POINT_DOCS:
-            low, middle, high = np.quantile(ratio[mine], [0.25, 0.5, 0.75])
-            points.append((float(x[mine].mean()), float(middle), float(max(LEAST_SPREAD, high - low))))
+    each = known.select(F.explode("chunks").alias("c")).groupBy("c.size", "c.ratio").agg(F.sum("c.weight").alias("weight"))
+    return limits_of([(r.n, r.x, *r.q) for r in lengths], [tuple(r) for r in each.collect()])
+
+
+def limits_of(lengths: list[tuple[int, float, float, float, float]], chunk_counts: list[tuple[int, float, int]]) -> Limits:
+    """From documents, mean log2 of the length and quartiles of each length step, and from size, ratio and weight of chunks."""
+    points = [(x, middle, max(LEAST_SPREAD, high - low)) for n, x, low, middle, high in lengths if n >= POINT_DOCS]
     chunks = []
     for size, *wide in WIDE.chunks:
-        rows = sorted((r, w) for s, _, r, w in measured if s == size)
+        rows = sorted((r, w) for s, r, w in chunk_counts if s == size)
         if rows:
             r, below = np.array([r for r, _ in rows]), np.cumsum([w for _, w in rows])
             # The ratios are rounded, so the band ends half a step outside.

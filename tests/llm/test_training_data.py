@@ -289,6 +289,23 @@ def test_compression_bands(spark, docs, odd):
         assert {r.doc_id for r in compression.kept_documents(docs, bound).collect()} == kept
 
 
+def test_compression_bands_learn_from_every_good_document(spark):
+    """Quartiles and tails are those of all documents labelled good, beyond the 4,000 that were once looked at."""
+    random, compress = np.random.default_rng(3), __import__("zstandard").ZstdCompressor(level=3).compress
+    words = [f"{random.integers(1 << 40):x}" for _ in range(3000)]
+    texts = {i: " ".join(random.choice(words, 60)) for i in range(4500)}
+    docs = spark.createDataFrame([*texts.items(), (None, "x"), (5000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*texts, 5000]], "doc_id long, quality int")
+    limits = compression.fit(docs, labels, least=4500)
+    assert limits is not compression.WIDE and compression.fit(docs, labels, least=4501) is compression.WIDE
+    sizes = {i: len(t.encode()) for i, t in texts.items()}
+    step = Counter(round(2 * float(np.log2(n))) for n in sizes.values()).most_common(1)[0][0]
+    mine = [i for i, n in sizes.items() if round(2 * float(np.log2(n))) == step]
+    low, middle, high = np.quantile([len(compress(texts[i].encode())) / sizes[i] for i in mine], [0.25, 0.5, 0.75])
+    at = np.mean([np.log2(sizes[i]) for i in mine])
+    assert any(np.allclose(p, (at, middle, max(compression.LEAST_SPREAD, high - low)), atol=2e-5) for p in limits.points)
+
+
 def test_compression_bands_decide(spark):
     """Fitted on labels of even ids, the bands find most of the poor documents that the base counts let pass, and few good ones."""
     docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
