@@ -32,3 +32,23 @@ def test_a_search_parses_each_document_once(spark):
     hits = search.matches(r, "Observation?code=a,b&status=final,amended")
     assert plan(hits).lower().count("parsejson") + plan(hits).lower().count("parse_json") == 1
     assert {x.ref for x in hits.collect()} == {"Observation/0", "Observation/2"}
+
+
+def test_contract_rules_write_no_schemas(spark):
+    docs = [
+        '{"resourceType":"T","id":"1","a":[1],"_a":{"x":1},"vString":"s","vInt":2,"who":{"reference":"P/1"}}',
+        '{"resourceType":"T","id":"2","_a":{"x":1},"who":{"reference":"Q/1"}}',
+        '{"resourceType":"T","id":"3","a":null,"_vInt":{"x":1}}',
+    ]
+    r = from_documents(spark.createDataFrame([(d,) for d in docs], "doc string"))
+    c = spark.createDataFrame(
+        [("T", ["a"], 1, "1", ["string"], []), ("T", ["v[x]"], 0, "1", ["string", "int"], []), ("T", ["who"], 1, "1", ["Reference"], ["Q"])],
+        "type string, path array<string>, min int, max string, types array<string>, targets array<string>",
+    )
+    found = checks.root_contract_violations(r, c)
+    # No schema is written out only to tell objects from lists.
+    assert "schema" not in plan(found).lower()
+    assert sorted(tuple(x) for x in found.collect()) == [
+        ("T/1", "a", "list_for_scalar"), ("T/1", "v[x]", "cardinality=2"), ("T/1", "v[x]", "multiple_choices"), ("T/1", "who", "target=P/1"),
+        ("T/3", "who", "cardinality=0"),
+    ]
