@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions.ranks import MIDDLE, at_fraction, join_groups, middle_mean, order_statistics, range_running, ranked
-from chartloom.session import checkpointed
+from chartloom.session import checkpointed, staged
 
 
 def generated_text(resources: DataFrame) -> DataFrame:
@@ -130,11 +130,20 @@ def sample_facts(resources: DataFrame) -> DataFrame:
 
 
 def describe(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Documents, distinct shapes (of a type), distinct features and edges of each group."""
-    base = facts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("resources"), F.countDistinct("resource_type", "shape").alias("distinct_shapes"), F.sum("edges").alias("nonpatient_reference_edges")
+    """Documents, distinct shapes (of a type), distinct features and edges of each group.
+
+    Documents alike in type, shape and features are counted first, so they are made once and only their kinds move.
+    """
+    alike = [*by, *[c for c in ("resource_type", "shape", "features") if c not in by]]
+    kinds = checkpointed(facts.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n"), F.sum("edges").alias("edges")))
+    return _describe_kinds(kinds, by)
+
+
+def _describe_kinds(kinds: DataFrame, by: Sequence[str]) -> DataFrame:
+    base = kinds.groupBy(*by).agg(
+        F.sum("_n").alias("resources"), F.countDistinct("resource_type", "shape").alias("distinct_shapes"), F.sum("edges").alias("nonpatient_reference_edges")
     )
-    f = facts.select(*by, F.explode("features").alias("f")).groupBy(*by).agg(F.countDistinct("f").alias("distinct_features"))
+    f = kinds.select(*by, F.explode("features").alias("f")).groupBy(*by).agg(F.countDistinct("f").alias("distinct_features"))
     if not by:
         return base.withColumn("distinct_features", f.select("distinct_features").scalar())
     return join_groups(base, f, list(by), "left").na.fill(0, ["distinct_features"])
@@ -144,21 +153,34 @@ def balanced_resample(facts: DataFrame, side: str, resamples: int = 100, seed: i
     """Mean, least and most of each structural count over resamples with the same budget per type on both sides.
 
     ``facts`` has a ``side`` column. A resample takes, without replacement, the documents with the lowest
-    hash of (seed, resample, ref), as many per type as the smaller side has. A document goes on only to the resamples in which its
-    hash lies under a threshold that leaves ten standard deviations more than the budget; those are ranked
-    inside hash buckets, so no type is sorted in one task. A side that gives all it has goes to all resamples.
+    hash of (seed, resample, ref), as many per type as the smaller side has. Documents are counted by resample and the first
+    two digits of their hash; all of the digits below the one that holds the last place are in, only those of that one are ranked.
+    Documents alike in type, shape, features and edges are counted, so no document moves for a resample. A side that gives
+    all it has is counted once for all resamples.
     """
+    alike = ["resource_type", side, "shape", "features", "edges"]
+    facts = staged(facts.select("ref", *alike))
     per = facts.groupBy("resource_type", side).agg(F.count(F.lit(1)).alias("n"))
     budget = per.groupBy("resource_type").agg(F.min("n").alias("budget"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
-    room = F.col("budget") + 10 * F.sqrt("budget") + 20
-    # The first 15 digits of a hash, as a number below 16 ** 15.
-    limit = F.when(room < F.col("n"), F.lpad(F.lower(F.hex(F.floor(room / F.col("n") * float(1 << 60)).cast("bigint"))), 15, "0"))
-    limits = per.join(budget, "resource_type").select("resource_type", side, "budget", limit.alias("_limit"))
-    h = lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col("ref")))
-    drawn_in = F.filter(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.struct(b.alias("b"), h(b).alias("_h"))), lambda d: F.col("_limit").isNull() | (F.substring(d["_h"], 1, 15) < F.col("_limit")))
-    dealt = facts.join(limits, ["resource_type", side]).withColumn("_d", F.explode(drawn_in)).select(*facts.columns, "budget", "_d.*")
-    drawn = ranked(dealt, ["b", "resource_type", side], F.substring("_h", 1, 2), [F.col("_h")], "_k").where("_k <= budget")
-    d = describe(drawn, ["b", side])
+    # One row per type and side.
+    takes = checkpointed(per.join(budget, "resource_type").select("resource_type", side, "budget", (F.col("budget") < F.col("n")).alias("_some")))
+    dealt = facts.join(F.broadcast(takes), ["resource_type", side])
+    every = F.sequence(F.lit(0), F.lit(resamples - 1))
+    whole = dealt.where("not _some").groupBy(*alike).agg(F.count(F.lit(1)).alias("_n")).withColumn("b", F.explode(every))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("ref")))
+    drawn = dealt.where("_some").withColumn("b", F.explode(every)).withColumn("_h", h).withColumn("_digits", F.substring("_h", 1, 2))
+    group = ["b", "resource_type", side]
+    digits = drawn.groupBy(*group, "budget", "_digits").agg(F.count(F.lit(1)).alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy(*group).orderBy("_digits"))
+    last = digits.withColumn("_upto", upto).where("_upto >= budget and _upto - _in < budget")
+    # One row per type, side and resample, whatever the number of documents.
+    cuts = checkpointed(last.select(*group, F.col("_digits").alias("_last"), (F.col("budget") - (F.col("_upto") - F.col("_in"))).alias("_rest")))
+    placed = drawn.drop("budget").join(F.broadcast(cuts), group)
+    low = placed.where("_digits < _last").groupBy("b", *alike).agg(F.count(F.lit(1)).alias("_n"))
+    edge = ranked(placed.where("_digits = _last"), group, F.substring("_h", 3, 2), [F.col("_h")], "_k").where("_k <= _rest")
+    edge = edge.groupBy("b", *alike).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = whole.unionByName(low).unionByName(edge).withColumn("edges", F.col("edges") * F.col("_n"))
+    d = _describe_kinds(checkpointed(kinds), ["b", side])
     names = ["distinct_shapes", "distinct_features", "nonpatient_reference_edges"]
     return d.groupBy(side).agg(*[g(n).alias(f"{n}_{k}") for n in names for k, g in (("mean", lambda c: F.round(F.avg(c), 2)), ("min", F.min), ("max", F.max))])
 

@@ -42,6 +42,42 @@ def test_shape_paths_look_at_a_document_once(spark):
     assert seen.value == 3
 
 
+FACTS = "ref string, resource_type string, shape string, features array<string>, edges int, side string"
+
+
+def facts(spark, old=300, new=700):
+    rows = [(f"T/{i}", "T", f"s{i % 3}", ["f", f"f{i % 2}"], i % 4, "old" if i < old else "new") for i in range(old + new)]
+    return rows + [("C/1", "C", "c", [], 1, "old"), ("C/2", "C", "c", [], 1, "new"), ("L/1", "L", "l", ["x"], 9, "new")]
+
+
+def test_describe_reads_its_rows_once(spark):
+    rows, seen = counted(spark, spark.createDataFrame(facts(spark), FACTS))
+    got = {r.resource_type: tuple(r[1:]) for r in reports.describe(rows, ["resource_type"]).select("resource_type", "resources", "distinct_shapes", "nonpatient_reference_edges", "distinct_features").collect()}
+    assert got == {"T": (1000, 3, 1500, 3), "C": (2, 1, 2, 0), "L": (1, 1, 9, 1)}
+    assert seen.value == 1003
+
+
+def test_balanced_resample_reads_its_rows_once_and_is_exact(spark):
+    data = facts(spark)
+    rows, seen = counted(spark, spark.createDataFrame(data, FACTS))
+    got = {r.side: r for r in reports.balanced_resample(rows, "side", resamples=7).collect()}
+    assert seen.value == len(data)
+    edges, features = defaultdict(list), defaultdict(list)
+    for b in range(7):
+        for side in ("old", "new"):
+            drawn = []
+            for kind, budget in (("T", 300), ("C", 1)):
+                mine = [r for r in data if r[1] == kind and r[5] == side]
+                drawn += sorted(mine, key=lambda r: hashlib.md5(f"17|{b}|{r[0]}".encode()).hexdigest())[:budget]
+            edges[side].append(sum(r[4] for r in drawn))
+            features[side].append(len({f for r in drawn for f in r[3]}))
+    for side in ("old", "new"):
+        r = got[side]
+        assert (r.nonpatient_reference_edges_min, r.nonpatient_reference_edges_max) == (min(edges[side]), max(edges[side]))
+        assert r.nonpatient_reference_edges_mean == round(sum(edges[side]) / 7, 2)
+        assert (r.distinct_shapes_min, r.distinct_features_max) == (4, max(features[side]))
+
+
 def test_contract_rules_write_no_schemas(spark):
     docs = [
         '{"resourceType":"T","id":"1","a":[1],"_a":{"x":1},"vString":"s","vInt":2,"who":{"reference":"P/1"}}',
