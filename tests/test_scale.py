@@ -96,3 +96,14 @@ def test_contract_rules_write_no_schemas(spark):
         ("T/1", "a", "list_for_scalar"), ("T/1", "v[x]", "cardinality=2"), ("T/1", "v[x]", "multiple_choices"), ("T/1", "who", "target=P/1"),
         ("T/3", "who", "cardinality=0"),
     ]
+
+
+def test_dependency_depth_walks_a_graph_once(spark):
+    graphs = [
+        ([("supplied_x", "a"), ("a", "b"), ("b", "c"), ("supplied_x", "c")], 3), ([("supplied_x", "a"), ("a", "b"), ("b", "a")], None),
+        ([("supplied_x", "a"), ("b", "c")], None), ([], None), (None, None),
+    ]
+    rows = [(i, None if g is None else [list(e) for e in g]) for i, (g, _) in enumerate(graphs)]
+    df = spark.createDataFrame(rows, "i int, e array<array<string>>").select("i", tasks.dependency_depth(F.col("e")).alias("d"))
+    assert plan(df).count("reduce(") + plan(df).count("aggregate(") == 1
+    assert {r.i: r.d for r in df.collect()} == {i: d for i, (_, d) in enumerate(graphs)}
