@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.operators import checks, search, tasks
+from chartloom.operators import changes, checks, search, tasks
 from chartloom.plans import reports
 from chartloom.sources.ndjson import from_documents
 
@@ -107,3 +107,17 @@ def test_dependency_depth_walks_a_graph_once(spark):
     df = spark.createDataFrame(rows, "i int, e array<array<string>>").select("i", tasks.dependency_depth(F.col("e")).alias("d"))
     assert plan(df).count("reduce(") + plan(df).count("aggregate(") == 1
     assert {r.i: r.d for r in df.collect()} == {i: d for i, (_, d) in enumerate(graphs)}
+
+
+def test_conditional_creates_index_a_chart_once(spark):
+    docs = [(f"e{i}", f"Task/t{i}", "Task", "Patient/p", '{"resourceType":"Task","id":"t%d","status":"%s","identifier":[{"value":"T-%d"}]}' % (i, s, i)) for i, s in enumerate(["draft", "requested", "draft"])]
+    rows, seen = counted(spark, spark.createDataFrame(docs, "episode_id string, ref string, resource_type string, owner string, doc string"))
+    chart = rows.withColumn("v", F.parse_json("doc")).drop("doc")
+    posts = spark.createDataFrame(
+        [("e0", 1, "Task", "identifier=T-0"), ("e1", 1, "Task", "status=draft"), ("e2", 1, "Task", "colour=red"), ("e2", 2, "Task", None)],
+        "episode_id string, seq int, url string, if_none_exist string",
+    )
+    got = {(r.episode_id, r.seq): (r.matches, r.existing, r.bad_condition) for r in changes.conditional_counts(posts, chart).collect()}
+    assert got == {("e0", 1): (1, "Task/t0", False), ("e1", 1): (0, None, False), ("e2", 1): (0, None, True)}
+    # Once for the index, once to look for medications.
+    assert seen.value == 2 * len(docs)
