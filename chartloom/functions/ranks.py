@@ -36,16 +36,17 @@ def ranked(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Col
     return joined.withColumn(out, F.col("__n") + F.col("__before")).drop("__bucket", "__n", "__before")
 
 
-def range_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+def range_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, out: str, deal: Sequence[Column] = ()) -> DataFrame:
     """Sum of a value up to and including each row of a group, in ``order``, for sort keys that no cheap cut fits (texts).
 
     One exchange by ranges of (group, order), whose cuts Spark takes from the data, spreads the rows evenly whatever prefixes
     the keys share; sums run inside (group, range), and the ranges' totals of a group are added up. The ranges are
     stored before they are used, so a lost executor cannot move a row into another one. Rows that tie in ``order``
-    stay in one range, so it should end with columns that tell rows apart.
+    stay in one range, so it should end with columns that tell rows apart. ``deal`` names a coarser order to cut the ranges
+    by: the cuts come from a sample that the driver sorts, so what is dealt by should be short.
     """
     by = list(by)
-    dealt = df.repartitionByRange(*[F.col(c) for c in by], *order)
+    dealt = df.repartitionByRange(*[F.col(c) for c in by], *(deal or order))
     placed = checkpointed(dealt.withColumn("__range", F.spark_partition_id()).withColumn("__value", value))
     inner = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

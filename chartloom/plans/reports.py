@@ -32,6 +32,9 @@ def generated_text(resources: DataFrame) -> DataFrame:
 PART_BYTES = 64 * 1024 * 1024
 # Charts above one part that may be named beside the rows (some 50 MB); beyond, they are joined.
 NAMED_CHARTS = 500_000
+# Characters of a text that its place is dealt by, and rows with the same start that may meet in one task.
+START_CHARS = 64
+COMMON_START = 20_000
 
 
 def patient_context(resources: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -55,7 +58,14 @@ def patient_context(resources: DataFrame, part_bytes: int = PART_BYTES) -> DataF
     out = joined(owned.join(named_big, "patient_ref", "left_anti"), "patient_ref", F.lit(0).alias("part"))
     if named:
         mine = owned.join(named_big, "patient_ref", "left_semi")
-        placed = range_running(mine, ["patient_ref"], [F.col("doc"), F.col("ref")], size, "_upto")
+        # The driver gets a sample of what rows are dealt by, so that is the start of a text; only among texts with a start that
+        # very many share it is all of it, and the ref.
+        start = F.substring("doc", 1, START_CHARS)
+        common = checkpointed(mine.groupBy("patient_ref", start.alias("_start")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > COMMON_START).drop("_n"))
+        # At most one row in COMMON_START of the texts.
+        mine = mine.withColumn("_start", start).join(F.broadcast(common.withColumn("_whole", F.lit(True))), ["patient_ref", "_start"], "left")
+        deal = [F.when(F.col("_whole"), F.col(whole)).otherwise(short) for whole, short in (("doc", F.col("_start")), ("ref", F.lit("")))]
+        placed = range_running(mine, ["patient_ref"], [F.col("doc"), F.col("ref")], size, "_upto", deal)
         out = out.unionByName(joined(placed, "patient_ref", F.floor((F.col("_upto") - 1) / part_bytes).cast("int").alias("part")))
     return out
 
