@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions import text as X
+from chartloom.sources.ndjson import parsed_once
 
 WRITES = ("POST", "PUT", "DELETE")
 
@@ -181,7 +182,12 @@ def answer_ok(parsed: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def create_print(v: Column) -> Column:
     """Fingerprint of a created body apart from id and version."""
-    return D.fingerprint(F.map_filter(D.strip_version(v), lambda k, _: k != "id"))
+    return created_print(D.strip_version(v))
+
+
+def created_print(stripped: Column) -> Column:
+    """``create_print`` of fields that ``strip_version`` has made already."""
+    return D.fingerprint(F.map_filter(stripped, lambda k, _: k != "id"))
 
 
 def audit_allowed(audit: DataFrame, gold_updates: DataFrame, gold_creates: DataFrame, gold_deletes: DataFrame) -> DataFrame:
@@ -259,7 +265,9 @@ def state_delta(initial: DataFrame, final: DataFrame, gold_updates: DataFrame, g
     base = initial.join(sets, ["episode_id", "ref"], "left").join(dels, ["episode_id", "ref"], "left")
     want = F.when(F.col("_set").isNotNull(), F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key("_set", k)), F.col("_set"))).otherwise(before)
     expected = base.select("episode_id", "ref", "_del", D.fingerprint(want).alias("_want"))
-    have = final.select("episode_id", "ref", D.fingerprint(D.strip_version(F.col("v"))).alias("_have"), create_print(F.col("v")).alias("_print"))
+    # Both prints come from the same stripped fields, made once per document.
+    stripped = parsed_once(final, D.strip_version(F.col("v")), "_fields")
+    have = stripped.select("episode_id", "ref", D.fingerprint(F.col("_fields")).alias("_have"), created_print(F.col("_fields")).alias("_print"))
     j = expected.join(have, ["episode_id", "ref"], "full")
     kind = (
         F.when(F.col("_del") & F.col("_have").isNotNull(), "undeleted")
