@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chartloom.functions import documents as D
 from chartloom.functions import text as X
 from chartloom.functions.ranks import range_ranked
-from chartloom.session import checkpointed
+from chartloom.session import checkpointed, staged
 from chartloom.sources.ndjson import parsed_once
 from chartloom.operators import catalogue as C
 
@@ -690,6 +690,8 @@ def chart_timeline(
     if not 1 <= len(kinds) <= 6 or any("patient" not in C.PARAMS.get(k, ()) for k in kinds):
         raise SearchError("choose one to six supported patient types")
     mine = resources.where(F.col("resource_type").isin(kinds) & F.col(by).isNotNull())
+    # Read three times: for the cuts of the ranges, into them, and for the counts.
+    mine = staged(mine.select(by, "resource_type", "ref", "id", "resource_date"))
     numbered = range_ranked(mine, [by, "resource_type"], [F.col("id"), F.col("ref")], "_rn")
     paged = numbered.withColumn("page", F.ceil(F.col("_rn") / per_type)).where(F.lit(True) if page is None else F.col("page") == page)
     counts = mine.groupBy(by, "resource_type").agg(F.count(F.lit(1)).alias("_rows"))
