@@ -326,7 +326,8 @@ def agent_counters(tasks: DataFrame, tools: DataFrame, assistance: DataFrame, ou
     helped = assistance.groupBy("episode_id").agg(F.count(F.lit(1)).alias("helper_calls"), F.sum("bytes").alias("helper_response_bytes"))
     stopped = outcomes.where("status >= 300").groupBy("episode_id", "unit").agg(F.min_by("status", "seq").alias("status"))
     parts = [count(tools, "agent_tool_calls"), helped, count(stopped.where("status = 403"), "unsafe_attempts"), count(audit, "committed_mutations")]
-    out = reduce(lambda a, b: a.join(b, "episode_id", "left"), parts, tasks.select("episode_id").distinct())
+    # As many rows as episodes, which the planner takes for few.
+    out = reduce(lambda a, b: a.join(b.hint("merge"), "episode_id", "left"), parts, tasks.select("episode_id").distinct())
     return out.na.fill(0)
 
 

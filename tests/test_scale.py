@@ -8,7 +8,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
-from chartloom.operators import changes, checks, search, tasks
+from chartloom.functions import ranks
+from chartloom.operators import changes, checks, scoring, search, tasks
 from chartloom.plans import reports
 from chartloom.sources.ndjson import from_documents, parsed_once
 
@@ -190,3 +191,40 @@ def test_what_is_parsed_once_shares_its_parts(spark):
     assert both.first().found == ("1", "1")
     # Made by a projection, where an expression that is named twice is made once, below the generator.
     assert not any("parse" in line.lower() for line in plan(both).splitlines() if "Generate" in line)
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_offsets_of_many_groups_are_not_sent_to_every_task(spark):
+    rows = spark.range(40).select(F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), (F.col("id") * 7 % 40).alias("x"))
+    got = ranks.ranked(rows, ["g"], F.floor(F.col("x") / 8), [F.col("x")], "n")
+    total = ranks.running_total(rows, ["g"], F.floor(F.col("x") / 8), [F.col("x")], F.lit(1), "n")
+    ranged = ranks.range_ranked(rows, ["g"], [F.col("x")], "n")
+    want = {(r.g, r.x, r.n) for r in rows.withColumn("n", F.expr("row_number() over (partition by g order by x)")).collect()}
+    for df in (got, total, ranged):
+        assert {(r.g, r.x, r.n) for r in df.select("g", "x", "n").collect()} == want
+        assert not broadcasts(df)
+
+
+def test_queries_of_a_batch_are_not_sent_to_every_task(spark):
+    docs = ['{"resourceType":"Observation","id":"%d","status":"final","subject":{"reference":"Patient/%d"},"effectiveDateTime":"2024-01-%02d"}' % (i, i % 3, i + 1) for i in range(9)]
+    docs += ['{"resourceType":"Patient","id":"%d","identifier":[{"value":"M%d"}]}' % (i, i) for i in range(3)]
+    r = from_documents(spark.createDataFrame([(d,) for d in docs], "doc string"))
+    urls = spark.createDataFrame([(f"q{i}", f"Observation?{p}&_sort=-date&_count=2") for i, p in enumerate(["patient=0", "patient.identifier=M1", "status=draft"])], "query_id string, url string")
+    found = search.batch_search(urls, r)
+    assert {(x.query_id, x.ref, x.page_pos, x.total) for x in found.collect()} == {("q0", "Observation/6", 1, 3), ("q0", "Observation/3", 2, 3), ("q1", "Observation/7", 1, 3), ("q1", "Observation/4", 2, 3)}
+    hits = search.batch_matches(urls, search.search_index(r))
+    assert hits.count() == 6 and not broadcasts(hits)
+    pages = search.chart_timeline(r, ["Observation"], per_type=2)
+    assert not broadcasts(pages) and not broadcasts(search.timeline_entries(pages, r))
+
+
+def test_counters_of_many_episodes_are_not_sent_to_every_task(spark):
+    some = lambda *cols: spark.range(2).select(*[F.expr(c) for c in cols])
+    e = "concat('e', id) as episode_id"
+    outcomes = some(e, "'1' as unit", "1 as seq", "if(id = 0, 403, 200) as status")
+    got = scoring.agent_counters(some(e), some(e), some(e, "id as bytes").where("bytes > 0"), outcomes, some(e).where("episode_id = 'e1'"))
+    assert {tuple(r) for r in got.select("episode_id", "agent_tool_calls", "helper_calls", "unsafe_attempts", "committed_mutations").collect()} == {("e0", 1, 0, 1, 0), ("e1", 1, 1, 0, 1)}
+    assert not broadcasts(got)
