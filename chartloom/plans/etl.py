@@ -151,7 +151,8 @@ def repair_device_links(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrong = lambda x: F.coalesce(D.text(x, "reference").startswith("DeviceRequest/"), F.lit(False))
     use = resources.where("resource_type = 'DeviceUseStatement'").select("ref", "v", F.transform(F.filter(links, wrong), lambda x: F.to_json(x)).alias("bad"), F.transform(F.filter(links, lambda x: ~wrong(x)), lambda x: F.to_json(x)).alias("good")).where(F.size("bad") > 0)
     lineage = resources.where("resource_type = 'Provenance'").where(F.size(D.values_at(v, "target")) == 1).select(C("ref").alias("p_ref"), C("v").alias("p_v"), D.text(v, "target[0].reference").alias("ref"))
-    j = use.join(lineage, "ref", "left")
+    # As many as device uses, which the planner takes for few.
+    j = use.join(lineage.hint("merge"), "ref", "left")
     ok = j.where("p_ref is not null")
     listed = F.concat(F.lit("["), F.array_join("good", ","), F.lit("]"))
     kept = F.when(F.size("good") > 0, D.with_fields(v, F.create_map(F.lit("basedOn"), listed))).otherwise(D.object_json(F.map_filter(D.json_fields(v), lambda k, _: k != "basedOn")))

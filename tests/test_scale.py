@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import documents as D
 from chartloom.functions import ranks
-from chartloom.operators import changes, checks, scoring, search, tasks
-from chartloom.plans import reports
+from chartloom.operators import changes, checks, edges, scoring, search, tasks
+from chartloom.plans import etl, reports
 from chartloom.sources.ndjson import from_documents, parsed_once
 
 
@@ -228,3 +228,20 @@ def test_counters_of_many_episodes_are_not_sent_to_every_task(spark):
     got = scoring.agent_counters(some(e), some(e), some(e, "id as bytes").where("bytes > 0"), outcomes, some(e).where("episode_id = 'e1'"))
     assert {tuple(r) for r in got.select("episode_id", "agent_tool_calls", "helper_calls", "unsafe_attempts", "committed_mutations").collect()} == {("e0", 1, 0, 1, 0), ("e1", 1, 1, 0, 1)}
     assert not broadcasts(got)
+
+
+def test_slots_ends_and_lineage_are_not_sent_to_every_task(spark):
+    n = lambda *cols: spark.range(4).select(*[F.expr(c) for c in cols])
+    slots = n("concat('s', id) as resource_ref", "if(id = 0, 'free', 'busy') as status", "'1' as start", "'2' as end", "id = 1 as overbooked")
+    appts = n("concat('a', id) as resource_ref", "'booked' as status", "'1' as start", "'2' as end", "concat('s', id) as slot_ref")
+    loose, twice = checks.slot_containment(appts, slots), checks.double_booking(appts.unionByName(appts), slots)
+    assert loose.count() == 1 and twice.count() == 3
+    edge = n("concat('x', id) as src_ref", "if(id = 1, 'p', 'q') as src_owner", "concat('d', id) as dst_ref")
+    broken = edges.broken_refs(edge, n("concat('d', id) as ref").where("ref <> 'd3'"))
+    crossed = edges.cross_patient_refs(edge, n("concat('d', id) as ref", "'q' as patient_ref"))
+    assert [r.dst_ref for r in broken.collect()] == ["d3"] and [r.dst_ref for r in crossed.collect()] == ["d1"]
+    use = n("""concat('{"resourceType":"DeviceUseStatement","id":"', id, '","basedOn":{"reference":"DeviceRequest/1"}}') as doc""")
+    lineage = n("""concat('{"resourceType":"Provenance","id":"', id, '","target":[{"reference":"DeviceUseStatement/', id, '"}]}') as doc""").where("doc not like '%Statement/3%'")
+    docs, repairs = etl.repair_device_links(from_documents(use.unionByName(lineage)))
+    assert docs.count() == 6 and {r.repair: r.n for r in repairs.groupBy("repair").agg(F.count(F.lit(1)).alias("n")).collect()} == {"device_order_link_in_provenance": 3, "no_lineage": 1}
+    assert not any(broadcasts(df) for df in (loose, twice, broken, crossed, docs))
