@@ -245,3 +245,22 @@ def test_slots_ends_and_lineage_are_not_sent_to_every_task(spark):
     docs, repairs = etl.repair_device_links(from_documents(use.unionByName(lineage)))
     assert docs.count() == 6 and {r.repair: r.n for r in repairs.groupBy("repair").agg(F.count(F.lit(1)).alias("n")).collect()} == {"device_order_link_in_provenance": 3, "no_lineage": 1}
     assert not any(broadcasts(df) for df in (loose, twice, broken, crossed, docs))
+
+
+def test_conditional_creates_index_what_they_ask_for(spark, monkeypatch):
+    doc = lambda kind, i, **k: json.dumps({"resourceType": kind, "id": i, **k})
+    code = lambda c: {"coding": [{"code": c}]}
+    me = {"subject": {"reference": "Patient/p"}}
+    base = [
+        ("Patient/p", doc("Patient", "p", identifier=[{"value": "M1"}])), ("Slot/s", doc("Slot", "s", status="a")), ("Medication/m", doc("Medication", "m", code=code("x"))),
+        ("MedicationRequest/r", doc("MedicationRequest", "r", status="a", medicationReference={"reference": "Medication/m"}, **me)), ("MedicationRequest/q", doc("MedicationRequest", "q", status="b", **me)),
+    ]
+    chart = changes._chart(spark.createDataFrame([("e", *d) for d in base], "episode_id string, ref string, doc string"))
+    conditions = ["code=x", "patient.identifier=M1&status=a,b", "status=c", "colour=red", "status=b"]
+    posts = spark.createDataFrame([("e", i, "MedicationRequest", c) for i, c in enumerate(conditions)], "episode_id string, seq int, url string, if_none_exist string")
+    seen, keep = [], search.search_index
+    monkeypatch.setattr(search, "search_index", lambda *a: seen.append(a) or keep(*a))
+    got = {r.seq: (r.matches, r.existing, r.bad_condition) for r in changes.conditional_counts(posts, chart).collect()}
+    assert got == {0: (1, "MedicationRequest/r", False), 1: (2, "MedicationRequest/q", False), 2: (0, None, False), 3: (0, None, True), 4: (1, "MedicationRequest/q", False)}
+    rows, _, asked = seen[0]
+    assert {r.ref for r in rows.collect()} == {ref for ref, _ in base} - {"Slot/s"} and asked == {"code", "identifier", "patient", "status"}
